@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_pii, op4_langid, op5_decontam
+from . import op1_simhash, op3_pii, op4_langid, op5_decontam
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash.query,
         "op3_pii": op3_pii.query,
         "op4_langid": op4_langid.query,
         "op5_decontam": op5_decontam.query,
