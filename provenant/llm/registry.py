@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_simhash, op3_pii, op4_langid, op5_decontam
+from . import op1_simhash, op3_pii, op4_langid, op5_decontam, op7_suffix, op10_substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii.query,
         "op4_langid": op4_langid.query,
         "op5_decontam": op5_decontam.query,
+        "op7_suffix": op7_suffix.query,
+        "op10_substring": op10_substring.query,
     }
 
 
