@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_simhash, op3_pii, op4_langid, op5_decontam, op7_suffix, op10_substring
+from . import op1_simhash, op2_topk, op3_pii, op4_langid, op5_decontam, op7_suffix, op10_substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash.query,
+        "op2_topk": op2_topk.query,
         "op3_pii": op3_pii.query,
         "op4_langid": op4_langid.query,
         "op5_decontam": op5_decontam.query,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontam": op5_decontam.SQL}
+    return {"op2_topk": op2_topk.SQL, "op5_decontam": op5_decontam.SQL}
