@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_simhash, op2_topk, op3_pii, op4_langid, op5_decontam, op7_suffix, op10_substring
+from . import op1_simhash, op2_topk, op3_pii, op4_langid, op5_decontam, op6_mixing, op7_suffix, op10_substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,10 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii.query,
         "op4_langid": op4_langid.query,
         "op5_decontam": op5_decontam.query,
+        "op6_mixing": op6_mixing.query,
         "op7_suffix": op7_suffix.query,
         "op10_substring": op10_substring.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": op2_topk.SQL, "op5_decontam": op5_decontam.SQL}
+    return {"op2_topk": op2_topk.SQL, "op5_decontam": op5_decontam.SQL, "op6_mixing": op6_mixing.SQL}
