@@ -155,7 +155,7 @@ def by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
                 start, size, item = index.hits(h, row)
                 if len(start):
                     n_hit[i:j] = np.bincount(row[K.cover(len(h), start, start + size)], minlength=j - i)
-                    for r, it in {(int(r), None) for r in row[start]}:
+                    for r in np.unique(row[start]).tolist():
                         names = sorted({index.names[x] for x in item[row[start] == r]})
                         n_items[i + r], sha[i + r] = len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (n_words, n_hit, n_items, sha, n_hit > 0))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
@@ -244,6 +244,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share_words: int = SHAR
     return by_broadcast(docs, items) if total <= share_words else by_join(docs, items)
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, share_words: int = SHARE_WORDS) -> DataFrame:
+    """The rows of docs without any benchmark window, in their columns.
+
+    With a shared benchmark rows are filtered where they are read; else the ids of
+    contaminated documents (all rows of such an id) are anti-joined.
+    """
+    items = item_words(benchmark)
+    total = items.agg(F.sum(F.size("h") + 8).alias("n")).first()["n"] or 0
+    if total > share_words:
+        gone = by_join(docs, items).where("contaminated").select(F.col("doc_id").alias("gone"))
+        return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], np.array(r["h"], np.int64).view(np.uint64)) for r in items.collect()]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in batches:
+            clean = np.ones(b.num_rows, bool)
+            for i, _, h, row in _word_slices(b.column(b.schema.get_field_index("text"))):
+                clean[i + row[index.hits(h, row)[0]]] = False
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_simhash, op2_topk, op3_pii, op4_langid, op5_decontam, op6_mixing, op7_suffix, op8_tokens, op10_substring
+from . import op1_simhash, op2_topk, op3_pii, op4_langid, op5_decontam, op6_mixing, op7_suffix, op8_tokens, op9_html, op10_substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing.query,
         "op7_suffix": op7_suffix.query,
         "op8_tokens": op8_tokens.query,
+        "op9_html": op9_html.query,
         "op10_substring": op10_substring.query,
     }
 
