@@ -274,7 +274,7 @@ def links(nodes: DataFrame, recall: float = RECALL, list_size: int = LIST_SIZE,
     """node, links, root of every list, from distinct fingerprints node, f0..f3; only nodes with links."""
     spark = nodes.sparkSession
     levels = depth(nodes.count(), list_size)
-    filters = spark.sparkContext.broadcast(Filters(levels, repetitions(levels, recall), CENTRES))
+    filters = spark.sparkContext.broadcast(Filters(levels, repetitions(levels, recall, CENTRES), CENTRES))
     members = nodes.select("node", *_FP).mapInArrow(_members(filters), "key long, node long, f0 long, f1 long, f2 long, f3 long")
     long_lists = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block)
     plain = members.select("*", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))

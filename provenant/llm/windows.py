@@ -174,14 +174,14 @@ def sort_windows(spec: Spec, tokens: np.ndarray, start: np.ndarray, bucket: np.n
     group = np.unique(bucket, return_inverse=True)[1] if len(bucket) else bucket
     alive, out = np.arange(len(start)), np.full(len(start), -1, np.int64)
     if spec.tokens == "bytes":
-        width = 8
+        width = min(8, spec.length)
         padded = np.concatenate((tokens, np.zeros(width, np.uint8)))
         code = np.zeros(len(tokens), np.uint64)
         for b in range(width):
             code = (code << np.uint64(8)) | padded[b : b + len(tokens)]
     else:
-        width = max(1, 62 // max(1, int(tokens.max(initial=1)).bit_length()))
-        bits = np.uint64(max(1, int(tokens.max(initial=1)).bit_length()))
+        size = max(1, int(tokens.max(initial=1)).bit_length())
+        width, bits = min(max(1, 62 // size), spec.length), np.uint64(size)
         padded = np.concatenate((tokens.astype(np.uint64), np.zeros(width, np.uint64)))
         code = np.zeros(len(tokens), np.uint64)
         for b in range(width):
