@@ -24,8 +24,7 @@ from provenant.llm.session import checkpoint_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op4_langid.predict(docs, op4_langid.fit_on(docs))
-    return found.where("lang_pred <> 'und'").select(docs.columns)
+    return op4_langid.keep_identified(docs, op4_langid.fit_on(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
