@@ -72,7 +72,7 @@ class TokenTree:
         self.leaves = leaves + [""] * (base - len(leaves))
         if counts is None:
             self.encoded_chars += sum(map(len, leaves))
-            counts = [len(x) for x in self.encoding.encode_ordinary_batch(leaves, num_threads=1)]
+            counts = [len(self.encoding.encode_ordinary(x)) for x in leaves]
         self.tokens = [0] * base + list(counts) + [0] * (base - len(leaves))
         self.chars = [0] * base + [len(x) for x in self.leaves]
         for i in range(base - 1, 0, -1):
