@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .literal import literal
+
 #: short name | full id | provider label | provider key | display name
 _MODELS = """
 claude-haiku|claude-haiku-4-5-20251001|Anthropic|anthropic|claude-haiku-4-5
@@ -76,16 +78,16 @@ def _unknown(model: str) -> str:
 
 
 def models(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *m) for i, m in enumerate(MODELS)], "ord int, model_short string, model string, provider string, provider_key string, display string")
+    return literal(spark, [(i, *m) for i, m in enumerate(MODELS)], "ord int, model_short string, model string, provider string, provider_key string, display string")
 
 
 def sites(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, d) for s, n, d in SITES for k in dict.fromkeys((s, n))], "site string, domain string")
+    return literal(spark, [(k, d) for s, n, d in SITES for k in dict.fromkeys((s, n))], "site string, domain string")
 
 
 def matrix(spark: SparkSession, which: str) -> DataFrame:
     """row_key, col_key, score: 30 cells of 'ipa', 60 of 'ss'."""
-    return spark.createDataFrame({"ipa": IPA, "ss": SS}[which], "row_key string, col_key string, score int")
+    return literal(spark, {"ipa": IPA, "ss": SS}[which], "row_key string, col_key string, score int")
 
 
 def labels(spark: SparkSession) -> DataFrame:
@@ -95,4 +97,4 @@ def labels(spark: SparkSession) -> DataFrame:
         for code, label in axis.items():
             rows.append((at, dim, code, label, "Y" if code in HIGH_STAKES else ""))
             at += 1
-    return spark.createDataFrame(rows, "ord int, dimension string, code string, label string, ymyl string")
+    return literal(spark, rows, "ord int, dimension string, code string, label string, ymyl string")

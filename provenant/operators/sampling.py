@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dims
+from .literal import literal
 
 PER_MODEL = {"ASF5": 10, "ASF1": 4}
 PER_LABEL = {"ASF3": 20, "ASF4": 20, "ASF2": 20}
@@ -102,7 +103,7 @@ def greedy(am: DataFrame, axis: str, seed: int = SEED) -> DataFrame:
         cells = {tuple(r[c] for c in second): r["n"] for r in counts if r[label] == code}
         wanted += [(code, *cell, k) for cell, k in choose(cells, n, Random(seed * 1000 + i)).items()]
     schema = ", ".join([f"_l string, {', '.join(f'_s{i} string' for i in range(len(second)))}, _k int"])
-    picks = am.sparkSession.createDataFrame(wanted, schema)
+    picks = literal(am.sparkSession, wanted, schema)
     cond = F.col(label) == F.col("_l")
     for i, c in enumerate(second):
         cond = cond & F.col(c).eqNullSafe(F.col(f"_s{i}"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from . import dims
+from .literal import literal
 from .master import provider_column
 
 AXES = ("asf", "ssm", "ipam")
@@ -23,7 +24,7 @@ RATES = {"FFR": "asf_score", "SFR": "ssm_score", "AFR": "ipam_score"}
 
 
 def _literal(df: DataFrame, rows: list, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, schema)
+    return literal(df.sparkSession, rows, schema)
 
 
 def _rates(names: tuple[str, ...] = ("FFR", "SFR", "AFR")) -> list[Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from . import dims
+from .literal import literal
 
 AXES = ("QI", "SP", "SD", "ST", "ASF")
 
@@ -33,7 +34,7 @@ def judge_kappa(evaluated: DataFrame, replicates: int = 1000) -> DataFrame:
     """A row a task: n, raw agreement, kappa with its bootstrap interval, mean pairwise kappa, balanced accuracy."""
     cells = confusion(evaluated)
     cons = S.kappa(cells, ["task"]).select("task", "n", F.col("agreement").alias("raw_agr"), F.col("kappa").alias("kappa_cons"))
-    order = evaluated.sparkSession.createDataFrame([*enumerate(AXES)], "ord int, task string")
+    order = literal(evaluated.sparkSession, [*enumerate(AXES)], "ord int, task string")
     out = order.join(cons, "task").join(S.bootstrap_kappa(cells, "task", replicates), "task", "left")
     return out.join(kappa_pair(evaluated), "task", "left").join(S.balanced_accuracy(cells, ["task"]), "task", "left")
 
@@ -59,7 +60,7 @@ def mean_deviation(cells: DataFrame) -> DataFrame:
 def consensus_pearson(cells: DataFrame) -> DataFrame:
     """grp, pearson_r of the medians with the designed scores, over cells that have one."""
     rows = medians2(cells).where("design IS NOT NULL").select("grp", F.col("med2").cast("long"), F.col("design").cast("long"))
-    return S.pearson(rows, ["grp"], "med2", "design")
+    return S.pearson(rows, ["grp"], "med2", "design").withColumnRenamed("r", "pearson_r")
 
 
 def with_design(cells: DataFrame, which: str, row: str, col: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dims
+from ..operators.literal import literal
 from ..operators.master import build_master
 
 _TYPES = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "STANDARD": 6}
@@ -73,7 +74,7 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rated_cells(spark: SparkSession) -> DataFrame:
     """Ten raters of each cell of both matrices: the design score, shifted by -1 to 1 and kept within 1 to 5."""
     rows = [(w, f"{r}|{c}", s, i, r) for w, m in (("IPA", dims.IPA), ("SS", dims.SS)) for i, (r, c, s) in enumerate(m)]
-    cells = spark.createDataFrame(rows, "matrix string, cell string, design int, i int, row_key string")
+    cells = literal(spark, rows, "matrix string, cell string, design int, i int, row_key string")
     score = lambda a: F.greatest(F.lit(1), F.least(F.lit(5), F.col("design") + (F.col("i") * 5 + a * 7 + F.col("i") * a) % 3 - 1))
     return cells.withColumn("annotator_scores", F.array(*(score(a) for a in range(10))))
 

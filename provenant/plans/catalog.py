@@ -300,7 +300,7 @@ def icc_ci(spark, d):
 
 @register(_with("SELECT grp, round(corr(m, design), 6) AS pearson_r FROM (SELECT grp, list_median(annotator_scores) AS m, design FROM gc) GROUP BY 1".replace("list_median(annotator_scores)", "list_aggregate(annotator_scores, 'median')"), A.CELLS_SQL, _GRP))
 def matrix_pearson(spark, d):
-    return _r(validation.consensus_pearson(_cells(spark)).withColumnRenamed("r", "pearson_r"), "pearson_r")
+    return _r(validation.consensus_pearson(_cells(spark)), "pearson_r")
 
 
 @register(_with("SELECT grp, round(avg(dev), 6) AS mad FROM (SELECT grp, list_avg(list_transform(annotator_scores, lambda x: abs(x - list_aggregate(annotator_scores, 'median')))) AS dev FROM gc) GROUP BY 1", A.CELLS_SQL, _GRP))
