@@ -14,6 +14,8 @@ SENTENCES = 2
 #: Characters stripped around a sentence: blanks, emphasis, quotes, parentheses.
 CHROME = " \t\n" + "*`()" + "\"'" + "“”‘’"
 _SHORT_FORMS = sorted("e.g. i.e. etc. dr. mr. mrs. ms. u.s. u.k. vs.".split())
+#: Characters at the end of a text that are searched first.
+_WINDOW = 1024
 _URL = re.compile(r"https?://[^\s)\]]+")
 _LEADING_MARK = re.compile(r"\s*\[\d+\]\s*")
 _LIST_ITEM = re.compile(r"\d+\.\s")
@@ -45,8 +47,8 @@ def strip_url_list(text: Column | str) -> Column:
 def asf_score(label: Column | str) -> Column:
     """The number of an ASF label; anything else fails."""
     label = _col(label)
-    digits = F.regexp_extract(label, r"^ASF([0-9]+)$", 1)
-    return F.when(label.isNull(), F.lit(None).cast("int")).otherwise(F.when(digits != "", digits.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no such label: "), label)).cast("int")))
+    number = F.when(label.startswith("ASF"), F.substring(label, 4, 9).try_cast("int"))
+    return F.when(label.isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(number, F.raise_error(F.concat(F.lit("no such label: "), label)).cast("int")))
 
 
 def effect_size(eta: Column | str) -> Column:
@@ -102,10 +104,28 @@ def clean_sentence(piece: str) -> str:
 
 
 def last_sentences(text: str | None, n: int = SENTENCES) -> list[str]:
-    """The last n sentences, found from the right; the final terminator is no boundary."""
+    """The last n sentences, found from the right; the final terminator is no boundary.
+
+    Only the end of a long text is looked at, from a blank on (no URL or short form
+    goes across one), and more of it if there are too few boundaries.
+    """
     text = (text or "").rstrip()
     while text and text[-1] in CHROME:
         text = text[:-1].rstrip()
+    size = _WINDOW
+    while size < len(text):
+        blank = max(text.rfind(c, 0, len(text) - size) for c in " \n")
+        if blank <= 0:
+            break
+        found = _sentences(text[blank:], n)
+        if found is not None:
+            return found
+        size *= 4
+    return _sentences(text, n, True) or []
+
+
+def _sentences(text: str, n: int, whole: bool = False) -> list[str] | None:
+    """The sentences, or None if a part of a text has fewer than n boundaries."""
     if not text:
         return []
     urls = [m.span() for m in _URL.finditer(text)]
@@ -124,6 +144,8 @@ def last_sentences(text: str | None, n: int = SENTENCES) -> list[str]:
             cuts.append(at + step)
         at -= 1
     if len(cuts) <= n:
+        if not whole:
+            return None
         cuts.append(0)
     pieces = [clean_sentence(text[a:b]) for b, a in zip(cuts, cuts[1:])]
     return [p for p in reversed(pieces) if p]

@@ -27,20 +27,29 @@ def where_yes(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column) == "Y") if column in df.columns else df
 
 
-def score(df: DataFrame, which: str, row: str, col: str, out: str) -> DataFrame:
-    """A matrix lookup: 30 or 60 literal rows, so a broadcast; a pair that isn't in the matrix fails when its score is used."""
-    cells = dims.matrix(df.sparkSession, which).select(F.col("row_key").alias("_r"), F.col("col_key").alias("_c"), F.col("score").alias(out))
-    found = df.join(F.broadcast(cells), (F.col(row) == F.col("_r")) & (F.col(col) == F.col("_c")), "left").drop("_r", "_c")
-    missing = F.raise_error(F.concat_ws(" ", F.lit(f"no {which} score:"), F.coalesce(F.col(row), F.lit("null")), F.coalesce(F.col(col), F.lit("null"))))
-    return found.withColumn(out, F.coalesce(F.col(out), missing.cast("int")))
+_MATRICES = {"ipa": dims.IPA, "ss": dims.SS}
+
+
+def score(which: str, row: str, col: str) -> Column:
+    """A matrix lookup as an expression: the labels' places in their lists index a string of digits.
+
+    No join, so nothing is read or computed where the score isn't used, and little code
+    is generated.  A pair that isn't in the matrix fails.
+    """
+    cells = _MATRICES[which]
+    rows, cols = [*dict.fromkeys(c[0] for c in cells)], [*dict.fromkeys(c[1] for c in cells)]
+    # Labels are three characters long (but for the last), so places are four apart.
+    at = [f"locate(concat('|', {label}, '|'), '|{'|'.join(names)}|')" for label, names in ((row, rows), (col, cols))]
+    place = f"({at[0]} + 3) div 4 * {len(cols)} - {len(cols)} + ({at[1]} + 3) div 4"
+    digit = f"substring('{''.join(str(c[2]) for c in cells)}', CAST(CASE WHEN {at[1]} > 0 THEN {place} END AS INT), 1)"
+    fail = f"CAST(raise_error(concat_ws(' ', 'no {which} score:', coalesce({row}, 'null'), coalesce({col}, 'null'))) AS INT)"
+    return F.expr(f"CASE WHEN {at[0]} > 0 THEN coalesce(CAST({digit} AS INT), {fail}) ELSE {fail} END")
 
 
 def provider_column(model: str = "model_short") -> Column:
     """Provider of a short name, 'unknown' without one: ten literal cases."""
-    out = F.lit("unknown")
-    for m in reversed(dims.MODELS):
-        out = F.when(F.col(model) == m[0], m[2]).otherwise(out)
-    return out
+    cases = " ".join(f"WHEN '{m[0]}' THEN '{m[2]}'" for m in dims.MODELS)
+    return F.expr(f"CASE {model} {cases} ELSE 'unknown' END")
 
 
 def build_master(queries: DataFrame, sources: DataFrame, citations: DataFrame) -> DataFrame:
@@ -53,7 +62,7 @@ def build_master(queries: DataFrame, sources: DataFrame, citations: DataFrame) -
     qry = queries.select("query_id", *[c for c in ("site", "category") if c in queries.columns], "QI_label")
     df = cit.drop(*[c for c in {*src.columns, *qry.columns} - {"url_id", "query_id"} if c in cit.columns]).join(qry, "query_id").join(src, "url_id")
     df = df.withColumns({"provider": provider_column(), "asf_score": asf_score("ASF_label"), "crawl_yn": F.lit("Y")})
-    df = score(score(df, "ipa", "QI_label", "SP_label", "ipam_score"), "ss", "SD_label", "ST_label", "ssm_score")
+    df = df.withColumns({"ipam_score": score("ipa", "QI_label", "SP_label"), "ssm_score": score("ss", "SD_label", "ST_label")})
     return df.select(*[c for c in MASTER_COLUMNS if c in df.columns])
 
 

@@ -32,9 +32,9 @@ SUBJECT = {"QI": "query_id", "ST": "url_id", "SD": "url_id", "SP": "url_id"}
 
 
 def draw(seed: int, *key: str) -> Column:
-    """60 pseudo-random bits of a row's key, the same in any engine with MD5."""
+    """A pseudo-random string of a row's key, the same in any engine with MD5."""
     text = F.concat_ws("|", F.lit(seed), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.md5(text.cast("binary"))
 
 
 def stratified(df: DataFrame, strata: Sequence[str], quota: dict[tuple, int], key: Sequence[str], seed: int = SEED) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..sources.durable import durable
 from . import dims
 from .literal import literal
 from .master import provider_column
@@ -70,7 +71,7 @@ def kruskal_by(am: DataFrame, group: str) -> DataFrame:
 
 
 def three_axis(am: DataFrame) -> DataFrame:
-    counts = score_counts(am, ["model_short", "category"])
+    counts = durable(score_counts(am, ["model_short", "category"]))  # 900 cells, read several times
     s, c = F.col("score"), F.col("c")
     sums = counts.groupBy("axis").agg(F.sum("c").alias("n"), F.sum(c * s).alias("t"), F.sum(c * s * s).alias("q"), F.sum(F.when(s <= 2, c).otherwise(0)).alias("f"))
     out = sums.select("axis", "n", (F.col("t") / F.col("n")).alias("mean"), S.population_sd(F.col("n"), F.col("t"), F.col("q")).alias("sd"), (F.lit(100.0) * F.col("f") / F.col("n")).alias("failure_rate"))
@@ -100,10 +101,8 @@ def ymyl_st(am: DataFrame) -> DataFrame:
 
 def display_name(model: str = "model_short") -> Column:
     """Null for a model that isn't in the registry."""
-    out = F.lit(None).cast("string")
-    for m in dims.MODELS:
-        out = F.when(F.col(model) == m[0], m[4]).otherwise(out)
-    return out
+    cases = " ".join(f"WHEN '{m[0]}' THEN '{m[4]}'" for m in dims.MODELS)
+    return F.expr(f"CASE {model} {cases} END")
 
 
 def safr_per_model(am: DataFrame) -> DataFrame:
@@ -179,9 +178,9 @@ def response_exposure(am: DataFrame) -> DataFrame:
     return out.select("model_short", display_name().alias("model"), "nbar", *[c for n in RATES for c in (n, f"R_{n}")], "Any")
 
 
-def _critical(am: DataFrame, group: str) -> DataFrame:
+def _critical(counted: DataFrame, group: str) -> DataFrame:
     """grp, variant, n, f: rows of each group, and those that fail on all axes, by variant of thresholds."""
-    cells = am.groupBy(F.col(group).alias("grp"), *(f"{a}_score" for a in AXES)).agg(F.count("*").alias("c"))
+    cells = counted.withColumnRenamed(group, "grp")
     fail = lambda i, a, s: F.coalesce((F.col("ipam_score") <= i) & (F.col("asf_score") <= a) & (F.col("ssm_score") <= s), F.lit(False))
     per = F.array(*(F.struct(F.lit(j).alias("ord"), F.lit(v).alias("variant"), F.when(fail(i, a, s), F.col("c")).otherwise(0).alias("f")) for j, (v, i, a, s) in enumerate(dims.THRESHOLDS)))
     return cells.select("grp", "c", F.explode(per).alias("x")).groupBy("grp", "x.ord", "x.variant").agg(F.sum("c").alias("n"), F.sum("x.f").alias("f"))
@@ -190,9 +189,11 @@ def _critical(am: DataFrame, group: str) -> DataFrame:
 def threshold(am: DataFrame) -> DataFrame:
     """Citations that fail on all three axes at varied thresholds, and Kendall's tau of the rates against the baseline's."""
     names = _literal(am, [(v, i, a, s) for v, i, a, s in dims.THRESHOLDS], "variant string, IPA_le int, ASF_le int, SS_le int")
-    model = _critical(am, "model_short")
+    # One pass over the facts, into a few thousand cells that everything below reads.
+    counted = durable(am.groupBy("model_short", "category", *(f"{a}_score" for a in AXES)).agg(F.count("*").alias("c")))
+    model = _critical(counted, "model_short")
     out = model.groupBy("ord", "variant").agg(F.sum("f").cast("long").alias("n_critvm"), (F.lit(100.0) * F.sum("f") / F.sum("n")).alias("pct"))
-    for name, cells in (("tau_model", model), ("tau_cat", _critical(am, "category"))):
+    for name, cells in (("tau_model", model), ("tau_cat", _critical(counted, "category"))):
         rates = cells.where("grp IS NOT NULL").select("variant", "grp", (F.col("f") / F.col("n")).alias("rate"))
         base = rates.where("variant = 'baseline'").select("grp", F.col("rate").alias("base"))
         out = out.join(S.kendall(rates.join(base, "grp"), ["variant"], "grp", "base", "rate").withColumnRenamed("tau", name), "variant", "left")

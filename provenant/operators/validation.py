@@ -14,14 +14,16 @@ AXES = ("QI", "SP", "SD", "ST", "ASF")
 
 def confusion(evaluated: DataFrame) -> DataFrame:
     """task, a (majority of the raters), b (judge), c of rows task, human_labels, judge_label."""
-    rows = evaluated.where(F.size("human_labels") > 0)
-    return rows.groupBy("task", S.majority(F.col("human_labels")).alias("a"), F.col("judge_label").alias("b")).agg(F.count("*").alias("c"))
+    # Votes are counted once for each different set of labels.
+    rows = evaluated.where(F.size("human_labels") > 0).groupBy("task", "human_labels", "judge_label").agg(F.count("*").alias("c"))
+    return rows.groupBy("task", S.majority(F.col("human_labels")).alias("a"), F.col("judge_label").alias("b")).agg(F.sum("c").alias("c"))
 
 
 def rater_confusion(evaluated: DataFrame) -> DataFrame:
     """The same for each rater's place; raters may be missing in some rows."""
-    each = evaluated.select("task", "judge_label", F.posexplode("human_labels").alias("rater", "a"))
-    return each.groupBy("task", "rater", "a", F.col("judge_label").alias("b")).agg(F.count("*").alias("c"))
+    rows = evaluated.groupBy("task", "human_labels", "judge_label").agg(F.count("*").alias("c"))
+    each = rows.select("task", "judge_label", "c", F.posexplode("human_labels").alias("rater", "a"))
+    return each.groupBy("task", "rater", "a", F.col("judge_label").alias("b")).agg(F.sum("c").alias("c"))
 
 
 def kappa_pair(evaluated: DataFrame) -> DataFrame:

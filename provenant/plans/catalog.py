@@ -505,7 +505,7 @@ _KEY = "query_id, url_id, cited_len"
 
 
 def _draw_sql(seed: int, key: str) -> str:
-    return f"CAST('0x' || md5(concat_ws('|', {seed}, {key}))[1:15] AS BIGINT)"
+    return f"md5(concat_ws('|', {seed}, {key}))"
 
 
 @register(
