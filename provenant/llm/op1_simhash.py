@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .session import durable
+from .session import durable, lean
 
 BITS = 256
 MAX_DISTANCE = 64
@@ -289,6 +289,7 @@ def links(nodes: DataFrame, recall: float = RECALL, list_size: int = LIST_SIZE,
 
 def near_duplicates(docs: DataFrame, recall: float = RECALL, list_size: int = LIST_SIZE, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (other fingerprints within MAX_DISTANCE), n_copies (rows with this fingerprint)."""
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     prints = docs.where(F.col("text").isNotNull()).mapInArrow(_fingerprint, "doc_id long, f0 long, f1 long, f2 long, f3 long")
     prints = durable(prints.withColumn("node", F.xxhash64(*_FP)))

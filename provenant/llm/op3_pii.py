@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import lean
+
 KINDS = ("email", "ip", "card", "phone", "iban", "card13", "tel")
 BASE = KINDS[:4]
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -145,6 +147,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans array<struct<kind, start, end, score>>: one row for each input row."""
+    lean(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 
 
@@ -157,6 +160,7 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The same rows and columns; spans in `text` masked, `n_chars` (if there) recounted."""
+    lean(docs.sparkSession)
     out = docs.mapInArrow(_redact, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -176,6 +180,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    lean(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string, top_score double")
 
 

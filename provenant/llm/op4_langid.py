@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .session import lean
 
 DIM = 1 << 16
 ORDERS = (1, 2, 3)
@@ -97,6 +98,7 @@ class Model:
 
 def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """From columns doc_id, text, lang; null texts and langs are left out."""
+    lean(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     langs = sorted(sizes)
@@ -139,7 +141,7 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs with lang_pred and score (replaced if there)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = lean(docs.sparkSession).sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +156,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, in their columns, whose language can be told."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = lean(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .session import lean
 
 WINDOW, GRAM = 10, 5
 GUARD = WINDOW - GRAM + 1
@@ -132,6 +133,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
+    lean(benchmark.sparkSession)
     rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     return rows.mapInArrow(_item_words, "item_id string, h array<long>").where(F.size("h") > 0)
 

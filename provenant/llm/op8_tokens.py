@@ -30,6 +30,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import lean
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-token pattern of these ranks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -198,6 +200,7 @@ def count_edited(docs: DataFrame, path: str = RANKS) -> DataFrame:
     docs: doc_id, text, edits array<struct<start, stop, new>>, and, where kept from
     before, leaf_chars and leaf_tokens of `trees`, so that only edits are encoded.
     """
+    lean(docs.sparkSession)
     kept = {"leaf_chars", "leaf_tokens"} <= {*docs.columns}
     cols = [F.col("doc_id").cast("long"), F.col("text"), F.col("edits").cast("array<struct<start:bigint,stop:bigint,new:string>>").alias("edits")]
     return docs.select(*cols, *(["leaf_chars", "leaf_tokens"] if kept else [])).mapInArrow(_recount(path, kept), _OUT)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html_tree import Node, parse
-from .session import durable
+from .session import durable, lean
 
 #: A text is template in a slot if on this share of at least MIN_PAGES pages of the host.
 TEMPLATE_SHARE, MIN_PAGES = 0.5, 4
@@ -340,6 +340,7 @@ def _answers(b: pa.RecordBatch, templates: list) -> pa.RecordBatch:
 
 def extract(pages: DataFrame, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    lean(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host().alias("host"), "html")
     found = durable(wrappers(rows.select("host", "page_id", "html")))
     size = found.agg(F.sum(F.length("host") + 24 * F.size("template") + 64).alias("n")).first()["n"] or 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .session import durable
+from .session import durable, lean
 
 #: Distinct runs in a bucket beyond which its windows are counted one by one.
 HOT = 4096
@@ -339,6 +339,7 @@ def marks(spec: Spec, docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def apply_marks(spec: Spec, docs: DataFrame, run: Callable, schema: str, hot: int = HOT) -> DataFrame:
     """docs (doc_id, text) with the marked windows of each row, through `run` (batches of doc_id, text, wins)."""
+    lean(docs.sparkSession)
     rows, shift = numbered(docs)
     found = marks(replace(spec, shift=shift), rows.select("doc", "text"), hot)
     return rows.join(found.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "wins").mapInArrow(run, schema)
