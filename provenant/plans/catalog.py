@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
+from ..functions import html as H
 from ..functions import stats as S
 from ..functions import text as T
 from ..functions import urls as U
@@ -355,6 +356,11 @@ def word_counts(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.word_count("text").cast("long").alias("n_words"))
 
 
+@register()
+def visible_text(spark, d):
+    return A.table(spark, d, "pages").select("page_id", H.visible_text("html").alias("text"))
+
+
 @register()
 def last_sentences(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.cited_sentence("text").alias("cited_sentence"))

@@ -16,10 +16,10 @@ from typing import Protocol
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import extract, text, urls
 from ..operators import evaluate
 from ..operators.master import where_yes
 
@@ -203,3 +203,57 @@ def search_stage(cited: DataFrame, fetched: DataFrame) -> dict[str, DataFrame]:
     rows = rows.select("query_id", urls.url_id("canonical").alias("url_id"), "model", "model_short", "provider", "cited_sentence", F.length("cited_sentence").cast("long").alias("cited_len"), F.lit(None).cast("string").alias("ASF_label"), gate.alias("g"), "ord").select("*", "g.*").drop("g")
     citations = evaluate.sequence(rows, ["query_id", "model", "ord", "url_id", "cited_sentence"]).drop("ord")
     return {"citations": citations, "sources": sources.drop("content"), "contents": where_yes(sources, "crawl_yn").select("url_id", "source_url", F.col("content").alias("source_content"))}
+
+
+# -- parts of live implementations ------------------------------------------------------------
+
+
+def resolve_redirect(url: str, follow: Callable[[str], str | None]) -> str:
+    """Where a search provider's grounding redirect leads; any other URL, or one that can't be followed, is itself."""
+    host, _, path = url.partition("://")[2].partition("/")
+    if host.lower() != urls._REDIRECTOR or not path.startswith("grounding-api-redirect/"):
+        return url
+    try:
+        return follow(url) or url
+    except Exception:  # noqa: BLE001
+        return url
+
+
+def admit(models: list[str], keys: dict[str, str]) -> list[str]:
+    """Full ids of the models asked for; unknown ones, or without a key for their provider, are errors."""
+    from ..operators import dims
+
+    out = []
+    for m in models:
+        found = next((x for x in dims.MODELS if m in x[:2]), None)
+        if found is None:
+            raise KeyError(f"no such model: {m!r}")
+        if not keys.get(found[3], "").strip():
+            raise ValueError(f"no key for provider {found[3]}, which {m} needs")
+        out.append(found[1])
+    return out
+
+
+def judge_message(axis: str) -> Column:
+    """The user message of a judge from columns named as its parts; contents are capped."""
+    cap = {"content": 30_000, "source_content": 30_000}
+    return text.tagged(**{p: text.truncate(p, cap[p]) if p in cap else F.col(p) for p in MESSAGE[axis]})
+
+
+def parse_reply(reply: Column | str, axis: str) -> Column:
+    """label and reasoning of a judge's JSON reply; a label outside the axis is null."""
+    got = F.from_json(reply, f"struct<{axis}_label:string,label:string,reasoning:string>")
+    label = F.coalesce(got["label"], got[f"{axis}_label"])
+    return F.struct(F.when(label.isin(*[f"{axis}{i}" for i in range(1, AXES[axis] + 1)]), label).alias("label"), got["reasoning"].alias("reasoning"))
+
+
+def parse_meta(meta: Column | str) -> Column:
+    """A response's metadata as a struct; what isn't there is null.  Citations may be a map or a list (numbered from 1)."""
+    meta = F.col(meta) if isinstance(meta, str) else meta
+    got = F.from_json(meta, extract.META.replace("citations:map<int,string>", "citations:string"))
+    urls_ = F.from_json(got["citations"], "array<string>")
+    listed = F.map_from_arrays(F.transform(urls_, lambda _, i: i + 1), urls_)
+    named = F.transform_keys(F.from_json(got["citations"], "map<string,string>"), lambda k, _: k.try_cast("int"))
+    numbered = F.when(F.ltrim(got["citations"]).startswith("["), listed).otherwise(named)
+    fields = ("annotations", "search_results", "native_citations", "grounding_chunks", "grounding_supports")
+    return F.struct(got["annotations"].alias("annotations"), numbered.alias("citations"), *(got[f].alias(f) for f in fields[1:]))

@@ -275,3 +275,62 @@ def test_streamed_counters_equal_the_batch(spark, am, tmp_path):
     q.awaitTermination(120)
     got = {r.model_short: (r.n, r.FFR) for r in rates.rates(rates.current(spark, str(tmp_path / "cells"))).collect()}
     assert got == {r.model_short: (r.n, r.FFR) for r in rates.rates(rates.cells(am)).collect()} and len(got) == 10
+
+
+def test_stages_end_to_end(spark):
+    from provenant.sources import stages
+
+    meta = json.dumps({"annotations": [{"url": "http://a/1", "title": "t"}]})
+
+    def responder(question, model):
+        return f"{question} It is said that one two three four. [x](http://a/1) Other words come here too, and more. [y](http://b/2)", meta
+
+    def fetcher(url):
+        if "b/2" in url:
+            raise OSError("down")
+        return effects.Fetched("ok", "page text", url)
+
+    def judge(axis, parts):
+        return effects.Judged({"QI": "QI3", "SP": "SP2", "SD": "SD7", "ST": "ST1", "ASF": "ASF4"}[axis] if "page" in parts.get("content", "page") else None)
+
+    q = spark.createDataFrame([("Q00001", "Why?", None), ("Q00002", "How?", "QI1")], "query_id string, question_title string, QI_label string")
+    found = stages.search(q, ["gpt-5", "gpt-5-mini-2025-08-07"], responder, fetcher, 0.0)
+    assert found["citations"].count() == 8 and found["model_responses"].count() == 4 and found["sources"].count() == 2
+    src = found["sources"].withColumns({f"{a}_label": F.lit(None).cast("string") for a in ("SP", "SD", "ST")})
+    out = stages.judge({"queries": q, "sources": src, "citations": found["citations"]}, found["contents"], judge, 0.0)
+    assert {r.QI_label for r in out["queries"].collect()} == {"QI3"}
+    assert sorted((r.crawl_yn, r.SP_label, r.SD_label, r.ST_label) for r in out["sources"].collect()) == [("N", None, None, None), ("Y", "SP2", "SD7", "ST1")]
+    states = Counter((r.evaluation_yn, r.evaluation_fail_reason, r.ASF_label) for r in out["citations"].collect())
+    assert states == {("Y", None, "ASF4"): 4, ("N", "crawl_fail", None): 4}
+    named = q.withColumns({"site": F.lit("law"), "category": F.lit("Science")})
+    master = M.build_master(named.drop("QI_label").join(out["queries"].select("query_id", "QI_label"), "query_id"), out["sources"], out["citations"])
+    assert {(r.ipam_score, r.ssm_score, r.asf_score) for r in master.collect()} == {(3, 5, 4)}
+
+
+def test_parts_of_effects(spark):
+    follow = {"https://vertexaisearch.cloud.google.com/grounding-api-redirect/x": "http://real"}.get
+    assert effects.resolve_redirect("https://vertexaisearch.cloud.google.com/grounding-api-redirect/x", follow) == "http://real"
+    assert effects.resolve_redirect("https://vertexaisearch.cloud.google.com/grounding-api-redirect/y", follow).endswith("/y")
+    assert effects.resolve_redirect("http://other/x", lambda u: 1 / 0) == "http://other/x"
+    assert effects.admit(["sonar", "gpt-5-2025-08-07"], {"perplexity": "k", "openai": "k"}) == ["sonar", "gpt-5-2025-08-07"]
+    with pytest.raises(KeyError):
+        effects.admit(["none"], {})
+    with pytest.raises(ValueError, match="openai"):
+        effects.admit(["gpt-5"], {"openai": " "})
+    rows = spark.createDataFrame([('{"label": "ST2", "reasoning": "r"}',), ('{"ST_label": "ST9"}',), ("junk",)], "x string").select(effects.parse_reply("x", "ST").alias("r")).select("r.*").collect()
+    assert [tuple(r) for r in rows] == [("ST2", "r"), (None, None), (None, None)]
+    one = spark.createDataFrame([("u", "c" * 40_000)], "url string, content string").select(effects.judge_message("SP").alias("m")).first().m
+    assert one.startswith("<url>\nu\n</url>\n<content>\n") and len(one) < 30_100
+
+
+def test_metadata_from_json(spark):
+    rows = ['{"citations": ["http://a", "http://b"]}', '{"citations": {"2": "http://c"}}', '{"annotations": [{"url": "u"}]}', None, "{}"]
+    got = [r.m for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(effects.parse_meta("x").alias("m")).collect()]
+    assert [m.citations for m in got] == [{1: "http://a", 2: "http://b"}, {2: "http://c"}, None, None, None] and got[2].annotations[0].url == "u"
+
+
+def test_visible_text(spark):
+    from provenant.functions.html import visible
+
+    assert visible("<head><title>t</title></head><body><p>a &amp; <b>b</b>\n c<br>d</p><script>x()</script><div>e</div></body>") == "a & b c\nd\ne"
+    assert visible(None) == "" and visible("<p>") == "" and visible("plain < text") == "plain < text"
