@@ -82,7 +82,7 @@ def run_validation(spark: SparkSession, folder: str, out: str) -> None:
             both = both.unionByName(p)
         r3 = lambda x: io.np_round(x, 3)
         rows = [{"dimension": r["task"], "n": r["n"], "raw_agr": r3(r["raw_agr"]), "kappa_cons": r3(r["kappa_cons"]), "kappa_ci": f"[{r['lo']:.3f}, {r['hi']:.3f}]", "kappa_pair": r3(r["kappa_pair"]), "bal_acc": r3(r["bal_acc"])} for r in sorted(validation.judge_kappa(both).collect(), key=lambda r: r["ord"])]
-        io.write_tsv(rows, f"{out}/tab_c_judge_kappa.tsv", ["dimension", "n", "raw_agr", "kappa_cons", "kappa_ci", "kappa_pair", "bal_acc"], None)
+        io.write_tsv(rows, f"{out}/tab_c_judge_kappa.tsv", "dimension n raw_agr kappa_cons kappa_ci kappa_pair bal_acc".split(), None)
     rows = []
     for which, name, file, r, c in (("ipa", "IPA", "ipam", "QI_label", "SP_label"), ("ss", "SS", "ssm", "SD_label", "ST_label")):
         p = Path(folder, f"{file}_human_eval.parquet")
@@ -126,7 +126,7 @@ def run_samples(spark: SparkSession, path: str, out: str, seed: int = sampling.S
         label = f"{axis}_label"
         rows = sorted(sample.collect(), key=lambda r: (int(r[label][2:]), str(r[key])))  # 200 at most
         Path(out).mkdir(parents=True, exist_ok=True)
-        items = [{"item_id": f"{axis}{i}", "task": axis, key: r[key], "gpt4o_mini_label": r[label]} for i, r in enumerate(rows, 1)]
+        items = [{"task": axis, key: r[key], "gpt4o_mini_label": r[label], "item_id": f"{axis}{i}"} for i, r in enumerate(rows, 1)]
         _lines(items, f"{out}/{axis.lower()}.jsonl")
         counts: dict[str, int] = {}
         for r in rows:
@@ -135,7 +135,7 @@ def run_samples(spark: SparkSession, path: str, out: str, seed: int = sampling.S
         io.write_json({"n": len(rows), "primary_counts": dict(sorted(counts.items())), "primary_match_alloc": counts == sampling.QUOTAS[axis], "secondary": {c: spread[c] for c in sampling.DIVERSITY[axis] if c in spread}}, f"{out}/{axis.lower()}_validation.json")
         sample.unpersist()
     rows = sorted(sampling.fidelity_sample(am, ("cit_id",), seed).collect(), key=lambda r: (r["layer"], r["model_short"] if r["layer"] == 1 else "", r["ASF_label"], r["cit_id"]))
-    _lines([{"item_id": f"ASF{i}", "task": "ASF", "cit_id": r["cit_id"], "gpt4o_mini_label": r["ASF_label"]} for i, r in enumerate(rows, 1)], f"{out}/asf.jsonl")
+    _lines([dict(task="ASF", cit_id=r["cit_id"], gpt4o_mini_label=r["ASF_label"], item_id=f"ASF{i}") for i, r in enumerate(rows, 1)], f"{out}/asf.jsonl")
     one, two = {}, {}
     for r in rows:
         k, d = (f"{r['model_short']} | {r['ASF_label']}", one) if r["layer"] == 1 else (r["ASF_label"], two)
@@ -160,8 +160,8 @@ def main(argv: list[str] | None = None) -> None:
     sub = ap.add_subparsers(dest="command", required=True)
     p = sub.add_parser("tables")
     p.add_argument("--input", required=True)
+    p.add_argument("--with-validation", action="store_true", help="agreement and reliability too")
     p.add_argument("--output-dir", required=True)
-    p.add_argument("--with-validation", action="store_true")
     p = sub.add_parser("export")
     p.add_argument("--jsonl-dir", required=True)
     p.add_argument("--out-dir", required=True)

@@ -16,15 +16,16 @@ from pyspark.sql import types as T
 
 from .text import cited_sentence, joined_sentences, strip_url_list
 
-_LINK = re.compile(r"\[([^\]]+)\]\((https?://[^)]+)\)")
-_NUMBERED_LINK = re.compile(r"\[\[(\d+)\]\]\((https?://[^)]+)\)")
-_MARK = re.compile(r"\[(\d+)\]")
+_TARGET = r"[(](http(?:s|)://[^)]+)[)]"
+_LINK = re.compile(r"\[([^]]+)]" + _TARGET)
+_NUMBERED_LINK = re.compile(r"\[{2}(\d+)]{2}" + _TARGET)
+_MARK = re.compile(r"\[(\d+)]")
 CITATIONS = T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("cited_sentence", T.StringType()), T.StructField("ord", T.IntegerType())]))
 META = (
     "struct<annotations:array<struct<url:string,title:string,start_index:int,end_index:int>>,citations:map<int,string>,search_results:array<struct<url:string>>,"
     "native_citations:array<struct<cited_text:string,url:string>>,grounding_chunks:array<struct<title:string,uri:string>>,grounding_supports:array<struct<chunk_indices:array<int>,text:string>>>"
 )
-PROVIDER_KEYS = ("openai", "anthropic", "google", "xai", "perplexity")
+PROVIDER_KEYS = "anthropic google openai perplexity xai".split()
 
 
 def number_links(text: str, urls: list[str | None]) -> tuple[str, dict[int, str]]:

@@ -122,7 +122,7 @@ def bootstrap_kappa(cells: DataFrame, by: str, replicates: int = 1000, alpha: fl
     return cells.select(by, "a", "b", F.col("c").cast("double")).groupBy(by).applyInPandas(run, f"{by} string, lo double, hi double")
 
 
-# -- rater reliability -------------------------------------------------------------
+# -- rater reliability
 
 
 def icc(ratings: DataFrame, by: list[str]) -> DataFrame:
@@ -139,7 +139,7 @@ def icc(ratings: DataFrame, by: list[str]) -> DataFrame:
     msc = (F.col("cc") / n - mean) / (k - 1)
     mse = (F.col("q") - F.col("rr") / k - F.col("cc") / n + mean) / ((n - 1) * (k - 1))
     df = df.where(even).select(*by, "n", "k", msr.alias("msr"), msc.alias("msc"), mse.alias("mse"))
-    return df.withColumn("icc", F.expr("(msr - mse) / (msr + (msc - mse) / n)"))
+    return df.withColumn("icc", F.expr("(msr - mse) / (msc / n + msr - mse / n)"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

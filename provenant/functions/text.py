@@ -16,9 +16,9 @@ CHROME = " \t\n" + "*`()" + "\"'" + "“”‘’"
 _SHORT_FORMS = sorted("e.g. i.e. etc. dr. mr. mrs. ms. u.s. u.k. vs.".split())
 #: Characters at the end of a text that are searched first.
 _WINDOW = 1024
-_URL = re.compile(r"https?://[^\s)\]]+")
-_LEADING_MARK = re.compile(r"\s*\[\d+\]\s*")
-_LIST_ITEM = re.compile(r"\d+\.\s")
+_URL = re.compile(r"http(?:s|)://[^])\s]+")
+_LEADING_MARK = re.compile(r"\s*\[\d+]\s*")
+_LIST_ITEM = re.compile(r"\d+[.]\s")
 
 
 def _col(x: Column | str) -> Column:
@@ -41,7 +41,7 @@ def truncate(text: Column | str, cap: int) -> Column:
 
 def strip_url_list(text: Column | str) -> Column:
     """The text before a trailing list of numbered URLs."""
-    return F.split(_col(text), r"\n\s*\[\d+\]\s+https?://", 2)[0]
+    return F.split(_col(text), r"\n\s*[\[]\d+[\]]\s+http(?:s|)://", 2)[0]
 
 
 def asf_score(label: Column | str) -> Column:
@@ -56,7 +56,7 @@ def effect_size(eta: Column | str) -> Column:
     return F.when(eta.isNull() | F.isnan(eta), "").when(eta < 0.01, "negligible").when(eta < 0.06, "small").when(eta < 0.14, "medium").otherwise("large")
 
 
-# -- prompts -------------------------------------------------------------------
+# -- prompts
 
 
 def tagged(**parts: Column) -> Column:
@@ -67,7 +67,7 @@ def tagged(**parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-# -- sentences -----------------------------------------------------------------
+# -- sentences
 
 
 def _ends_short_form(lower: str, dot: int) -> bool:

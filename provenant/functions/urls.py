@@ -12,12 +12,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query keys that start with one of these carry no content.
-TRACKING = ("utm_", "fbclid", "gclid", "msclkid", "mc_eid", "mc_cid", "_hsenc", "_hsmi")
+TRACKING = tuple("_hsenc _hsmi fbclid gclid mc_cid mc_eid msclkid utm_".split())
 #: scheme, authority with its slashes, path with parameters, query, fragment
 _PARTS = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?(?:#(?:.|\n)*)?$"
 
 HOST_TIERS = [
-    ("Academic", r"\.(edu|ac\.[a-z]{2,3})$"),
+    ("Academic", r"[.](edu|ac[.][a-z]{2,3})$"),
     ("Academic", r"^(www\.)?(arxiv|frontiersin|nature|nih|pubmed|science|sciencedirect|springer|wiley)\."),
     ("Gov/Org", r"\.gov(\.|$)|\.(org|int)$"),
     ("Forum/Q&A", r"(discourse|quora|reddit|stackexchange|stackoverflow|wikipedia)\."),

@@ -23,10 +23,10 @@ MODELS = [tuple(x.split("|")) for x in _MODELS.split("\n") if x]
 SHORT = [m[0] for m in MODELS]
 PROVIDERS = "Anthropic OpenAI Perplexity Google xAI".split()
 #: Pairs of models of one provider: the larger one, or the one that reasons, first.
-SIZE_PAIRS = [("Anthropic", "claude-sonnet", "claude-haiku"), ("OpenAI", "gpt-5", "gpt-5-mini"), ("Google", "gemini-pro", "gemini-flash")]
-REASONING_PAIRS = [("xAI", "grok-r", "grok-nr"), ("Perplexity", "sonar-rp", "sonar")]
+SIZE_PAIRS = [tuple(x.split()) for x in ("Anthropic claude-sonnet claude-haiku", "OpenAI gpt-5 gpt-5-mini", "Google gemini-pro gemini-flash")]
+REASONING_PAIRS = [tuple(x.split()) for x in ("xAI grok-r grok-nr", "Perplexity sonar-rp sonar")]
 
-CATEGORIES = ["Business", "Culture & Recreation", "Life & Arts", "Professional", "Science", "Technology"]
+CATEGORIES = "Business|Culture & Recreation|Life & Arts|Professional|Science|Technology".split("|")
 HIGH_STAKES = ("SD1", "SD2", "SD3")
 
 #: code=label in display order

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from . import dims
 from .literal import literal
 
-PER_MODEL = {"ASF5": 10, "ASF1": 4}
-PER_LABEL = {"ASF3": 20, "ASF4": 20, "ASF2": 20}
+PER_MODEL = dict(ASF1=4, ASF5=10)
+PER_LABEL = dict.fromkeys(("ASF2", "ASF3", "ASF4"), 20)
 SEED = 42
 
 
@@ -26,9 +26,9 @@ def _quota(axis: str) -> dict[str, int]:
     return {f"{axis}{i}": int(n) for i, n in enumerate(sizes.split(), 1)}
 
 
-QUOTAS = {a: _quota(a) for a in ("QI", "ST", "SD", "SP")}
-DIVERSITY = {"QI": ["category"], "ST": ["SD_label", "SP_label"], "SD": ["ST_label", "SP_label"], "SP": ["ST_label", "SD_label"]}
-SUBJECT = {"QI": "query_id", "ST": "url_id", "SD": "url_id", "SP": "url_id"}
+QUOTAS = {a: _quota(a) for a in "QI ST SD SP".split()}
+DIVERSITY = {"QI": ["category"]} | {a: [f"{b}_label" for b in others.split()] for a, others in (("ST", "SD SP"), ("SD", "ST SP"), ("SP", "ST SD"))}
+SUBJECT = {"QI": "query_id"} | dict.fromkeys(("ST", "SD", "SP"), "url_id")
 
 
 def draw(seed: int, *key: str) -> Column:

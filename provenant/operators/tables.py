@@ -109,7 +109,7 @@ def safr_per_model(am: DataFrame) -> DataFrame:
     """Ranks over at most as many rows as there are models."""
     g = am.where("model_short IS NOT NULL").groupBy("model_short").agg(*_rates(("FFR", "SFR")))
     ranked = g.withColumns({"FFR_rank": F.rank().over(Window.orderBy("FFR")), "SFR_rank": F.rank().over(Window.orderBy("SFR"))})
-    return ranked.select("model_short", display_name().alias("model"), "FFR_rank", "FFR", "SFR_rank", "SFR", (F.col("FFR_rank") - F.col("SFR_rank")).alias("delta_rank"))
+    return ranked.select("model_short", display_name().alias("model"), *("FFR_rank FFR SFR_rank SFR".split()), (F.col("FFR_rank") - F.col("SFR_rank")).alias("delta_rank"))
 
 
 def source_type_by_model(am: DataFrame) -> DataFrame:

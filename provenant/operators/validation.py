@@ -9,7 +9,7 @@ from ..functions import stats as S
 from . import dims
 from .literal import literal
 
-AXES = ("QI", "SP", "SD", "ST", "ASF")
+AXES = "QI SP SD ST ASF".split()
 
 
 def confusion(evaluated: DataFrame) -> DataFrame:

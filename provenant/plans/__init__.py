@@ -1 +1 @@
-"""Registered queries and their reference SQL."""
+"""Registered queries and their SQL."""

@@ -66,7 +66,7 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge labels and three raters a line, each shifted by one class at its own keys; as task the axis of the line's number."""
     k = F.floor((F.col("l_quantity") - 1) / 10).cast("int")
-    task = _pick(["QI", "SP", "SD", "ST", "ASF"], "(l_linenumber - 1) % 5")
+    task = _pick("QI SP SD ST ASF".split(), "(l_linenumber - 1) % 5")
     label = lambda i: F.concat(task, (k + F.when((F.col("l_orderkey") + i) % 7 == 0, 1).otherwise(0)) % 5 + 1)
     return table(spark, sf_dir, "lineitem").select(task.alias("task"), F.concat(task, k + 1).alias("judge_label"), F.array(*(label(i) for i in range(3))).alias("human_labels"))
 
@@ -79,7 +79,7 @@ def rated_cells(spark: SparkSession) -> DataFrame:
     return cells.withColumn("annotator_scores", F.array(*(score(a) for a in range(10))))
 
 
-# -- the same in SQL ---------------------------------------------------------------
+# -- the same in SQL
 
 
 def _values(rows: list) -> str:
@@ -109,7 +109,7 @@ am AS (SELECT c.query_id, q.site, q.category, c.model_short, m.provider, c.url_i
   JOIN models m ON c.model_short = m.model_short JOIN ipa ON ipa.QI_label = q.QI_label AND ipa.SP_label = s.SP_label
   JOIN ss ON ss.SD_label = s.SD_label AND ss.ST_label = s.ST_label
   WHERE c.evaluation_yn = 'Y' AND s.crawl_yn = 'Y')"""
-EVALUATED_SQL = """e AS (SELECT *, ['QI', 'SP', 'SD', 'ST', 'ASF'][(l_linenumber - 1) % 5 + 1] AS task, CAST(floor((l_quantity - 1) / 10) AS INTEGER) AS k FROM lineitem),
+EVALUATED_SQL = """e AS (SELECT *, string_split('QI SP SD ST ASF', ' ')[(l_linenumber - 1) % 5 + 1] AS task, CAST(floor((l_quantity - 1) / 10) AS INTEGER) AS k FROM lineitem),
 ev AS (SELECT task, task || (k + 1) AS judge_label,
   list_transform([0, 1, 2], lambda i: task || ((k + CASE WHEN (l_orderkey + i) % 7 = 0 THEN 1 ELSE 0 END) % 5 + 1)) AS human_labels FROM e)"""
 CELLS_SQL = f"""cells0(matrix, cell, design, i, row_key) AS (VALUES {_values([(w, f"{r}|{c}", s, i, r) for w, m in (("IPA", dims.IPA), ("SS", dims.SS)) for i, (r, c, s) in enumerate(m)])}),

@@ -45,7 +45,7 @@ def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-# -- facts and release ------------------------------------------------------------
+# -- facts and release
 
 
 @register(_with("SELECT query_id, site, category, model_short, provider, url_id, clen, cited_len, QI_label, SP_label, ASF_label, SD_label, ST_label, ipam_score, asf_score, ssm_score, crawl_yn FROM am"))
@@ -58,7 +58,7 @@ def export_citations(spark, d):
     return M.release({"citations": A.citations(spark, d)})["citations"]
 
 
-# -- result tables -------------------------------------------------------------------
+# -- result tables
 
 
 _POOL = " UNION ALL ".join(f"SELECT '{dim}' AS dimension, code, label, ymyl, (SELECT count(*) FROM am WHERE {col} = code) AS n FROM (VALUES {A._values([(c, l, 'Y' if c in dims.HIGH_STAKES else '') for c, l in axis.items()])}) v(code, label, ymyl)" for dim, col, axis in (("Source Type", "ST_label", dims.SOURCE_TYPES), ("Source Purpose", "SP_label", dims.SOURCE_PURPOSES), ("Source Domain", "SD_label", dims.SOURCE_DOMAINS)))
@@ -231,7 +231,7 @@ def temporal(spark, d):
     return tables.temporal(tables.with_crawl_times(A.master(spark, d), A.sources(spark, d))).drop("ord")
 
 
-# -- rater agreement --------------------------------------------------------------------
+# -- rater agreement
 
 _MAJ = "list_filter(human_labels, lambda x: len(list_filter(human_labels, lambda y: y = x)) = list_max(list_transform(human_labels, lambda z: len(list_filter(human_labels, lambda y: y = z)))))[1]"
 
@@ -282,7 +282,7 @@ def _cells(spark: SparkSession) -> DataFrame:
 
 
 _GRP = "gc AS (SELECT *, matrix AS grp FROM cells UNION ALL SELECT *, row_key FROM cells WHERE matrix = 'SS'), rt AS (SELECT grp, cell, a, annotator_scores[a + 1] AS x FROM gc, (SELECT unnest(range(0, 10)) AS a))"
-_ICC = """SELECT grp, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round((msr - mse) / (msr + (msc - mse) / n), 6) AS icc FROM (
+_ICC = """SELECT grp, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round((msr - mse) / (msc / n + msr - mse / n), 6) AS icc FROM (
 SELECT grp, n, k, (rr / k - t * t / (n * k)) / (n - 1) AS msr, (cc / n - t * t / (n * k)) / (k - 1) AS msc, (q - rr / k - cc / n + t * t / (n * k)) / ((n - 1) * (k - 1)) AS mse FROM
 (SELECT grp, CAST(count(*) AS DOUBLE) AS n, CAST(sum(s * s) AS DOUBLE) AS rr FROM (SELECT grp, cell, sum(x) AS s FROM rt GROUP BY 1, 2) GROUP BY 1) JOIN
 (SELECT grp, CAST(count(*) AS DOUBLE) AS k, CAST(sum(s * s) AS DOUBLE) AS cc FROM (SELECT grp, a, sum(x) AS s FROM rt GROUP BY 1, 2) GROUP BY 1) USING (grp) JOIN
@@ -309,7 +309,7 @@ def matrix_mad(spark, d):
     return _r(validation.mean_deviation(_cells(spark)), "mad")
 
 
-# -- URLs and texts --------------------------------------------------------------------
+# -- URLs and texts
 
 _TRACK = "|".join(U.TRACKING)
 _NORM = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])({_TRACK})[^=&#]*(=[^&#]*)?', '\1', 'g'), '([?])&+|&+$', '\1', 'g'), '[?]$', '')"""
@@ -401,7 +401,7 @@ def extract_indexed(spark, d):
     return X.extract(_responses(spark, d).where("provider_key IN ('anthropic', 'google')")).drop("cited_sentence")
 
 
-# -- stages between search and release ---------------------------------------------------
+# -- stages between search and release
 
 
 @register("SELECT page_id, CASE WHEN page_id % 5 <> 0 AND length(html) > 0 THEN 'Y' ELSE 'N' END AS crawl_yn, CASE WHEN page_id % 5 = 0 THEN 'crawl failed' WHEN length(html) = 0 THEN 'empty body (content length 0)' END AS failure_category, CAST(CASE WHEN page_id % 5 <> 0 THEN length(html) ELSE 0 END AS BIGINT) AS clen FROM pages")
@@ -505,7 +505,7 @@ def schema_violations(spark, d):
     return found.select(F.explode("violations").alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
 
 
-# -- samples ------------------------------------------------------------------------------
+# -- samples
 
 _KEY = "query_id, url_id, cited_len"
 

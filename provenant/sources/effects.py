@@ -162,7 +162,7 @@ def judge_rows(rows: DataFrame, axis: str, judge: Judge, key: str, parts: dict[s
     return rows.select(key, *dict.fromkeys(parts.values())).mapInPandas(run, schema)
 
 
-# -- replay ------------------------------------------------------------------------------
+# -- replay
 
 
 def replay_fetch(found: DataFrame, pages: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ class ReplayJudge:
         return Judged(self.labels.get((axis, next(iter(parts.values())))))
 
 
-# -- search stage ---------------------------------------------------------------------------
+# -- search stage
 
 
 def search_stage(cited: DataFrame, fetched: DataFrame) -> dict[str, DataFrame]:
@@ -205,7 +205,7 @@ def search_stage(cited: DataFrame, fetched: DataFrame) -> dict[str, DataFrame]:
     return {"citations": citations, "sources": sources.drop("content"), "contents": where_yes(sources, "crawl_yn").select("url_id", "source_url", F.col("content").alias("source_content"))}
 
 
-# -- parts of live implementations ------------------------------------------------------------
+# -- parts of live implementations
 
 
 def resolve_redirect(url: str, follow: Callable[[str], str | None]) -> str:

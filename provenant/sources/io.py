@@ -76,7 +76,7 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return keys.where(F.trim(F.coalesce("score", F.lit(""))) != "").select("row_key", "col_key", F.col("score").cast("int").alias("score"))
 
 
-# -- small results to one file ---------------------------------------------------------
+# -- small results to one file
 
 
 def cell(value: object, digits: int | None) -> str:
@@ -94,7 +94,7 @@ def write_tsv(rows: Sequence[Row | dict], path: str, columns: Sequence[str], dig
 
 def write_json(value: object, path: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
+    Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False), "utf-8")
 
 
 def np_round(x: float | None, digits: int) -> float | None:
@@ -145,20 +145,20 @@ def _typed(rows: Iterable[Row]) -> list[dict]:
 
 #: Table: file name, order, columns (None: of the first row), formatting.
 FORMATS: dict[str, tuple[list, list[str] | None, Callable]] = {
-    "pool_composition": (["ord"], ["dimension", "label", "ymyl", "count", "pct"], _rounded({"pct": 2})),
-    "score_dist": (["ord"], ["dimension", "label", "count", "pct"], _rounded({"pct": 1})),
+    "pool_composition": (["ord"], "dimension label ymyl count pct".split(), _rounded({"pct": 2})),
+    "score_dist": (["ord"], "dimension label count pct".split(), _rounded({"pct": 1})),
     "three_axis": (["axis"], None, _axes),
-    "ymyl_ssfr": (["ord"], ["group", "n", "R_SS", "SFR_pct"], _rounded({"R_SS": 3, "SFR": 1}, {"SFR": "SFR_pct"})),
-    "ymyl_st": (["ord"], ["source_type", "ymyl_count", "ymyl_pct", "non_ymyl_count", "non_ymyl_pct"], _rounded({"ymyl_pct": 2, "non_ymyl_pct": 2})),
-    "safr_per_model": (["FFR_rank", "model_short"], ["model", "FFR_rank", "FFR", "SFR_rank", "SFR", "delta_rank"], _rounded({"FFR": 2, "SFR": 2})),
+    "ymyl_ssfr": (["ord"], "group n R_SS SFR_pct".split(), _rounded({"R_SS": 3, "SFR": 1}, {"SFR": "SFR_pct"})),
+    "ymyl_st": (["ord"], "source_type ymyl_count ymyl_pct non_ymyl_count non_ymyl_pct".split(), _rounded({"ymyl_pct": 2, "non_ymyl_pct": 2})),
+    "safr_per_model": (["FFR_rank", "model_short"], "model FFR_rank FFR SFR_rank SFR delta_rank".split(), _rounded({"FFR": 2, "SFR": 2})),
     "source_type_by_model": (["SFR_rank", "model_short"], None, _typed),
-    "provider_profile": (["ord"], ["provider", "n", "share", "FFR", "SFR", "AFR"], _rounded(dict.fromkeys(("share", "FFR", "SFR", "AFR"), 1))),
+    "provider_profile": (["ord"], "provider n share FFR SFR AFR".split(), _rounded(dict.fromkeys(("share", "FFR", "SFR", "AFR"), 1))),
     "variance": (["axis"], None, _variance),
-    "model_size_paired": (["ord"], ["provider", "model", "n", "cit_per_q", "FFR", "SFR"], _rounded({"cit_per_q": 1, "FFR": 2, "SFR": 2})),
-    "reasoning_paired": (["ord"], ["provider", "model", "n", "cit_per_q", "FFR", "SFR"], _rounded({"cit_per_q": 1, "FFR": 2, "SFR": 2})),
-    "response_exposure": (["-Any", "model_short"], ["model", "nbar", "FFR", "R_FFR", "SFR", "R_SFR", "AFR", "R_AFR", "Any"], _rounded(dict.fromkeys(("nbar", "FFR", "R_FFR", "SFR", "R_SFR", "AFR", "R_AFR", "Any"), 1))),
-    "threshold": (["ord"], ["variant", "IPA_le", "ASF_le", "SS_le", "n_critvm", "pct", "tau_model", "tau_cat"], _rounded({"pct": 3, "tau_model": 3, "tau_cat": 3})),
-    "temporal": (["ord"], ["half", "n", "FFR", "SFR", "AFR"], _rounded(dict.fromkeys(("FFR", "SFR", "AFR"), 1))),
+    "model_size_paired": (["ord"], "provider model n cit_per_q FFR SFR".split(), _rounded({"cit_per_q": 1, "FFR": 2, "SFR": 2})),
+    "reasoning_paired": (["ord"], "provider model n cit_per_q FFR SFR".split(), _rounded({"cit_per_q": 1, "FFR": 2, "SFR": 2})),
+    "response_exposure": (["-Any", "model_short"], "model nbar FFR R_FFR SFR R_SFR AFR R_AFR Any".split(), _rounded(dict.fromkeys(("nbar", "FFR", "R_FFR", "SFR", "R_SFR", "AFR", "R_AFR", "Any"), 1))),
+    "threshold": (["ord"], "variant IPA_le ASF_le SS_le n_critvm pct tau_model tau_cat".split(), _rounded({"pct": 3, "tau_model": 3, "tau_cat": 3})),
+    "temporal": (["ord"], "half n FFR SFR AFR".split(), _rounded(dict.fromkeys(("FFR", "SFR", "AFR"), 1))),
 }
 
 

@@ -18,8 +18,8 @@ DDL = {
     "model_responses": "query_id string, model_short string, raw_response string",
     "contents": "url_id string, source_url string, source_content string",
 }
-TIERS = ("Academic", "Commercial/Other", "Forum/Q&A", "Gov/Org", "News", "Social/Blog")
-FAILURES = ("crawl_fail", "cited_too_short", "cited_too_few_words", "code_fragment", "table_fragment", "judge_unevaluable")
+TIERS = "Academic|News|Gov/Org|Forum/Q&A|Social/Blog|Commercial/Other".split("|")
+FAILURES = "crawl_fail judge_unevaluable cited_too_short cited_too_few_words code_fragment table_fragment".split()
 
 
 def struct(name: str) -> T.StructType:
@@ -58,9 +58,9 @@ def _codes(axis: str, n: int) -> list[str]:
 _QUERY, _SOURCE = _match("query_id", r"^Q[0-9]{5}$"), _match("url_id", r"^S[0-9]{7}$")
 _MODEL = _one_of("model_short", dims.SHORT)
 _RULES = {
-    "queries": [*_need("query_id", "site", "category", "question_title"), _QUERY, _one_of("category", dims.CATEGORIES), ("question_title", "length", lambda: F.length("question_title").between(1, 300)), _one_of("QI_label", _codes("QI", 5))],
+    "queries": [*_need(*"query_id site category question_title".split()), _QUERY, _one_of("category", dims.CATEGORIES), ("question_title", "length", lambda: F.length("question_title").between(1, 300)), _one_of("QI_label", _codes("QI", 5))],
     "sources": [
-        *_need("url_id", "source_url", "host_tier", "crawl_yn", "clen", "crawled_at_first"),
+        *_need(*"url_id source_url host_tier crawl_yn clen crawled_at_first".split()),
         _SOURCE,
         _one_of("host_tier", TIERS),
         _one_of("crawl_yn", "YN"),
@@ -68,7 +68,7 @@ _RULES = {
         *(_one_of(f"{a}_label", _codes(a, n)) for a, n in (("SP", 6), ("SD", 10), ("ST", 6))),
     ],
     "citations": [
-        *_need("cit_id", "query_id", "url_id", "model_short", "provider", "cited_sentence", "cited_len"),
+        *_need(*"cit_id query_id url_id model_short provider cited_sentence cited_len".split()),
         _least("cit_id", 1),
         _QUERY,
         _SOURCE,

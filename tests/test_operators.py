@@ -44,7 +44,7 @@ def test_tables_against_pandas(am, facts):
     pool = tables.pool_composition(am).collect()
     assert len(pool) == 22 and math.isclose(sum(r.pct for r in pool), 300)
     ranks = {r.model_short: r for r in tables.safr_per_model(am).collect()}
-    want = facts.groupby("model_short").asf_score.apply(lambda s: 100.0 * (s <= 2).mean())
+    want = (facts.asf_score <= 2).groupby(facts.model_short).mean() * 100
     for m, r in want.rank(method="min").items():
         assert ranks[m].FFR_rank == r and math.isclose(ranks[m].FFR, want[m])
     per = facts.groupby(["model_short", "query_id"]).agg(a=("asf_score", "min"), s=("ssm_score", "min"), i=("ipam_score", "min"), n=("asf_score", "size")).reset_index()
@@ -192,7 +192,7 @@ def test_commands(spark, am, tmp_path, sf_dir):
     assert cli.run_tables(spark, str(p), str(out), True) == (14, 0)
     assert len(list(out.glob("tab_d_*.tsv"))) == 14 and len((out / "tab_c_validation.tsv").read_text().splitlines()) == 13 and len((out / "tab_c_judge_kappa.tsv").read_text().splitlines()) == 3
     top = (out / "tab_d_safr_per_model.tsv").read_text().splitlines()
-    assert top[0].split("\t") == ["model", "FFR_rank", "FFR", "SFR_rank", "SFR", "delta_rank"] and [line.split("\t")[1] for line in top[1:]] == sorted((line.split("\t")[1] for line in top[1:]), key=int)
+    assert top[0].split("\t") == "model FFR_rank FFR SFR_rank SFR delta_rank".split() and [line.split("\t")[1] for line in top[1:]] == sorted((line.split("\t")[1] for line in top[1:]), key=int)
     any_ = [float(line.split("\t")[-1]) for line in (out / "tab_d_response_exposure.tsv").read_text().splitlines()[1:]]
     assert any_ == sorted(any_, reverse=True)
     cli.run_samples(spark, str(p), str(out / "s"))
@@ -294,7 +294,7 @@ def test_stages_end_to_end(spark):
         return effects.Judged({"QI": "QI3", "SP": "SP2", "SD": "SD7", "ST": "ST1", "ASF": "ASF4"}[axis] if "page" in parts.get("content", "page") else None)
 
     q = spark.createDataFrame([("Q00001", "Why?", None), ("Q00002", "How?", "QI1")], "query_id string, question_title string, QI_label string")
-    found = stages.search(q, ["gpt-5", "gpt-5-mini-2025-08-07"], responder, fetcher, 0.0)
+    found = stages.search(q, "gpt-5 gpt-5-mini-2025-08-07".split(), responder, fetcher, 0.0)
     assert found["citations"].count() == 8 and found["model_responses"].count() == 4 and found["sources"].count() == 2
     src = found["sources"].withColumns({f"{a}_label": F.lit(None).cast("string") for a in ("SP", "SD", "ST")})
     out = stages.judge({"queries": q, "sources": src, "citations": found["citations"]}, found["contents"], judge, 0.0)
