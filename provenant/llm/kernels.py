@@ -85,7 +85,7 @@ def sliding_min(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(key[:-rest], key[rest:]) if rest else key
 
 
-# -- Arrow -------------------------------------------------------------------
+# -- Arrow
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def joined(off: np.ndarray, raw: np.ndarray, i: int, j: int, sep: int = 32) -> t
     return out, at
 
 
-# -- words -------------------------------------------------------------------
+# -- words
 
 
 def byte_class(pattern: str) -> np.ndarray:

@@ -119,7 +119,7 @@ def find_spans(text: str | None) -> list[Span]:
             if mod97(m.group().replace(" ", "")):
                 extra.append(("iban", m.start(), m.end()))
         if _TEL_WORDS.search(text):
-            extra += [("tel", m.start(), m.end()) for m in _TEL.finditer(text)]
+            extra += [("tel", *m.span()) for m in _TEL.finditer(text)]
         taken = [(s, e) for _, s, e in found]
         for kind, s, e in extra:
             if _score(kind, text, s, e) >= THRESHOLD and not any(s < y and x < e for x, y in taken):

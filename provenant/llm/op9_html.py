@@ -150,7 +150,7 @@ def content_roots(root: Node) -> list[Node]:
     return [n for n in found if _size(n)]
 
 
-# -- compact trees and simple tree matching ------------------------------------
+# -- compact trees and simple tree matching
 
 #: label and children; runs of equal leaf siblings are one node with a star.
 Tree = tuple[str, tuple]
@@ -259,7 +259,7 @@ def load(source: str) -> Tree:
     return label, tuple(kids)
 
 
-# -- Spark -----------------------------------------------------------------------
+# -- Spark
 
 
 def host(url: str = "url") -> F.Column:

@@ -8,7 +8,7 @@ import pytest
 
 from provenant.llm import op3_pii, op4_langid, op5_decontam, op8_tokens, op9_html
 
-# -- op3 -------------------------------------------------------------------------
+# -- op3
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -73,7 +73,7 @@ def test_pii_redaction_recounts(spark):
     assert [tuple(r) for r in op3_pii.redact_documents(df).orderBy("doc_id").collect()] == [(1, "mail é [EMAIL]", 14), (2, None, None)]
 
 
-# -- op4 -------------------------------------------------------------------------
+# -- op4
 
 
 def test_language_held_out_accuracy(spark, sf_dir):
@@ -109,7 +109,7 @@ def test_language_prediction_is_the_sum_over_its_ngrams():
     assert np.allclose(scores, [a[1][0] for a in alone])
 
 
-# -- op5 -------------------------------------------------------------------------
+# -- op5
 
 
 def words_of(text):
@@ -161,7 +161,7 @@ def test_decontamination_of_empty_tables(spark, docs, odd, none, share):
     assert op5_decontam.remove_contaminated(odd, some, share).columns == odd.columns
 
 
-# -- op8 -------------------------------------------------------------------------
+# -- op8
 
 
 @pytest.mark.parametrize("leaf", [4, 20, 512])
@@ -207,7 +207,7 @@ def test_token_query(spark, docs, rows, odd, none):
     assert op8_tokens.count_edited(op8_tokens.standard_edits(none)).count() == 0
 
 
-# -- op9 -------------------------------------------------------------------------
+# -- op9
 
 PAGES = [
     ("<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>one\n two<br>three<p>four</article><footer>f</footer>", "A & B one two three four"),
