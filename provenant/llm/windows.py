@@ -120,7 +120,7 @@ def describe(spec: Spec, docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_describe(spec), "mkey long, h1 long, h2 long, doc long, start int, n int")
 
 
-# -- packed runs -------------------------------------------------------------
+# -- packed runs
 
 
 def _pack(spec: Spec) -> Callable:
@@ -164,45 +164,68 @@ def _tokens_of(spec: Spec, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     return flat, np.concatenate(([0], np.cumsum([len(w) for w in words])))
 
 
-def sort_windows(spec: Spec, tokens: np.ndarray, start: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+def _packed_digits(spec: Spec, tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """The digit that starts at each token, and its tokens: eight bytes, or as many word numbers as fit 62 bits."""
+    if spec.tokens == "bytes":
+        width, bits = min(8, spec.length), np.uint64(8)
+    else:
+        size = max(1, int(tokens.max(initial=1)).bit_length())
+        width, bits = min(max(1, 62 // size), spec.length), np.uint64(size)
+    padded = np.concatenate((tokens.astype(np.uint64), np.zeros(width, np.uint64)))
+    code = np.zeros(len(tokens), np.uint64)
+    for b in range(width):
+        code = (code << bits) | padded[b : b + len(tokens)]
+    return code, width
+
+
+def _places(length: int, width: int) -> list[int]:
+    """Where the digits of a window start; the last may overlap the one before."""
+    out = [*range(0, length - width + 1, width)]
+    return out if out[-1] + width >= length else [*out, length - width]
+
+
+def _refine(group: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """Classes by group and digit, in order of both."""
+    order = np.lexsort((digit, group))
+    g, d = group[order], digit[order]
+    new = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def sort_windows(spec: Spec, tokens: np.ndarray, start: np.ndarray, bucket: np.ndarray, hashed: bool = True) -> np.ndarray:
     """Class of each window (of spec.length tokens at `start`): -1 if no other window of its bucket equals it.
 
     Most-significant-digit passes, as deep as the window: the bucket is the first
-    digit, then come digits of several tokens each; after each pass windows that
-    are alone in their class leave.
+    digit; after each pass windows that are alone in their class leave.  The further
+    digits are the two halves of a window, by 64 hash bits; what is still together is
+    then compared by packed tokens.  Were two halves to share a hash, all passes would
+    be done again with digits of packed tokens.
     """
-    group = np.unique(bucket, return_inverse=True)[1] if len(bucket) else bucket
     alive, out = np.arange(len(start)), np.full(len(start), -1, np.int64)
-    if spec.tokens == "bytes":
-        width = min(8, spec.length)
-        padded = np.concatenate((tokens, np.zeros(width, np.uint8)))
-        code = np.zeros(len(tokens), np.uint64)
-        for b in range(width):
-            code = (code << np.uint64(8)) | padded[b : b + len(tokens)]
-    else:
-        size = max(1, int(tokens.max(initial=1)).bit_length())
-        width, bits = min(max(1, 62 // size), spec.length), np.uint64(size)
-        padded = np.concatenate((tokens.astype(np.uint64), np.zeros(width, np.uint64)))
-        code = np.zeros(len(tokens), np.uint64)
-        for b in range(width):
-            code = (code << bits) | padded[b : b + len(tokens)]
-    digits = [*range(0, spec.length - width + 1, width)]
-    if not digits or digits[-1] + width < spec.length:
-        digits.append(max(0, spec.length - width))  # the last digit overlaps the one before
-    for d in [None, *digits]:
+    if not len(start):
+        return out
+    code, width = _packed_digits(spec, tokens)
+    digits, places = code, _places(spec.length, width)
+    if hashed:
+        half = (spec.length + 1) // 2
+        values = K.TABLES[0].take(tokens) if spec.tokens == "bytes" else K.mix(tokens.astype(np.uint64) + np.uint64(1))
+        digits, places = K.window_hash(K.prefix(values, 0), half, 0), [0, spec.length - half]
+    group = np.unique(bucket, return_inverse=True)[1]
+    for d in [None, *places]:
         if d is not None:
-            key = code[start[alive] + d]
-            order = np.lexsort((key, group))
-            g, k = group[order], key[order]
-            new = np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])))
-            cls = np.empty(len(order), np.int64)
-            cls[order] = np.cumsum(new) - 1
-            group = cls
-        size = np.bincount(group) if len(group) else group
-        stay = size[group] > 1 if len(group) else np.zeros(0, bool)
+            group = _refine(group, digits[start[alive] + d])
+        stay = np.bincount(group)[group] > 1
         alive, group = alive[stay], group[stay]
         if not len(alive):
             return out
+    if hashed:
+        order = np.argsort(group, kind="stable")
+        same = np.flatnonzero(group[order][1:] == group[order][:-1])
+        x, y = start[alive[order]][same], start[alive[order]][same + 1]
+        if any((code[x + d] != code[y + d]).any() for d in _places(spec.length, width)):
+            return sort_windows(spec, tokens, start, bucket, False)
     out[alive] = group
     return out
 
@@ -231,34 +254,31 @@ def _bucket_result(spec: Spec, cols: dict[str, np.ndarray], packed: list[bytes])
     return pa.RecordBatch.from_arrays([pa.array(cols["h1"][o]), pa.array(cols["h2"][o]), pa.array(inner[s].astype(np.int32) if len(s) else np.empty(0, np.int32)), pa.array((e - s).astype(np.int32))], names=["h1", "h2", "from_", "many_"])
 
 
+#: Packed runs sorted at once, at least, if there are so many; whole buckets only, so at most this and a bucket.
+_TOGETHER = 1024
+
+
 def _count_buckets(spec: Spec) -> Callable:
-    """Partitions sorted by mkey; whole buckets are gathered over batch ends, up to a size."""
+    """Partitions sorted by mkey; whole buckets are sorted together, over batch ends, _TOGETHER runs or a few more at a time."""
     names = ["mkey", "h1", "h2", "low", "n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            cols = {c: table[c].to_numpy() for c in names}
-            return _bucket_result(spec, cols, table["packed"].to_pylist())
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        return _bucket_result(spec, {c: table[c].to_numpy() for c in names}, table["packed"].to_pylist())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
-            if not b.num_rows:
-                continue
             table = pa.Table.from_batches([b])
-            key = table["mkey"].to_numpy()
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            cuts = [c for i, c in enumerate(cuts) if i % 256 == 255 or i in (0, len(cuts) - 1)]
-            if held and held[0]["mkey"][0].as_py() != key[0]:
-                yield flush(pa.concat_tables(held))
-                held = []
+            held = pa.concat_tables([held, table]) if held is not None else table
+            key = held["mkey"].to_numpy()
             lo = 0
-            for c in cuts:
-                yield flush(pa.concat_tables([*held, table.slice(lo, c - lo)]))
-                held, lo = [], c
-            held.append(table.slice(lo))
-        if held:
-            yield flush(pa.concat_tables(held))
+            for c in (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist():
+                if c - lo >= _TOGETHER:
+                    yield flush(held.slice(lo, c - lo))
+                    lo = c
+            held = held.slice(lo)
+        if held is not None and held.num_rows:
+            yield flush(held)
 
     return run
 
@@ -297,7 +317,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     return durable(rows.select("doc_id", "text", (F.shiftleft("place", 20) + F.col("copy")).alias("doc"))), 20
 
 
-# -- the whole ---------------------------------------------------------------
+# -- the whole
 
 
 def marks(spec: Spec, docs: DataFrame, hot: int = HOT) -> DataFrame:

@@ -87,7 +87,9 @@ def test_sorted_windows_are_classes():
     rng = np.random.default_rng(1)
     for tokens, length, kind in ((rng.integers(0, 2, 400).astype(np.uint8), 9, "bytes"), (rng.integers(0, 3, 300), 5, "words"), (rng.integers(0, 2, 90).astype(np.uint8), 3, "bytes")):
         start = np.arange(len(tokens) - length + 1)
-        cls = sort_windows(Spec(length, 2, kind, False), tokens, start, np.zeros(len(start), np.int64))
+        spec, bucket = Spec(length, 2, kind, False), np.zeros(len(start), np.int64)
+        cls = sort_windows(spec, tokens, start, bucket)
+        assert ((cls >= 0) == (sort_windows(spec, tokens, start, bucket, False) >= 0)).all()
         seen = Counter(tokens[s : s + length].tobytes() for s in start)
         for s in start:
             mine = tokens[s : s + length].tobytes()
@@ -105,3 +107,10 @@ def test_word_hashes_of_a_long_row_match_short_ones(monkeypatch):
     parts = K.words(buf, at, K.ALNUM, lower=True)
     for a, b in zip(whole, parts):
         assert (a == b).all()
+
+
+def test_colliding_hashes_fall_back_to_tokens(monkeypatch):
+    monkeypatch.setattr(K, "window_hash", lambda pre, k, which: np.zeros(len(pre) - k, np.uint64))
+    tokens = np.frombuffer(b"abcdefghij" * 2 + b"klmnopqrst", np.uint8)
+    start = np.array([0, 10, 20, 1])
+    assert (sort_windows(Spec(9, 2, "bytes", False), tokens, start, np.zeros(4, np.int64)) >= 0).tolist() == [True, True, False, False]
