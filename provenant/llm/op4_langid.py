@@ -38,7 +38,7 @@ def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-case code points of all texts, each behind a space, runs of ASCII non-letters as one space; row of each."""
     parts = [np.frombuffer((" " + (t or "").lower()).encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     code = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
     blank = (code < 97) | ((code > 122) & (code < 170))
     keep = ~blank
     keep[1:] |= blank[1:] & ~blank[:-1] | (row[1:] != row[:-1])
@@ -46,8 +46,15 @@ def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(blank, _SPACE, code)[keep], row[keep]
 
 
-def _grams(code: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bucket and row of every n-gram, order by order."""
+def _grams(code: np.ndarray, row: np.ndarray, step: int = K.SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and row of every n-gram, order by order; long texts in pieces that overlap by an n-gram."""
+    most = max(ORDERS)
+    for i in range(0, len(code), step):
+        yield from _piece_grams(code[i : i + step + most - 1], row[i : i + step + most - 1], step)
+
+
+def _piece_grams(code: np.ndarray, row: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the n-grams that start before `step`."""
     h = np.zeros(len(code), np.uint32)
     with np.errstate(over="ignore"):
         for n in ORDERS:
@@ -58,6 +65,7 @@ def _grams(code: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
             x = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
             x ^= x >> np.uint32(13)
             same = row[:m] == row[n - 1 :]
+            same[step:] = False
             yield (x & np.uint32(DIM - 1))[same], row[:m][same]
 
 

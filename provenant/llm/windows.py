@@ -55,7 +55,7 @@ class Spec:
 
 
 def token_values(spec: Spec, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes and the row of each, of joined rows (the separators left out)."""
+    """Tokens (bytes as such, words as hashes) and the row of each, of joined rows (the separators left out)."""
     if spec.tokens == "words":
         _, _, h, row = K.words(buf, at, K.NOT_SPACE)
         return h, row
@@ -64,7 +64,12 @@ def token_values(spec: Spec, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     row = np.cumsum(row, dtype=np.int32)
     keep = np.ones(len(buf), bool)
     keep[np.concatenate((at[1:], [len(buf)])) - 1] = False
-    return K.TABLES[0].take(buf[keep]), row[keep]
+    return buf[keep], row[keep]
+
+
+def hashed(tokens: np.ndarray) -> np.ndarray:
+    """Tokens as 64-bit values; bytes get theirs piece by piece, as they take eight times the room then."""
+    return K.TABLES[0].take(tokens) if tokens.dtype == np.uint8 else tokens
 
 
 def super_kmers(spec: Spec, values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -74,6 +79,7 @@ def super_kmers(spec: Spec, values: np.ndarray, row: np.ndarray) -> tuple[np.nda
     if n <= 0:
         z = np.empty(0, np.int64)
         return z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint64)
+    values = hashed(values)
     pre = K.prefix(values, 0)
     grams = K.window_hash(pre, k, 0)
     pos = np.arange(len(grams), dtype=np.uint64)
@@ -292,7 +298,7 @@ def _single_windows(spec: Spec) -> Callable:
             for i in range(b.num_rows):
                 piece = b.column(5)[i].as_py()
                 raw = np.frombuffer(piece + b" ", np.uint8)
-                values, _ = token_values(spec, raw, np.zeros(1, np.int64))
+                values = hashed(token_values(spec, raw, np.zeros(1, np.int64))[0])
                 w1, w2 = K.window_hash(K.prefix(values, 0), spec.length, 0), K.window_hash(K.prefix(values, 1), spec.length, 1)
                 k = int(n[i])
                 rep = lambda c: pa.array(np.full(k, b.column(c)[i].as_py(), np.int64))  # noqa: B023, E731

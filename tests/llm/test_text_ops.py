@@ -109,6 +109,19 @@ def test_language_prediction_is_the_sum_over_its_ngrams():
     assert np.allclose(scores, [a[1][0] for a in alone])
 
 
+def test_ngrams_in_pieces_are_those_of_the_whole():
+    import numpy as np
+
+    code, row = op4_langid._codes(["some words here", "", "x", "more words, and more"])
+    for step in (1, 2, 3, 7, 1000):
+        parts = [*zip(*((b.tolist(), r.tolist()) for b, r in op4_langid._grams(code, row, step)))]
+        got = sorted((b, r) for bs, rs in zip(*parts) for b, r in zip(bs, rs))
+        if step == 1:
+            want = got
+        assert got == want and len(got) == sum(max(0, (row == k).sum() - n + 1) for k in range(4) for n in op4_langid.ORDERS)
+    assert code.dtype == np.uint32
+
+
 # -- op5
 
 
