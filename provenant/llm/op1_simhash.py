@@ -200,11 +200,11 @@ def _close_pairs(fp: np.ndarray, block: np.ndarray, across: bool) -> Iterator[tu
         if lo >= n:
             break
         d = np.bitwise_count(cols[0][i:j, None] ^ cols[0][None, lo:])
-        for w in (1, 2, 3):
-            part = np.bitwise_count(cols[w][i:j, None] ^ cols[w][None, lo:])
-            d = d + part if w < 3 else np.minimum(d, 191) + part  # at most 192 + 63: no overflow
-        a, b = np.nonzero(d <= MAX_DISTANCE)
-        a, b = a + i, b + lo
+        for w in (1, 2):
+            d += np.bitwise_count(cols[w][i:j, None] ^ cols[w][None, lo:])
+        a, b = np.nonzero(d <= MAX_DISTANCE)  # three words of four already tell nearly all pairs apart
+        near = d[a, b] + np.bitwise_count(cols[3][i + a] ^ cols[3][lo + b]) <= MAX_DISTANCE
+        a, b = a[near] + i, b[near] + lo
         keep = a < b
         if keep.any():
             yield order[a[keep]], order[b[keep]]
