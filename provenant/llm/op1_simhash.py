@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ STRIP, RADIUS, CENTRES = 16, 3, 512
 RECALL = 0.995
 LIST_SIZE = 16_384
 BLOCK = 32_768
+#: Rows a fingerprint that one round of repetitions sends at most.
+SENT = 64.0
 _FP = [f"f{i}" for i in range(4)]
 _SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 
@@ -102,7 +105,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, w])) for w in range(4))], names=["doc_id", *_FP])
 
 
-# -- May-Ozerov --------------------------------------------------------------
+# -- May-Ozerov
 
 
 def collision(distance: int) -> float:
@@ -150,9 +153,9 @@ class Filters:
         """(n, centres) booleans: partial weight at most RADIUS."""
         return np.bitwise_count(strip[:, None] ^ self.points[r, t][None, :]) <= RADIUS
 
-    def lists(self, fp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Repetition, members and list number (below centres ** levels)."""
-        for r in range(self.reps):
+    def lists(self, fp: np.ndarray, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Repetition, members and list number (below centres ** levels) of repetitions first to last - 1."""
+        for r in range(first, last):
             strip = self.strips(fp, r)
             who, name = np.nonzero(self.near(strip[0], r, 0))
             for t in range(1, self.levels):
@@ -253,7 +256,7 @@ def _search(filters):
     return run
 
 
-def _members(filters):
+def _members(filters, first: int, last: int):
     names = ["key", "node", *_FP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,18 +267,15 @@ def _members(filters):
             fp = np.stack([b.column(i).to_numpy() for i in range(1, 5)], axis=1)
             for i in range(0, len(fp), 4096):
                 part = fp[i : i + 4096]
-                for r, who, name in f.lists(part):
+                for r, who, name in f.lists(part, first, last):
                     yield pa.RecordBatch.from_arrays([pa.array(r * total + name), pa.array(node[i + who]), *(pa.array(part[who, w]) for w in range(4))], names=names)
 
     return run
 
 
-def links(nodes: DataFrame, recall: float = RECALL, list_size: int = LIST_SIZE, block: int = BLOCK) -> DataFrame:
-    """node, links, root of every list, from distinct fingerprints node, f0..f3; only nodes with links."""
-    spark = nodes.sparkSession
-    levels = depth(nodes.count(), list_size)
-    filters = spark.sparkContext.broadcast(Filters(levels, repetitions(levels, recall, CENTRES), CENTRES))
-    members = nodes.select("node", *_FP).mapInArrow(_members(filters), "key long, node long, f0 long, f1 long, f2 long, f3 long")
+def _repeat(nodes: DataFrame, filters, first: int, last: int, block: int) -> DataFrame:
+    """What repetitions first to last - 1 find: node, links, root of every list."""
+    members = nodes.select("node", *_FP).mapInArrow(_members(filters, first, last), "key long, node long, f0 long, f1 long, f2 long, f3 long")
     long_lists = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block)
     plain = members.select("*", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
     if not long_lists.isEmpty():
@@ -287,14 +287,29 @@ def links(nodes: DataFrame, recall: float = RECALL, list_size: int = LIST_SIZE,
     return plain.groupBy("key", "i", "j").applyInArrow(_search(filters), "node long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, recall: float = RECALL, list_size: int = LIST_SIZE, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, recall: float = RECALL, list_size: int = LIST_SIZE, block: int = BLOCK, sent: float = SENT) -> DataFrame:
+    """node, links, root of every list, from distinct fingerprints node, f0..f3; only nodes with links.
+
+    Repetitions go in rounds that send at most about `sent` rows a fingerprint, each
+    round's result being kept, so that what is on disk at once doesn't grow with the
+    number of repetitions.
+    """
+    levels = depth(nodes.count(), list_size)
+    reps = repetitions(levels, recall, CENTRES)
+    filters = nodes.sparkSession.sparkContext.broadcast(Filters(levels, reps, CENTRES))
+    step = max(1, int(sent // (CENTRES * PASS) ** levels))
+    parts = [durable(_repeat(nodes, filters, r, min(r + step, reps), block)) for r in range(0, reps, step)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def near_duplicates(docs: DataFrame, recall: float = RECALL, list_size: int = LIST_SIZE, block: int = BLOCK, sent: float = SENT) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (other fingerprints within MAX_DISTANCE), n_copies (rows with this fingerprint)."""
     lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     prints = docs.where(F.col("text").isNotNull()).mapInArrow(_fingerprint, "doc_id long, f0 long, f1 long, f2 long, f3 long")
     prints = durable(prints.withColumn("node", F.xxhash64(*_FP)))
     nodes = durable(prints.groupBy("node", *_FP).agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")))
-    found = durable(links(nodes, recall, list_size, block))
+    found = links(nodes, recall, list_size, block, sent)
     n_links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     classes = nodes.select("node", "least").join(roots, "node")

@@ -30,9 +30,9 @@ def brute(rows):
     return sorted(out + [(i, i, 0, 1) for i, t in rows if t is None])
 
 
-@pytest.mark.parametrize("block", [S.BLOCK, 2])
-def test_all_links(docs, rows, block):
-    got = sorted(map(tuple, S.near_duplicates(docs, block=block).collect()))
+@pytest.mark.parametrize("block,sent", [(S.BLOCK, S.SENT), (2, S.SENT), (S.BLOCK, 20.0)])
+def test_all_links(docs, rows, block, sent):
+    got = sorted(map(tuple, S.near_duplicates(docs, block=block, sent=sent).collect()))
     assert got == brute([r[:2] for r in rows])
     assert sum(n > 1 for n in [x[3] for x in got]) >= 4 and sum(x[2] > 0 for x in got) >= 8
 
@@ -40,8 +40,8 @@ def test_all_links(docs, rows, block):
 def test_two_levels_count_each_link_once(spark, docs, rows, monkeypatch):
     want = {i: n for i, _, n, _ in brute([r[:2] for r in rows])}
     linked = [i for i, n in want.items() if n]
-    monkeypatch.setattr(S, "depth", lambda n, size: 2)
-    got = {r.doc_id: r.n_links for r in S.near_duplicates(docs.where(docs.doc_id.isin(linked)), recall=0.9).collect()}
+    monkeypatch.setattr(S, "depth", lambda n, size: 2)  # eight repetitions in as many rounds of two
+    got = {r.doc_id: r.n_links for r in S.near_duplicates(docs.where(docs.doc_id.isin(linked)), recall=0.9, sent=64.0).collect()}
     assert all(got[i] <= want[i] for i in linked)
     assert sum(got.values()) >= 0.9 * sum(want[i] for i in linked)
 
