@@ -13,7 +13,7 @@ filtered again on the next strip, and so on, until they are expected to hold at
 most `LIST_SIZE` (the depth follows from the number of fingerprints).  Each list
 is then searched by brute force.  Repetitions go on until a pair at the largest
 distance is missed with probability below 1 - `RECALL`; the number comes
-from the exact collision probability on a strip.  A list that is longer than
+from the exact probability that a repetition finds it.  A list that is longer than
 `BLOCK` is cut into blocks, and pairs of blocks are compared in separate tasks:
 nothing is dropped.
 
@@ -108,13 +108,23 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- May-Ozerov
 
 
-def collision(distance: int) -> float:
-    """Expected number of common centres on one level, per centre, of a pair at this distance."""
-    total = 0.0
-    for s in range(min(STRIP, distance) + 1):
-        both = sum(math.comb(s, i) * math.comb(STRIP - s, j) for i in range(s + 1) for j in range(STRIP - s + 1) if i + j <= RADIUS and s - i + j <= RADIUS)
-        total += math.comb(distance, s) * math.comb(BITS - distance, STRIP - s) / math.comb(BITS, STRIP) * both / 2**STRIP
-    return total
+def found_once(distance: int, levels: int, centres: int) -> float:
+    """Probability that one repetition puts a pair at this distance into a common list.
+
+    A level finds the pair if any of its centres is near both; that depends on the
+    differing bits in its strip, so it is averaged over their number, strip by strip,
+    as strips share no coordinate.
+    """
+    share, bits = {distance: 1.0}, BITS
+    for _ in range(levels):
+        left: dict[int, float] = {}
+        for d, weight in share.items():
+            for s in range(max(0, STRIP - bits + d), min(STRIP, d) + 1):
+                both = sum(math.comb(s, i) * math.comb(STRIP - s, j) for i in range(s + 1) for j in range(STRIP - s + 1) if i + j <= RADIUS and s - i + j <= RADIUS)
+                drawn = math.comb(d, s) * math.comb(bits - d, STRIP - s) / math.comb(bits, STRIP)
+                left[d - s] = left.get(d - s, 0.0) + weight * drawn * (1 - (1 - both / 2**STRIP) ** centres)
+        share, bits = left, bits - STRIP
+    return sum(share.values())
 
 
 PASS = sum(math.comb(STRIP, i) for i in range(RADIUS + 1)) / 2**STRIP
@@ -130,8 +140,7 @@ def depth(n: int, list_size: int = LIST_SIZE) -> int:
 
 def repetitions(levels: int, recall: float = RECALL, centres: int = CENTRES) -> int:
     """Repetitions after which a pair at MAX_DISTANCE is missed with probability at most 1 - recall."""
-    found = (1 - math.exp(-collision(MAX_DISTANCE) * centres)) ** levels
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-found_once(MAX_DISTANCE, levels, centres))))
 
 
 class Filters:

@@ -61,6 +61,28 @@ def test_recall_of_the_search_at_the_largest_distance():
     assert met.mean() >= 0.98
 
 
+@pytest.mark.parametrize("levels", [1, 2])
+def test_repetitions_reach_the_recall_at_both_depths(levels):
+    rng, n = np.random.default_rng(11), 2000
+    f = S.Filters(levels, 60, S.CENTRES)
+    x = rng.integers(0, 1 << 63, size=(n, 4), dtype=np.uint64)
+    bits = np.zeros((n, 256), np.uint8)
+    for row in bits:
+        row[rng.permutation(256)[: S.MAX_DISTANCE]] = 1
+    y = x ^ np.packbits(bits, axis=1).view(np.uint64)
+    met = np.ones((f.reps, n), bool)
+    for r in range(f.reps):
+        a, b = f.strips(x, r), f.strips(y, r)
+        for t in range(levels):
+            met[r] &= (f.near(a[t], r, t) & f.near(b[t], r, t)).any(axis=1)
+    # What one repetition finds, over many of them, tells the recall of as many as are made.
+    found = met.mean()
+    assert abs(found - S.found_once(S.MAX_DISTANCE, levels, S.CENTRES)) < 0.02
+    assert 1 - (1 - found) ** S.repetitions(levels) >= S.RECALL - 0.001
+    reps = S.repetitions(levels)
+    assert np.mean([met[i : i + reps].any(axis=0).mean() for i in range(0, f.reps - reps + 1, reps)]) >= S.RECALL - 0.003
+
+
 def test_odd_rows(odd):
     got = {(r.doc_id, r.class_id) for r in S.near_duplicates(odd.where("doc_id IS NOT NULL")).collect()}
     assert got
