@@ -51,6 +51,8 @@ LIST_SIZE = 16_384
 BLOCK = 32_768
 #: Rows a fingerprint that one round of repetitions sends at most.
 SENT = 64.0
+#: Column of row numbers in deduplicate.
+_ROW = "row_number_"
 _FP = [f"f{i}" for i in range(4)]
 _SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 
@@ -331,16 +333,24 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, list_size: int = LI
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each class stays: the one with the least doc_id (of repeated doc_ids with one class, one)."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id != class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    twice = durable(twice)
-    if twice.isEmpty():
-        return kept.select(docs.columns)
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+    """One row of each class stays, the one with the least doc_id; a doc_id that is in several classes or null only if the class has no other.
+
+    Rows are told apart by a number of their own, so a repeated or null doc_id with
+    different texts is judged text by text, and its rows stay or go one by one.  Null
+    texts are in no class and stay; of those that repeat a doc_id, one.
+    """
+    rows = durable(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias(_ROW), "class_id", (F.expr("n_links > 0 OR n_copies > 1")).alias("more"))
+    found = durable(found.join(rows.select(_ROW, F.col("doc_id").cast("long").alias("doc_id")), _ROW))
+    many = found.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a < b AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("several"))
+    ranked = found.where("more").join(many, "doc_id", "left")
+    ranked = ranked.select(_ROW, "class_id", F.struct(F.col("doc_id").isNull().alias("none"), F.col("several").isNotNull().alias("several"), "doc_id", _ROW).alias("rank"))
+    first = ranked.groupBy("class_id").agg(F.min("rank").alias("first"))
+    gone = ranked.join(first, "class_id").where(F.col(_ROW) != F.col("first").getField(_ROW)).select(_ROW)
+    empty = rows.where("text IS NULL AND doc_id IS NOT NULL").select("doc_id", _ROW)
+    again = empty.join(empty.groupBy("doc_id").agg(F.min(_ROW).alias("least")), "doc_id").where(F.col(_ROW) != F.col("least")).select(_ROW)
+    return rows.join(gone.unionByName(again), _ROW, "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """op1 against all pairs."""
 
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -97,6 +98,15 @@ def test_deduplicate_keeps_one_of_each_class(docs, rows):
     assert sorted(r.doc_id for r in S.deduplicate(docs).collect()) == want
 
 
+def test_deduplicate_judges_rows_not_doc_ids(spark):
+    rnd = random.Random(2)
+    a, b, c, d = (" ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (4, d), (None, a), (None, c), (None, "alone here"), (None, "alone here"), (None, None), (None, None), (7, None)]
+    got = [tuple(r) for r in S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    want = [(1, a), (2, b), (3, c), (4, d), (None, "alone here"), (None, None), (None, None), (7, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_empty(none):
     assert S.near_duplicates(none).count() == 0 and S.deduplicate(none).columns == none.columns
 
