@@ -4,8 +4,8 @@ Pages of a host share a template.  For each host a page is taken as its wrapper
 tree, and every other page's block tree is aligned with it by simple tree matching
 (equal tags and classes match; among children the heaviest order-preserving matching
 is found by dynamic programming; repeated siblings are folded into one node).  The
-text of each aligned node is counted over all pages of the host: a text that stays
-the same on most of them is template, a slot whose text varies is content.
+text of each aligned node is counted over all different pages of the host (copies of
+one main text are one page): a text that stays the same on most of them is template, a slot whose text varies is content.
 
 What varies need not be article: menus, adverts and footers differ from page to
 page too.  Slots are therefore typed by their markup: landmarks (nav, header,
@@ -17,7 +17,8 @@ So the method alone, which would call every varying slot content, isn't enough
 for the contract; the typing is an addition to it.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its
-own, ''; pages alone on their host have no template; repeated rows are pages; an
+own, ''; pages alone on their host have no template; repeated rows are pages,
+but count once for the template; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -268,13 +269,16 @@ def host(url: str = "url") -> F.Column:
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        trees, paths, hashes = [], [], []
+        trees, paths, hashes, contents = [], [], [], []
         for source in b.column(2).to_pylist():
-            tree, texts = compact(parse(source))
+            root = parse(source)
+            tree, texts = compact(root)
+            contents.append(xxhash.xxh3_64_intdigest(main_text_of(root)) >> 1)
             trees.append(dump(tree))
             paths.append([".".join(map(str, p)) for p, _ in texts])
             hashes.append([h for _, h in texts])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(trees, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "page_id", "tree", "paths", "hashes"])
+        cols = [b.column(0), b.column(1), pa.array(contents, pa.int64()), pa.array(trees, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["host", "page_id", "content", "tree", "paths", "hashes"])
 
 
 def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,9 +300,11 @@ def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, template array<struct<hash, share, pages>>: texts that stay on most pages of a host with enough of them.
 
-    pages: host, page_id, html.
+    pages: host, page_id, html.  Pages with the same main text (template included) are
+    one page here, so that copies can't make an article template.
     """
-    bones = durable(pages.mapInArrow(_skeletons, "host string, page_id long, tree string, paths array<string>, hashes array<long>"))
+    bones = pages.mapInArrow(_skeletons, "host string, page_id long, content long, tree string, paths array<string>, hashes array<long>")
+    bones = durable(bones.groupBy("host", "content").agg(F.min(F.struct("page_id", "tree", "paths", "hashes")).alias("p")).select("host", "p.*"))
     wrapper = bones.groupBy("host").agg(F.min(F.struct("page_id", "tree")).alias("w"), F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("host", F.col("w.tree").alias("wrapper"), "pages")
     found = bones.join(wrapper.select("host", "wrapper"), "host").select("host", "wrapper", "tree", "paths", "hashes").mapInArrow(_slot_texts, "host string, slot string, hash long")
     often = found.groupBy("host", "slot", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES * TEMPLATE_SHARE)
@@ -309,7 +315,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def main_text(source: str | None, template: dict[int, tuple[float, int]] | None = None) -> str:
     """The main text of one page, given its host's template texts."""
-    root = parse(source)
+    return main_text_of(parse(source), template)
+
+
+def main_text_of(root: Node, template: dict[int, tuple[float, int]] | None = None) -> str:
+    """The main text of a parsed page."""
     template = template or {}
 
     def varies(share: float, pages: int):

@@ -257,6 +257,15 @@ def test_wrapper_of_a_host_without_landmarks(spark):
     assert op9_html.extract(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    marked = "<nav>menu</nav><article><h1>Head</h1><p>Plain paragraph.</p></article><div>stamp {}</div>"
+    plain = "<div class=top>Shop</div><div class=box><p>Body {}</p></div>"
+    rows = [(i, "http://copies.org/", marked.format(i)) for i in range(30)] + [(40 + i, "http://four.org/", plain.format(max(i, 1))) for i in range(4)]
+    got = {r.page_id: r.text for r in op9_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {got[i] for i in range(30)} == {"Head Plain paragraph."}
+    assert all(f"Body {max(i, 1)}" in got[40 + i] for i in range(4))
+
+
 def test_tree_matching():
     t = lambda label, *kids: (label, tuple(kids))
     a = t("b", t("x", t("p"), t("q")), t("y"), t("z"))
