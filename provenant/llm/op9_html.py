@@ -11,7 +11,8 @@ What varies need not be article: menus, adverts and footers differ from page to
 page too.  Slots are therefore typed by their markup: landmarks (nav, header,
 footer, aside, form), roles, and words in class and id.  Where a page marks its
 article (article, main, itemprop, content classes) its blocks are taken, without
-typed boilerplate inside and without what is template on nearly every page of a
+boilerplate inside whose whole class name, role or tag leaves no doubt (ids of
+headings and sections come from their titles) and without what is template on nearly every page of a
 host with many; elsewhere all varying slots but typed and link-dense ones are.
 So the method alone, which would call every varying slot content, isn't enough
 for the contract; the typing is an addition to it.
@@ -50,6 +51,16 @@ _SKIP_WORDS = frozenset(
     "adsense advertising sponsor sponsored sponsors promo promotion promoted comment comments commentlist replies reply respond disqus share sharing social related recommended recommendations newsletter subscribe subscription signup "
     "login popup modal overlay search pagination pager toolbar masthead topbar disclaimer paywall skip toc copyright legal discussion feedback reviews".split()
 )
+#: Inside an article: whole names that leave no doubt; other words may be a topic of its own.
+_SURE = frozenset(
+    "comments comment comment-list commentlist comments-area comments-section comment-section comment-form respond disqus disqus_thread disqus-thread ad ads advert adverts advertisement adsbygoogle ad-slot ad-container "
+    "ad-wrapper ad-unit ad-banner sponsored sponsored-content related-posts related-articles related-links related-stories related-content recommended-posts recommended-articles recommendations share-buttons share-bar "
+    "share-links sharing-buttons social-share social-sharing social-links social-buttons newsletter-signup newsletter-form subscribe-form signup-form breadcrumb breadcrumbs pagination pager navbar sidebar cookie-notice cookie-banner "
+    "cookie-consent consent-banner paywall skip-link post-navigation".split()
+)
+#: Of a section only these ids; others are made from its title.
+_SURE_SECTIONS = frozenset("comments respond disqus_thread".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEAD_WORDS = frozenset("header head topbar masthead".split())
 _CONTENT_WORDS = frozenset("content article post entry story main maincontent articlebody postbody body".split())
 _STRONG = frozenset("article-body article-content post-content post-body entry-content story-body main-content articlebody article-text content-body".split())
@@ -84,13 +95,17 @@ def skipped(node: Node, inside: bool) -> bool:
     role = a.get("role", "")
     if role in _SKIP_ROLES and not (inside and role == "banner"):
         return True
-    words = _words(_names(node))
     if node.tag in ("body", "html", "main"):
         return False
+    if inside:
+        name = a.get("id", "").lower()
+        sure = name in _SURE_SECTIONS if node.tag == "section" else name in _SURE and node.tag not in _HEADINGS
+        return sure or not _SURE.isdisjoint(a.get("class", "").lower().split())
+    words = _words(_names(node))
     if words & _SKIP_WORDS:
         # An article element named after a section of the site is still an article.
         return not (node.tag == "article" and not words & {"comment", "comments", "reply", "related", "ad", "ads", "advert", "promo", "sponsored", "recommended"})
-    return not inside and bool(words & _HEAD_WORDS) and not words & _CONTENT_WORDS
+    return bool(words & _HEAD_WORDS) and not words & _CONTENT_WORDS
 
 
 def blocks(node: Node, inside: bool, keep, out: list[str], relaxed: bool = False) -> None:

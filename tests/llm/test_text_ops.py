@@ -257,6 +257,11 @@ def test_wrapper_of_a_host_without_landmarks(spark):
     assert op9_html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", ["<section id='discussion'><h2 id='related-work'>x</h2></section>", "<h2 id='how-to-search'>x</h2>", "<h2 id='comments'>x</h2>", "<p class='legal'>x</p>", "<div class='reviews'>x</div>", "<div class='side menu-item'>x</div>"])
+def test_topics_of_an_article_are_no_boilerplate(part):
+    assert op9_html.main_text(f"<article><p>a</p>{part}<div class='share-buttons'>s</div><div class='post related-posts'>r</div><div id='comments'>c</div><p>b</p></article>") == "a x b"
+
+
 def test_copies_of_a_page_are_no_template(spark):
     marked = "<nav>menu</nav><article><h1>Head</h1><p>Plain paragraph.</p></article><div>stamp {}</div>"
     plain = "<div class=top>Shop</div><div class=box><p>Body {}</p></div>"
