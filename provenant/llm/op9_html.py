@@ -108,8 +108,11 @@ def skipped(node: Node, inside: bool) -> bool:
     return bool(words & _HEAD_WORDS) and not words & _CONTENT_WORDS
 
 
-def blocks(node: Node, inside: bool, keep, out: list[str], relaxed: bool = False) -> None:
-    """Texts of the blocks below a node in page order; keep(node, text) has the last word."""
+def blocks(node: Node, inside: bool, keep, out: list[str], relaxed: bool = False, body: tuple | None = None) -> None:
+    """Texts of the blocks below a node in page order; keep(node, text) has the last word.
+
+    body: a test and the keep of nodes that are inside of an article although their parents aren't.
+    """
     run: list[str] = []
 
     def flush() -> None:
@@ -124,8 +127,13 @@ def blocks(node: Node, inside: bool, keep, out: list[str], relaxed: bool = False
             run.append(p)
         else:
             flush()
-            if relaxed or not skipped(p, inside):
-                blocks(p, inside, keep, out, relaxed)
+            # Around an inner body a header may hold the heading.
+            head = body and not skipped(p, True) and not _words(_names(p)) & _SKIP_WORDS
+            if relaxed or head or not skipped(p, inside):
+                if body and body[0](p):
+                    blocks(p, True, body[1], out, relaxed)
+                else:
+                    blocks(p, inside, keep, out, relaxed, body)
     flush()
 
 
@@ -147,23 +155,25 @@ def _size(node: Node) -> int:
     return sum(map(len, out))
 
 
-def content_roots(root: Node) -> list[Node]:
-    """The nodes that hold the article, if markup tells."""
+def _is_strong(node: Node) -> bool:
+    return bool(node.attrs) and any(x.lower() in _STRONG for x in _names(node).split())
+
+
+def content_roots(root: Node) -> tuple[list[Node], bool]:
+    """The nodes that hold the article, if markup tells: all outermost ones; and whether what is around an inner article body is judged as outside of it."""
     tests = (
         _is_article,
         lambda n: n.tag == "main" or n.attrs.get("role") == "main",
-        lambda n: bool(n.attrs) and any(x.lower() in _STRONG for x in _names(n).split()),
+        _is_strong,
         lambda n: bool(n.attrs) and n.tag in ("div", "section", "td") and bool(_words(_names(n)) & _CONTENT_WORDS),
     )
     for k, test in enumerate(tests):
         found = [n for n in _roots(root, test, []) if _size(n)]
-        if found and k == 1:
-            inner = [n for r in found for n in _roots(r, tests[2], [])]
-            found = [n for n in inner if _size(n)] or found
         if found:
-            return found if k == 0 else [max(found, key=_size)]
+            # Main holds more than the article at times: lead and heading, but boxes too.
+            return found, k == 1 and any(_size(n) for r in found for n in _roots(r, _is_strong, []))
     found = _roots(root, _is_article, [], True)  # an article inside of something left open
-    return [n for n in found if _size(n)]
+    return [n for n in found if _size(n)], False
 
 
 # -- compact trees and simple tree matching
@@ -345,13 +355,17 @@ def main_text_of(root: Node, template: dict[int, tuple[float, int]] | None = Non
         return keep
 
     out: list[str] = []
-    roots = content_roots(root)
+    roots, around = content_roots(root)
+    article, keep = varies(ARTICLE_SHARE, ARTICLE_PAGES), varies(TEMPLATE_SHARE, MIN_PAGES)
+    page = lambda n, t: keep(n, t) and n.link_chars <= 0.5 * len(t)
     for r in roots:
-        blocks(r, True, varies(ARTICLE_SHARE, ARTICLE_PAGES), out)
+        if around:
+            blocks(r, False, page, out, body=(_is_strong, article))
+        else:
+            blocks(r, True, article, out)
     if out or roots:
         return " ".join(out)
-    keep = varies(TEMPLATE_SHARE, MIN_PAGES)
-    blocks(root, False, lambda n, t: keep(n, t) and n.link_chars <= 0.5 * len(t), out)
+    blocks(root, False, page, out)
     return " ".join(out)
 
 

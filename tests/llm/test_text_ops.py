@@ -262,6 +262,20 @@ def test_topics_of_an_article_are_no_boilerplate(part):
     assert op9_html.main_text(f"<article><p>a</p>{part}<div class='share-buttons'>s</div><div class='post related-posts'>r</div><div id='comments'>c</div><p>b</p></article>") == "a x b"
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("<div class='entry-content'><p>first</p></div><div class=ad>buy</div><div class='entry-content'><p>second part</p></div>", "first second part"),
+        ("<section class=content><p>a</p></section><section class=content><p>longer b</p></section><div class=footer>f</div>", "a longer b"),
+        ("<div class='post-header'><h1>Title</h1></div><div class='post-text'><p>text</p></div>", "Title text"),
+        ("<main><header><h1>Title</h1></header><div class='article-body'><p>text</p></div></main>", "Title text"),
+        ("<main><h1>Title</h1><p>Lead.</p><div class='sidebar'>s</div><div class='widget'>w</div><div class='article-body'><p>text</p></div></main>", "Title Lead. text"),
+    ],
+)
+def test_all_parts_of_a_split_article(source, want):
+    assert op9_html.main_text(source) == want
+
+
 def test_copies_of_a_page_are_no_template(spark):
     marked = "<nav>menu</nav><article><h1>Head</h1><p>Plain paragraph.</p></article><div>stamp {}</div>"
     plain = "<div class=top>Shop</div><div class=box><p>Body {}</p></div>"
