@@ -1,11 +1,12 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host share a template.  For each host a page is taken as its wrapper
-tree, and every other page's block tree is aligned with it by simple tree matching
-(equal tags and classes match; among children the heaviest order-preserving matching
-is found by dynamic programming; repeated siblings are folded into one node).  The
-text of each aligned node is counted over all different pages of the host (copies of
-one main text are one page): a text that stays the same on most of them is template, a slot whose text varies is content.
+Pages of a host share a template.  Its wrapper is the tree into which all its pages
+are merged: nodes whose tags and names are equal from the root down are one slot
+(repeated siblings too; numbers in names don't count).  Every page takes part, of
+whatever layout, and a slot needs no single page that has it.  Each text in a slot
+is counted over all different pages of the host (copies of one main text are one
+page): a text that stays the same on most of them is template, a slot whose text
+varies is content.
 
 What varies need not be article: menus, adverts and footers differ from page to
 page too.  Slots are therefore typed by their markup: landmarks (nav, header,
@@ -65,6 +66,7 @@ _HEAD_WORDS = frozenset("header head topbar masthead".split())
 _CONTENT_WORDS = frozenset("content article post entry story main maincontent articlebody postbody body".split())
 _STRONG = frozenset("article-body article-content post-content post-body entry-content story-body main-content articlebody article-text content-body".split())
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -176,9 +178,9 @@ def content_roots(root: Node) -> tuple[list[Node], bool]:
     return [n for n in found if _size(n)], False
 
 
-# -- compact trees and simple tree matching
+# -- trees
 
-#: label and children; runs of equal leaf siblings are one node with a star.
+#: label and children
 Tree = tuple[str, tuple]
 
 
@@ -187,28 +189,6 @@ def _label(node: Node) -> str:
     return f"{node.tag}.{name}" if name else node.tag
 
 
-def compact(node: Node, path: tuple[int, ...] = (), texts: list | None = None) -> tuple[Tree, list[tuple[tuple[int, ...], int]]]:
-    """The folded label tree, and (path of the folded node, hash of own text) for each text."""
-    texts = [] if texts is None else texts
-    own = _SPACE.sub(" ", " ".join(p for p in node.parts if isinstance(p, str))).strip()
-    if own:
-        texts.append((path, xxhash.xxh3_64_intdigest(own) >> 1))
-    kids: list[Tree] = []
-    last = None
-    for c in node.children:
-        label = _label(c)
-        if not c.children and label == last:
-            at = path + (len(kids) - 1,)
-            own = _SPACE.sub(" ", "".join(c.parts)).strip()
-            if own:
-                texts.append((at, xxhash.xxh3_64_intdigest(own) >> 1))
-            continue
-        tree, _ = compact(c, path + (len(kids),), texts)
-        kids.append(tree)
-        last = label if not c.children else None
-    return (_label(node), tuple(kids)), texts
-
-
 @lru_cache(maxsize=1 << 12)
 def align(a: Tree, b: Tree) -> tuple[int, tuple]:
     """Simple tree matching: its weight, and (child of a, child of b, their match) for matched children."""
@@ -292,49 +272,49 @@ def host(url: str = "url") -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+def _places(root: Node) -> dict[int, int]:
+    """Hash of the labels from the root down to each node, by the node's identity."""
+    out = {id(root): 0}
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            # Names of the whole page and numbers in names tell pages apart, not slots.
+            label = c.tag if c.tag in ("html", "body") else _DIGITS.sub("", _label(c))
+            out[id(c)] = xxhash.xxh3_64_intdigest(label, seed=out[id(node)])
+            stack.append(c)
+    return out
+
+
+def slot_texts(root: Node) -> set[int]:
+    """Hashes of (slot, text) of all texts of a page."""
+    places, out = _places(root), set()
+    blocks(root, False, lambda n, t: out.add(xxhash.xxh3_64_intdigest(t, seed=places[id(n)]) >> 1), [], True)
+    return out
+
+
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        trees, paths, hashes, contents = [], [], [], []
-        for source in b.column(2).to_pylist():
+        contents, texts = [], []
+        for source in b.column(1).to_pylist():
             root = parse(source)
-            tree, texts = compact(root)
             contents.append(xxhash.xxh3_64_intdigest(main_text_of(root)) >> 1)
-            trees.append(dump(tree))
-            paths.append([".".join(map(str, p)) for p, _ in texts])
-            hashes.append([h for _, h in texts])
-        cols = [b.column(0), b.column(1), pa.array(contents, pa.int64()), pa.array(trees, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["host", "page_id", "content", "tree", "paths", "hashes"])
-
-
-def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hosts, names, hashes = [], [], []
-        for h, wrapper, tree, paths, values in zip(*(b.column(i).to_pylist() for i in range(5))):
-            at = slots(load(wrapper), load(tree))
-            seen = set()
-            for p, v in zip(paths, values):
-                slot = at.get(tuple(map(int, p.split("."))) if p else ())
-                if slot is not None and (slot, v) not in seen:
-                    seen.add((slot, v))
-                    hosts.append(h)
-                    names.append(slot)
-                    hashes.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.string()), pa.array(hashes, pa.int64())], names=["host", "slot", "hash"])
+            texts.append(sorted(slot_texts(root)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.int64()), pa.array(texts, pa.list_(pa.int64()))], names=["host", "content", "hashes"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, template array<struct<hash, share, pages>>: texts that stay on most pages of a host with enough of them.
+    """host, template array<struct<hash, share, pages>>: texts in slots that stay on most pages of a host with enough of them.
 
-    pages: host, page_id, html.  Pages with the same main text (template included) are
-    one page here, so that copies can't make an article template.
+    pages: host, html.  Pages with the same main text (template included) are one page
+    here, so that copies can't make an article template; pages without texts are none.
     """
-    bones = pages.mapInArrow(_skeletons, "host string, page_id long, content long, tree string, paths array<string>, hashes array<long>")
-    bones = durable(bones.groupBy("host", "content").agg(F.min(F.struct("page_id", "tree", "paths", "hashes")).alias("p")).select("host", "p.*"))
-    wrapper = bones.groupBy("host").agg(F.min(F.struct("page_id", "tree")).alias("w"), F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("host", F.col("w.tree").alias("wrapper"), "pages")
-    found = bones.join(wrapper.select("host", "wrapper"), "host").select("host", "wrapper", "tree", "paths", "hashes").mapInArrow(_slot_texts, "host string, slot string, hash long")
-    often = found.groupBy("host", "slot", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES * TEMPLATE_SHARE)
-    often = often.join(wrapper.select("host", "pages"), "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
-    # At most 1 / TEMPLATE_SHARE texts a slot, so a host's list is as long as its wrapper at most.
+    bones = pages.mapInArrow(_skeletons, "host string, content long, hashes array<long>").where(F.size("hashes") > 0)
+    bones = durable(bones.groupBy("host", "content").agg(F.min("hashes").alias("hashes")))
+    enough = bones.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    found = bones.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    often = found.where(F.col("n") >= MIN_PAGES * TEMPLATE_SHARE).join(enough, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    # At most 1 / TEMPLATE_SHARE times the texts of a page on average.
     return often.groupBy("host").agg(F.collect_set(F.struct("hash", (F.col("n") / F.col("pages")).alias("share"), "pages")).alias("template"))
 
 
@@ -346,10 +326,11 @@ def main_text(source: str | None, template: dict[int, tuple[float, int]] | None
 def main_text_of(root: Node, template: dict[int, tuple[float, int]] | None = None) -> str:
     """The main text of a parsed page."""
     template = template or {}
+    places = _places(root) if template else {}
 
     def varies(share: float, pages: int):
         def keep(node: Node, text: str) -> bool:
-            t = template.get(xxhash.xxh3_64_intdigest(text) >> 1) if template else None
+            t = template.get(xxhash.xxh3_64_intdigest(text, seed=places[id(node)]) >> 1) if template else None
             return t is None or t[0] < share or t[1] < pages
 
         return keep
@@ -381,7 +362,7 @@ def extract(pages: DataFrame, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     lean(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host().alias("host"), "html")
-    found = durable(wrappers(rows.select("host", "page_id", "html")))
+    found = durable(wrappers(rows.select("host", "html")))
     size = found.agg(F.sum(F.length("host") + 24 * F.size("template") + 64).alias("n")).first()["n"] or 0
     to_dict = lambda items: {x["hash"]: (x["share"], x["pages"]) for x in items or ()}
     if size <= share_bytes:

@@ -285,6 +285,16 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(f"Body {max(i, 1)}" in got[40 + i] for i in range(4))
 
 
+@pytest.mark.parametrize("least", [None, "", "<div class=home><p>Welcome to the shop</p></div>", "<p>404"])
+def test_the_wrapper_is_not_the_first_page(spark, least):
+    page = lambda i: f"<body class=postid-{i}><div class=top>Shop of things</div><div class=box><h1>Title {i}</h1><p>Shop of things</p></div></body>"
+    rows = [(None, "http://h.org/", least), (0, "http://h.org/", least)] + [(i, "http://h.org/", page(i)) for i in range(1, 9)]
+    rows += [(9, "http://h.org/", "<div class=other>Shop of things</div>")]
+    got = {r.page_id: r.text for r in op9_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {i: got[i] for i in range(1, 9)} == {i: f"Title {i}" for i in range(1, 9)}
+    assert got[9] == "Shop of things"  # constant elsewhere, in another slot
+
+
 def test_tree_matching():
     t = lambda label, *kids: (label, tuple(kids))
     a = t("b", t("x", t("p"), t("q")), t("y"), t("z"))
