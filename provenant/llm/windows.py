@@ -44,14 +44,18 @@ _POS = np.uint64((1 << 26) - 1)
 class Spec:
     """length and k in tokens; tokens: 'bytes' or 'words'; earlier: mark windows of earlier documents instead of all repeats.
 
-    shift: low bits of a document number that tell rows of one doc_id apart (numbered).
+    placed: documents have a column place that orders them, as rows of one doc_id aren't earlier than each other (numbered); else doc does.
     """
 
     length: int
     k: int
     tokens: str
     earlier: bool
-    shift: int = 0
+    placed: bool = False
+
+    @property
+    def place(self) -> str:
+        return "place" if self.placed else "doc"
 
 
 def token_values(spec: Spec, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,24 +110,25 @@ def _pieces(spec: Spec, values: np.ndarray, row: np.ndarray) -> Iterator[tuple[i
 
 
 def _describe(spec: Spec) -> Callable:
-    names = ["mkey", "h1", "h2", "doc", "start", "n"]
+    names = ["mkey", "h1", "h2", "doc", "start", "n", *(["place"] if spec.placed else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
+            more = [b.column(2).to_numpy(zero_copy_only=False)] if spec.placed else []
             off, raw = K.string_parts(b.column(1))
             for i, j in K.slices(off):
                 values, row = token_values(spec, *K.joined(off, raw, i, j))
                 begin = np.searchsorted(row, np.arange(j - i))
                 for lo, (first, count, key, h1, h2) in _pieces(spec, values, row):
                     r = row[first + lo]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[i:j][r]), pa.array((first + lo - begin[r]).astype(np.int32)), pa.array(count.astype(np.int32))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[i:j][r]), pa.array((first + lo - begin[r]).astype(np.int32)), pa.array(count.astype(np.int32)), *(pa.array(m[i:j][r]) for m in more)], names=names)
 
     return run
 
 
 def describe(spec: Spec, docs: DataFrame) -> DataFrame:
-    return docs.mapInArrow(_describe(spec), "mkey long, h1 long, h2 long, doc long, start int, n int")
+    return docs.mapInArrow(_describe(spec), "mkey long, h1 long, h2 long, doc long, start int, n int" + (", place long" if spec.placed else ""))
 
 
 # -- packed runs
@@ -244,7 +249,7 @@ def _bucket_result(spec: Spec, cols: dict[str, np.ndarray], packed: list[bytes])
     inner = K.ranges(np.zeros(len(n), np.int64), n)
     cls = sort_windows(spec, tokens, at[:-1][owner] + inner, cols["mkey"][owner])
     if spec.earlier:
-        low = cols["low"][owner] >> spec.shift
+        low = cols["low"][owner]
         least = np.full(int(cls.max(initial=-1)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, cls[cls >= 0], low[cls >= 0])
         mark = (cls >= 0) & (least[cls] < low) if len(least) else np.zeros(len(cls), bool)
@@ -307,20 +312,25 @@ def _single_windows(spec: Spec) -> Callable:
     return run
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, text, doc (unique, ordered as doc_id), and the low bits of doc that tell rows of one doc_id apart.
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, text, doc (unique), and place (ordered as doc_id, null first, equal for rows of one doc_id) if it isn't doc.
 
-    Where doc_id is unique and never null, as it should be, doc is doc_id.
+    Where doc_id is unique and never null, as it should be, doc is doc_id.  Otherwise
+    rows are numbered as they lie, without bringing those of one doc_id together.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 OR doc_id IS NULL")
     if odd.isEmpty():
-        return docs.withColumn("doc", F.col("doc_id")), 0
+        return docs.withColumn("doc", F.col("doc_id")), False
+    low = docs.agg(F.min("doc_id").alias("low")).first()["low"]
+    least = 0 if low is None else low - 1
+    if least >= -(1 << 63):
+        return durable(docs.withColumn("doc", F.monotonically_increasing_id()).withColumn("place", F.coalesce("doc_id", F.lit(least).cast("long")))), True
+    # The least long there is leaves no room below for null: ranks instead.
     ids = docs.select("doc_id").distinct().orderBy(F.col("doc_id").asc_nulls_first())
     place = durable(ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("id long, place long"))
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    rows = docs.withColumn("copy", copy).join(place, F.col("doc_id").eqNullSafe(F.col("id")))
-    return durable(rows.select("doc_id", "text", (F.shiftleft("place", 20) + F.col("copy")).alias("doc"))), 20
+    rows = docs.withColumn("doc", F.monotonically_increasing_id()).join(place, F.col("doc_id").eqNullSafe(F.col("id")))
+    return durable(rows.select("doc_id", "text", "doc", "place")), True
 
 
 # -- the whole
@@ -329,18 +339,18 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
 def marks(spec: Spec, docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc, wins array<struct<start, n>>: runs of marked windows of each document that has any.
 
-    docs: doc long (unique), text string.
+    docs: doc long (unique), text string, and place long if spec.placed.
     """
     found = describe(spec, docs)
-    low, high = F.min("doc").alias("a"), F.max("doc").alias("b")
+    place = spec.place
+    low, high = F.min(place).alias("a"), F.max(place).alias("b")
     shared = found.groupBy("mkey").agg(low, high) if spec.earlier else found.groupBy("mkey").agg(F.count("*").alias("c"))
-    s = spec.shift
-    shared = shared.where(f"shiftright(a, {s}) < shiftright(b, {s})" if spec.earlier else "c > 1").select("mkey")
+    shared = shared.where("a < b" if spec.earlier else "c > 1").select("mkey")
     kept = durable(found.join(shared, "mkey"))
-    runs = kept.groupBy("mkey", "h1", "h2").agg(F.min(F.struct("doc", "start", "n")).alias("one"), F.count("*").alias("many"))
+    runs = kept.groupBy("mkey", "h1", "h2").agg(F.min(F.struct(*dict.fromkeys((place, "doc", "start", "n")))).alias("one"), F.count("*").alias("many"))
     runs = runs.select("mkey", "h1", "h2", "one.*", "many")
     size = runs.groupBy("mkey").agg(F.count("*").alias("distinct_runs")).where("distinct_runs > 1")
-    wanted = runs.join(size, "mkey").select("doc", F.struct("start", "n", "mkey", "h1", "h2", F.col("doc").alias("low"), "many", (F.col("distinct_runs") > hot).alias("hot")).alias("w"))
+    wanted = runs.join(size, "mkey").select("doc", F.struct("start", "n", "mkey", "h1", "h2", F.col(place).alias("low"), "many", (F.col("distinct_runs") > hot).alias("hot")).alias("w"))
     wanted = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
     packed = docs.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "wanted")
     packed = durable(packed.mapInArrow(_pack(spec), "mkey long, h1 long, h2 long, low long, many long, n int, hot boolean, packed binary"))
@@ -351,14 +361,14 @@ def marks(spec: Spec, docs: DataFrame, hot: int = HOT) -> DataFrame:
     if not single.isEmpty():
         by = ["mkey", "w1", "w2"]
         group = single.groupBy(by).agg(F.min("low").alias("least"), F.count("*").alias("c"))
-        again = single.join(group, by).where(f"shiftright(least, {s}) < shiftright(low, {s})" if spec.earlier else "c > 1")
+        again = single.join(group, by).where("least < low" if spec.earlier else "c > 1")
         inside = inside.unionByName(again.select("h1", "h2", F.col("at").alias("from_"), F.lit(1).cast("int").alias("many_")))
     part = inside.groupBy("h1", "h2").agg(F.collect_list(F.struct(F.col("from_").alias("f"), F.col("many_").alias("m"))).alias("some"))
     # An occurrence is marked as a whole if it isn't the first one (or, of repeats, if there are several).
-    whole = runs.where("many > 1").select("h1", "h2", F.col("doc").alias("one"))
+    whole = runs.where("many > 1").select("h1", "h2", F.col(place).alias("one"))
     rule = whole.join(part, ["h1", "h2"], "full")
-    every = F.col("one").isNotNull() & ((F.shiftright("doc", s) > F.shiftright("one", s)) if spec.earlier else F.lit(True))
-    hit = kept.select("h1", "h2", "doc", "start", "n").join(rule, ["h1", "h2"])
+    every = F.col("one").isNotNull() & ((F.col(place) > F.col("one")) if spec.earlier else F.lit(True))
+    hit = kept.select("h1", "h2", *dict.fromkeys((place, "doc")), "start", "n").join(rule, ["h1", "h2"])
     wins = F.when(every, F.array(F.struct("start", "n"))).otherwise(F.transform(F.coalesce("some", F.array().cast("array<struct<f:int,m:int>>")), lambda x: F.struct((F.col("start") + x["f"]).alias("start"), x["m"].alias("n"))))
     return hit.select("doc", wins.alias("wins")).where(F.size("wins") > 0).groupBy("doc").agg(F.flatten(F.collect_list("wins")).alias("wins"))
 
@@ -366,8 +376,9 @@ def marks(spec: Spec, docs: DataFrame, hot: int = HOT) -> DataFrame:
 def apply_marks(spec: Spec, docs: DataFrame, run: Callable, schema: str, hot: int = HOT) -> DataFrame:
     """docs (doc_id, text) with the marked windows of each row, through `run` (batches of doc_id, text, wins)."""
     lean(docs.sparkSession)
-    rows, shift = numbered(docs)
-    found = marks(replace(spec, shift=shift), rows.select("doc", "text"), hot)
+    rows, odd = numbered(docs)
+    spec = replace(spec, placed=odd and spec.earlier)
+    found = marks(spec, rows.select("doc", "text", *(["place"] if spec.placed else [])), hot)
     return rows.join(found.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "wins").mapInArrow(run, schema)
 
 

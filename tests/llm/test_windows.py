@@ -6,9 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from provenant.llm import kernels as K
 from provenant.llm import op7_suffix, op10_substring
+from provenant.llm import windows as W
 from provenant.llm.windows import Spec, sort_windows
 
 
@@ -114,3 +116,18 @@ def test_colliding_hashes_fall_back_to_tokens(monkeypatch):
     tokens = np.frombuffer(b"abcdefghij" * 2 + b"klmnopqrst", np.uint8)
     start = np.array([0, 10, 20, 1])
     assert (sort_windows(Spec(9, 2, "bytes", False), tokens, start, np.zeros(4, np.int64)) >= 0).tolist() == [True, True, False, False]
+
+
+def test_more_rows_of_a_doc_id_than_twenty_bits_hold(spark):
+    n = (1 << 20) + 5
+    docs = spark.range(n, numPartitions=4).selectExpr("CAST(NULL AS long) AS doc_id", "'' AS text").unionByName(spark.createDataFrame([(0, ""), (0, "a"), (1, "")], "doc_id long, text string"))
+    rows, odd = W.numbered(docs)
+    assert odd and rows.select("doc").distinct().count() == rows.count() == n + 3
+    places = {r.doc_id: (r.a, r.b) for r in rows.groupBy("doc_id").agg(F.min("place").alias("a"), F.max("place").alias("b")).collect()}
+    assert all(a == b for a, b in places.values()) and places[None] < places[0] < places[1]
+
+
+def test_the_least_doc_id_there_is_comes_after_null(spark):
+    docs = spark.createDataFrame([(-(1 << 63), "a"), (None, "b"), (5, "c"), (5, "d")], "doc_id long, text string")
+    places = {r.text: r.place for r in W.numbered(docs)[0].collect()}
+    assert places["b"] < places["a"] < places["c"] == places["d"]
