@@ -401,6 +401,12 @@ def extract_indexed(spark, d):
     return X.extract(_responses(spark, d).where("provider_key IN ('anthropic', 'google')")).drop("cited_sentence")
 
 
+@register()
+def extract_indexed_sentences(spark, d):
+    """extract_indexed with the sentences, which SQL doesn't scan."""
+    return X.extract(_responses(spark, d).where("provider_key IN ('anthropic', 'google')"))
+
+
 # -- stages between search and release
 
 
