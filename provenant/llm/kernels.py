@@ -1,9 +1,15 @@
 """NumPy kernels shared by the text operators.
 
 Everything here works on UTF-8 bytes as Arrow hands them over: no Python string
-is built per word.  A slice of documents is joined with one separator byte and
-hashed with prefix polynomials modulo 2**64, so the hash of any run of bytes or
-tokens is a difference of two prefix sums times an inverse power.
+is built per word.  A slice of documents is joined with one separator byte.
+
+A word's hash adds up one random value for each of its bytes and their places
+(tabulation), so words have no structure that makes them collide; beyond
+`PLACES` bytes it is XXH3.  There are two such hashes, with tables and seeds of
+their own.  Runs of tokens are hashed with prefix polynomials modulo 2**64 over
+token values, so the hash of any run is a difference of two prefix sums times an
+inverse power; where 128 bits are asked for, each polynomial runs over a word hash
+of its own.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Documents are handed to the kernels in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
@@ -20,6 +27,9 @@ _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: Two independent byte tables and odd multipliers (5 mod 8: full period).
 TABLES = _RNG.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64)
+#: Random values of a byte at each of the first PLACES places of a word, for two hashes.
+PLACES = 32
+_TABULATION = _RNG.integers(0, 1 << 64, size=(2, PLACES * 256), dtype=np.uint64)
 BASES = (0x9E3779B97F4A7C15 & ~7 | 5, 0xC2B2AE3D27D4EB4F & ~7 | 5)
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -153,21 +163,35 @@ def word_spans(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return edge[0::2], edge[1::2]
 
 
-def words(buf: np.ndarray, at: np.ndarray, table: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, 64-bit hashes and row numbers of the words of joined rows."""
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, two: bool = False) -> np.ndarray:
+    """64-bit hashes of the words [start, end), each followed by a separator; both, as (2, n), if two."""
+    size = end - start
+    out = np.empty((1 + two, len(start)), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE_BYTES, side="right")))
+        lo, hi = start[i], end[j - 1] + 1
+        first = (start[i:j] - lo).astype(np.int32)
+        place = np.arange(hi - lo, dtype=np.int32) - np.repeat(first, np.diff(first, append=hi - lo))
+        np.minimum(place, PLACES - 1, out=place)
+        at = (place << 8 | buf[lo:hi]).astype(np.intp)
+        edge = np.stack((first, end[i:j] - lo), axis=1).ravel()
+        for k in range(1 + two):
+            out[k, i:j] = mix(np.add.reduceat(_TABULATION[k].take(at), edge)[::2])
+        i = j
+    for w in np.flatnonzero(size > PLACES).tolist():
+        word = buf[start[w] : end[w]].tobytes()
+        for k in range(1 + two):
+            out[k, w] = xxhash.xxh3_64_intdigest(word, seed=k + 1)
+    return out if two else out[0]
+
+
+def words(buf: np.ndarray, at: np.ndarray, table: np.ndarray, lower: bool = False, two: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, 64-bit hashes (both, as (2, n), if two) and row numbers of the words of joined rows."""
     if lower:
         buf = LOWER[buf]
     start, end = word_spans(buf, table)
-    if len(buf) <= 4 * SLICE_BYTES:
-        hashes = run_hash(prefix(TABLES[0][buf], 0), start, end, 0)
-    else:  # a very long row: block by block, each ending with a word
-        parts, i = [], 0
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE_BYTES, side="right")))
-            lo, hi = start[i], end[j - 1]
-            parts.append(run_hash(prefix(TABLES[0][buf[lo:hi]], 0), start[i:j] - lo, end[i:j] - lo, 0))
-            i = j
-        hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    hashes = word_hashes(buf, start, end, two)
     row = np.searchsorted(at, start, side="right") - 1
     return start, end, hashes, row
 

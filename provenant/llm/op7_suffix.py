@@ -1,18 +1,24 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered through their first `LENGTH` bytes only, digit by digit,
-most significant first: equal groups are exactly the strings of that length
-that start more than once.  The digits are the minimiser of the string (by which
-suffixes are spread over the cluster, next to each other in one packed run, and
-of which a count drops most suffixes at once), then, inside a bucket, eight bytes
-at a time; after every pass suffixes alone in their group leave.  A run that
-occurs twice as a whole needs no further digit.  See `windows`.
-
-Runs and minimisers are compared by 128 and 64 hash bits, strings inside buckets
-by their bytes.
+Suffixes are ordered through their first `LENGTH` bytes only, digit by digit, most
+significant first: equal groups are exactly the strings of that length that start
+more than once.  `radix` does so, eight bytes a pass.
+
+Which suffixes meet in one task is decided by a digit in front of the first: the
+minimiser of the string (its least-hashed gram of `GRAM` bytes).  Equal strings
+have equal minimisers, and neighbouring suffixes mostly share theirs, so they
+travel as one packed run; spread by their leading bytes each suffix would have to
+travel by itself, with the bytes its later digits are made of.  A count of minimisers drops
+most suffixes before anything is moved, and of runs that are equal as a whole one
+stands for all.  See `windows` for that; a part of more than `hot` different runs is
+split further, into windows counted by a grouping.
+
+Whole runs and windows of hot parts are compared by 128 hash bits, minimisers
+by 64, strings inside parts by all their bytes.
 
 Defined cases: a null text is empty; a text shorter than `LENGTH` bytes loses
-nothing; repeated rows are documents of their own; each byte covered by any
+nothing; a very long text is described in overlapping pieces; repeated rows and
+rows of a repeated or null doc_id are documents of their own; each byte covered by any
 repeated string goes, all copies alike; judged on the input; extra columns are
 ignored; an empty table gives an empty result.
 """
@@ -27,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels as K
+from .radix import equal_prefixes
 from .windows import HOT, Spec, apply_marks, marked_tokens
 
 LENGTH = 200
 GRAM = 32
+SPEC = Spec(LENGTH, GRAM, "bytes", False, order=equal_prefixes)
 
 
 def kept_bytes(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
@@ -61,11 +69,11 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, kept binary: every row's bytes without repeated strings."""
-    return apply_marks(Spec(LENGTH, GRAM, "bytes", False), docs, _clean, "doc_id long, kept binary", hot)
+    return apply_marks(SPEC, docs, _clean, "doc_id long, kept binary", hot)
 
 
 def digest(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    return apply_marks(Spec(LENGTH, GRAM, "bytes", False), docs, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot)
+    return apply_marks(SPEC, docs, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

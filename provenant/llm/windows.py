@@ -52,6 +52,8 @@ class Spec:
     tokens: str
     earlier: bool
     placed: bool = False
+    #: How the windows of a bucket are ordered: tokens, starts, buckets, length to classes; None: sort_windows.
+    order: Callable | None = None
 
     @property
     def place(self) -> str:
@@ -59,9 +61,9 @@ class Spec:
 
 
 def token_values(spec: Spec, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (bytes as such, words as hashes) and the row of each, of joined rows (the separators left out)."""
+    """Tokens (bytes as such, words as two hashes, (2, n)) and the row of each, of joined rows (the separators left out)."""
     if spec.tokens == "words":
-        _, _, h, row = K.words(buf, at, K.NOT_SPACE)
+        _, _, h, row = K.words(buf, at, K.NOT_SPACE, two=True)
         return h, row
     row = np.zeros(len(buf), np.int32)
     row[at[1:]] = 1
@@ -71,20 +73,19 @@ def token_values(spec: Spec, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return buf[keep], row[keep]
 
 
-def hashed(tokens: np.ndarray) -> np.ndarray:
-    """Tokens as 64-bit values; bytes get theirs piece by piece, as they take eight times the room then."""
-    return K.TABLES[0].take(tokens) if tokens.dtype == np.uint8 else tokens
+def hashed(tokens: np.ndarray, which: int) -> np.ndarray:
+    """Tokens as 64-bit values, in two unrelated ways; bytes get theirs piece by piece, as they take eight times the room then."""
+    return K.TABLES[which].take(tokens) if tokens.dtype == np.uint8 else tokens[which]
 
 
 def super_kmers(spec: Spec, values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
     """First token, number of windows, minimiser, two hashes of the run, of all super-k-mers, for tokens in one piece."""
     L, k = spec.length, spec.k
-    n = len(values) - L + 1
+    n = values.shape[-1] - L + 1
     if n <= 0:
         z = np.empty(0, np.int64)
         return z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint64)
-    values = hashed(values)
-    pre = K.prefix(values, 0)
+    pre = K.prefix(hashed(values, 0), 0)
     grams = K.window_hash(pre, k, 0)
     pos = np.arange(len(grams), dtype=np.uint64)
     least = K.sliding_min((grams & ~_POS) | pos, L - k + 1) & _POS
@@ -95,7 +96,7 @@ def super_kmers(spec: Spec, values: np.ndarray, row: np.ndarray) -> tuple[np.nda
     stop = np.flatnonzero(np.concatenate((new[1:] | ~good[1:], [True])) & good) + 1
     count = stop - first
     end = first + count + L - 1
-    other = K.prefix(values, 1)
+    other = K.prefix(hashed(values, 1), 1)
     return first, count, grams[least[first].astype(np.int64)], K.run_hash(pre, first, end, 0), K.run_hash(other, first, end, 1)
 
 
@@ -105,8 +106,8 @@ _PIECE = 1 << 21
 
 def _pieces(spec: Spec, values: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
     step = _PIECE - spec.length + 1
-    for lo in range(0, max(len(values) - spec.length + 1, 1), step):
-        yield lo, super_kmers(spec, values[lo : lo + _PIECE], row[lo : lo + _PIECE])
+    for lo in range(0, max(len(row) - spec.length + 1, 1), step):
+        yield lo, super_kmers(spec, values[..., lo : lo + _PIECE], row[lo : lo + _PIECE])
 
 
 def _describe(spec: Spec) -> Callable:
@@ -247,7 +248,8 @@ def _bucket_result(spec: Spec, cols: dict[str, np.ndarray], packed: list[bytes])
     n = cols["n"].astype(np.int64)
     owner = np.repeat(np.arange(len(n)), n)
     inner = K.ranges(np.zeros(len(n), np.int64), n)
-    cls = sort_windows(spec, tokens, at[:-1][owner] + inner, cols["mkey"][owner])
+    start, bucket = at[:-1][owner] + inner, cols["mkey"][owner]
+    cls = spec.order(tokens, start, bucket, spec.length) if spec.order else sort_windows(spec, tokens, start, bucket)
     if spec.earlier:
         low = cols["low"][owner]
         least = np.full(int(cls.max(initial=-1)) + 1, np.iinfo(np.int64).max)
@@ -295,19 +297,21 @@ def _count_buckets(spec: Spec) -> Callable:
 
 
 def _single_windows(spec: Spec) -> Callable:
-    """Packed runs of hot buckets to one row a window, with two hashes."""
+    """Packed runs of hot buckets to one row a window, with two hashes; many runs at a time."""
+
+    def part(b: pa.RecordBatch) -> pa.RecordBatch:
+        n = b.column(4).to_numpy().astype(np.int64)
+        values, row = token_values(spec, *K.joined(*K.string_parts(b.column(5).cast(pa.large_binary()).view(pa.large_string())), 0, b.num_rows))
+        inside = row[: len(row) - spec.length + 1] == row[spec.length - 1 :]
+        w1, w2 = (K.window_hash(K.prefix(hashed(values, k), k), spec.length, k)[inside] for k in range(2))
+        owner = np.repeat(np.arange(len(n)), n)
+        at = K.ranges(np.zeros(len(n), np.int64), n).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*(pa.array(b.column(c).to_numpy()[owner]) for c in range(4)), pa.array(at), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["mkey", "h1", "h2", "low", "at", "w1", "w2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.column(4).to_numpy().astype(np.int64)
-            for i in range(b.num_rows):
-                piece = b.column(5)[i].as_py()
-                raw = np.frombuffer(piece + b" ", np.uint8)
-                values = hashed(token_values(spec, raw, np.zeros(1, np.int64))[0])
-                w1, w2 = K.window_hash(K.prefix(values, 0), spec.length, 0), K.window_hash(K.prefix(values, 1), spec.length, 1)
-                k = int(n[i])
-                rep = lambda c: pa.array(np.full(k, b.column(c)[i].as_py(), np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([rep(0), rep(1), rep(2), rep(3), pa.array(np.arange(k, dtype=np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["mkey", "h1", "h2", "low", "at", "w1", "w2"])
+            for i in range(0, b.num_rows, 512):
+                yield part(b.slice(i, 512))
 
     return run
 

@@ -174,6 +174,34 @@ def test_decontamination_of_empty_tables(spark, docs, odd, none, share):
     assert op5_decontam.remove_contaminated(odd, some, share).columns == odd.columns
 
 
+@pytest.mark.parametrize("share", [op5_decontam.SHARE_WORDS, 0])
+def test_decontamination_judges_rows(spark, odd, rows, share):
+    """Repeated and null ids, the same on both sides of the switch."""
+    w = max((r[1] or "" for r in rows), key=len).split()
+    items = [(1, " ".join(w[40:75])), (2, " ".join(rows[12][1].split()[:12])), (3, "one"), (4, "one"), (5, " ".join(w[41:52]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    given = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    want = brute5(given, items)
+    assert sorted(map(str, map(tuple, op5_decontam.decontaminate(odd, bench, share).collect()))) == sorted(map(str, want))
+    kept = [(r.doc_id, r.text) for r in op5_decontam.remove_contaminated(odd, bench, share).collect()]
+    assert sorted(map(str, kept)) == sorted(str(g) for g, x in zip(given, want) if not x[5])
+    ids = spark.createDataFrame([(7, items[0][1]), (7, "clean text"), ((1 << 60) + 1, "one")], "doc_id long, text string")
+    assert sorted(map(tuple, op5_decontam.decontaminate(ids, bench, share).collect())) == sorted(brute5([tuple(r) for r in ids.collect()], items))
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("share", [op5_decontam.SHARE_WORDS, 0])
+def test_words_made_to_collide_stay_different(spark, share):
+    rows = [(i, f"x {thue_morse(n, 'b', 'a')} y") for i, n in enumerate((1024, 2048, 16, 32))]
+    items = [(i, thue_morse(n)) for i, n in enumerate((1024, 2048, 16, 32))] + [(9, " ".join(thue_morse(2048)))]
+    rows += [(8, " ".join(thue_morse(2048, "b", "a")))]
+    got = op5_decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), share)
+    assert sorted(map(tuple, got.collect())) == sorted(brute5(rows, items))
+
+
 # -- op8
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from provenant.llm import kernels as K
 from provenant.llm import op7_suffix, op10_substring
 from provenant.llm import windows as W
+from provenant.llm.radix import equal_prefixes
 from provenant.llm.windows import Spec, sort_windows
 
 
@@ -131,3 +132,27 @@ def test_the_least_doc_id_there_is_comes_after_null(spark):
     docs = spark.createDataFrame([(-(1 << 63), "a"), (None, "b"), (5, "c"), (5, "d")], "doc_id long, text string")
     places = {r.text: r.place for r in W.numbered(docs)[0].collect()}
     assert places["b"] < places["a"] < places["c"] == places["d"]
+
+
+def test_words_made_to_collide_stay_different(spark):
+    a, b = ("".join(x if bin(i).count("1") % 2 == 0 else y for i in range(1024)) for x, y in ("ab", "ba"))
+    rest = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*rest[:30], a, *rest[30:]])), (2, " ".join([*rest[:30], b, *rest[30:]])), (3, " ".join([*rest[:30], b, *rest[30:]])), (4, " ".join(a)), (5, " ".join(b))]
+    same(op10_substring.digest(spark.createDataFrame(rows, "doc_id long, text string")), brute10(rows))
+
+
+def test_radix_groups_are_strings_in_order():
+    rng = np.random.default_rng(0)
+    for length in (8, 9, 16, 20, 200):
+        text = rng.integers(0, 2, 3000).astype(np.uint8)
+        text[1000:1500] = text[:500]
+        start = np.arange(len(text) - length + 1)
+        part = rng.integers(0, 3, len(start))
+        got = equal_prefixes(text, start, part, length)
+        key = [(p, text[s : s + length].tobytes()) for s, p in zip(start, part)]
+        seen = Counter(key)
+        assert [g >= 0 for g in got] == [seen[k] > 1 for k in key]
+        names = {}
+        for k, g in zip(key, got):
+            assert g < 0 or names.setdefault(g, k) == k
+        assert [names[g] for g in sorted(names)] == sorted(names.values())
