@@ -8,21 +8,25 @@ in at most `MAX_DISTANCE` bits; classes are the connected components.
 Search for all close pairs of distinct fingerprints, after May and Ozerov: a
 repetition draws disjoint strips of random coordinates, one for each level, and
 random centres on each strip.  A fingerprint stays in the list of a centre if
-its partial weight relative to the centre is at most `RADIUS` there; lists are
-filtered again on the next strip, and so on, until they are expected to hold at
-most `LIST_SIZE` (the depth follows from the number of fingerprints).  Each list
-is then searched by brute force.  Repetitions go on until a pair at the largest
-distance is missed with probability below 1 - `RECALL`; the number comes
-from the exact probability that a repetition finds it.  A list that is longer than
-`BLOCK` is cut into blocks, and pairs of blocks are compared in separate tasks:
-nothing is dropped.
-
-A pair that meets in several lists counts in the first only, which both
-fingerprints tell by themselves, so links are counted without listing pairs; for
-the components each list sends one edge a member.
+its partial weight relative to the centre is at most the radius there; lists are
+filtered again on the next strip, and so on.  Each list is then searched by brute
+force.  Repetitions go on until a pair at the largest distance is missed with
+probability below 1 - `RECALL`; the number comes from the exact probability that a
+repetition finds it.  Width of a strip, radius, centres and levels are those of
+least cost for the number of fingerprints, by a model of rows sent, comparisons
+and tests of centres (`plan`): lists stay short at any size, and rows sent grow slowly.
+
+A list only sends one edge a member, to its component's least node there; a dense
+cluster is absorbed breadth first, without comparing its members among each other.
+Links are counted afterwards, inside the components, so a pair that meets in many
+lists counts once.  A list or component expected to be longer than `BLOCK` is cut into blocks, and
+pairs of blocks are compared in separate tasks: nothing is dropped.
+
+Distinct fingerprints are numbered, so no hash stands for a fingerprint.
 
 Defined cases: a null text takes no part (own class, no links); equal texts,
-empty ones included, share a class; repeated doc_ids are rows of their own with
+empty ones included, share a class; a very long text is one row like any other,
+its features taken piece by piece; repeated doc_ids are rows of their own with
 the class of their text; ties between vote counts are settled by the least
 feature's hash; an empty table gives an empty result; extra columns are ignored.
 """
@@ -31,7 +35,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +50,12 @@ from .session import durable, lean
 
 BITS = 256
 MAX_DISTANCE = 64
-STRIP, RADIUS, CENTRES = 16, 3, 512
 RECALL = 0.995
-LIST_SIZE = 16_384
 BLOCK = 32_768
+#: One fingerprint in so many is looked at to see which lists are longer than BLOCK.
+SAMPLE = 16
+#: Seconds to send a row, compare a pair, test a centre, and take a strip: the cost model of plan.
+ROW_S, PAIR_S, CENTRE_S, STRIP_S = 4e-6, 4.5e-9, 0.7e-9, 0.6e-6
 #: Rows a fingerprint that one round of repetitions sends at most.
 SENT = 64.0
 #: Column of row numbers in deduplicate.
@@ -110,7 +117,29 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- May-Ozerov
 
 
-def found_once(distance: int, levels: int, centres: int) -> float:
+@dataclass(frozen=True)
+class Plan:
+    """Strip width, radius, centres of a level, levels, and repetitions."""
+
+    strip: int
+    radius: int
+    centres: int
+    levels: int
+    reps: int
+
+    @property
+    def stay(self) -> float:
+        """Share of random fingerprints that stay in the list of a centre."""
+        return sum(math.comb(self.strip, i) for i in range(self.radius + 1)) / 2**self.strip
+
+    @property
+    def sent(self) -> float:
+        """Rows a fingerprint that one repetition sends, on average."""
+        return (self.centres * self.stay) ** self.levels
+
+
+@lru_cache(maxsize=None)
+def found_once(distance: int, strip: int, radius: int, centres: int, levels: int) -> float:
     """Probability that one repetition puts a pair at this distance into a common list.
 
     A level finds the pair if any of its centres is near both; that depends on the
@@ -118,153 +147,191 @@ def found_once(distance: int, levels: int, centres: int) -> float:
     as strips share no coordinate.
     """
     share, bits = {distance: 1.0}, BITS
+    level = []
+    for s in range(strip + 1):
+        both = sum(math.comb(s, i) * math.comb(strip - s, j) for i in range(s + 1) for j in range(strip - s + 1) if i + j <= radius and s - i + j <= radius)
+        level.append(1 - (1 - both / 2**strip) ** centres)
     for _ in range(levels):
         left: dict[int, float] = {}
         for d, weight in share.items():
-            for s in range(max(0, STRIP - bits + d), min(STRIP, d) + 1):
-                both = sum(math.comb(s, i) * math.comb(STRIP - s, j) for i in range(s + 1) for j in range(STRIP - s + 1) if i + j <= RADIUS and s - i + j <= RADIUS)
-                drawn = math.comb(d, s) * math.comb(bits - d, STRIP - s) / math.comb(bits, STRIP)
-                left[d - s] = left.get(d - s, 0.0) + weight * drawn * (1 - (1 - both / 2**STRIP) ** centres)
-        share, bits = left, bits - STRIP
+            for s in range(max(0, strip - bits + d), min(strip, d) + 1):
+                drawn = math.comb(d, s) * math.comb(bits - d, strip - s) / math.comb(bits, strip)
+                left[d - s] = left.get(d - s, 0.0) + weight * drawn * level[s]
+        share, bits = left, bits - strip
     return sum(share.values())
 
 
-PASS = sum(math.comb(STRIP, i) for i in range(RADIUS + 1)) / 2**STRIP
+def repetitions(found: float, recall: float = RECALL) -> int:
+    """Repetitions after which a pair that one of them finds with this probability is missed with probability at most 1 - recall."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-found)))
+
+
+def cost(p: Plan, n: int) -> float:
+    """Seconds of work a fingerprint, of n."""
+    return p.reps * (p.sent * (ROW_S + PAIR_S * n * p.stay**p.levels) + p.levels * (STRIP_S + CENTRE_S * p.centres))
 
 
-def depth(n: int, list_size: int = LIST_SIZE) -> int:
-    """Levels until a list is expected to hold at most list_size of n fingerprints."""
-    t = 1
-    while n * PASS**t > list_size and (t + 1) * STRIP <= BITS:
-        t += 1
-    return t
+#: Strip widths, radii, centres and levels that plan looks through.
+_GRID = [(s, r, c, t) for s, most in ((16, 3), (18, 3), (20, 4), (22, 5), (24, 6)) for r in range(2, most + 1) for c in (256, 512, 1024, 2048, 4096) for t in (1, 2, 3)]
 
 
-def repetitions(levels: int, recall: float = RECALL, centres: int = CENTRES) -> int:
-    """Repetitions after which a pair at MAX_DISTANCE is missed with probability at most 1 - recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-found_once(MAX_DISTANCE, levels, centres))))
+@lru_cache(maxsize=64)
+def plan(n: int, recall: float = RECALL) -> Plan:
+    """The cheapest parameters for n distinct fingerprints that reach the recall at MAX_DISTANCE, with lists that fit a block."""
+    best = None
+    for s, r, c, t in _GRID:
+        found = found_once(MAX_DISTANCE, s, r, c, t)
+        if found < 1e-5:
+            continue
+        p = Plan(s, r, c, t, repetitions(found, recall))
+        if n * p.stay**t <= BLOCK and (best is None or cost(p, n) < cost(best, n)):
+            best = p
+    return best or Plan(24, 5, 512, 3, repetitions(found_once(MAX_DISTANCE, 24, 5, 512, 3), recall))
 
 
 class Filters:
-    """Strips and centres of all repetitions; a strip's value looks its centres up."""
+    """Strips and centres of all repetitions."""
 
-    def __init__(self, levels: int, reps: int, centres: int, seed: int = 7):
+    def __init__(self, p: Plan, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.levels, self.reps, self.centres = levels, reps, centres
-        self.coords = np.stack([rng.permutation(BITS)[: levels * STRIP].reshape(levels, STRIP) for _ in range(reps)])
-        self.points = rng.integers(0, 1 << STRIP, size=(reps, levels, centres), dtype=np.uint16)
+        self.plan = p
+        self.coords = np.stack([rng.permutation(BITS)[: p.levels * p.strip].reshape(p.levels, p.strip) for _ in range(p.reps)])
+        self.points = rng.integers(0, 1 << p.strip, size=(p.reps, p.levels, p.centres), dtype=np.uint32)
 
-    def strips(self, fp: np.ndarray, r: int) -> np.ndarray:
-        """(levels, n) uint16: the coordinates of each level's strip."""
-        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1)
-        weight = (1 << np.arange(STRIP)).astype(np.uint32)
-        return np.stack([(bits[:, self.coords[r, t]] * weight).sum(axis=1, dtype=np.uint32).astype(np.uint16) for t in range(self.levels)])
-
-    def near(self, strip: np.ndarray, r: int, t: int) -> np.ndarray:
-        """(n, centres) booleans: partial weight at most RADIUS."""
-        return np.bitwise_count(strip[:, None] ^ self.points[r, t][None, :]) <= RADIUS
+    def near(self, bits: np.ndarray, r: int, t: int) -> np.ndarray:
+        """(n, centres) booleans: partial weight at most the radius; bits: (n, BITS) of 0 and 1."""
+        weight = (1 << np.arange(self.plan.strip)).astype(np.float32)  # exact below 2**24
+        strip = (bits[:, self.coords[r, t]].astype(np.float32) @ weight).astype(np.uint32)
+        return np.bitwise_count(strip[:, None] ^ self.points[r, t][None, :]) <= self.plan.radius
 
     def lists(self, fp: np.ndarray, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Repetition, members and list number (below centres ** levels) of repetitions first to last - 1."""
+        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1)
         for r in range(first, last):
-            strip = self.strips(fp, r)
-            who, name = np.nonzero(self.near(strip[0], r, 0))
-            for t in range(1, self.levels):
-                row, centre = np.nonzero(self.near(strip[t], r, t))
+            who, name = np.nonzero(self.near(bits, r, 0))
+            for t in range(1, self.plan.levels):
+                row, centre = np.nonzero(self.near(bits, r, t))
                 lo = np.searchsorted(row, who)
                 count = np.searchsorted(row, who, "right") - lo
-                name = np.repeat(name * self.centres, count) + centre[K.ranges(lo, count)]
+                name = np.repeat(name * self.plan.centres, count) + centre[K.ranges(lo, count)]
                 who = np.repeat(who, count)
             yield r, who, name
 
-    def first(self, fp: np.ndarray, x: np.ndarray, y: np.ndarray, rep: int, name: int) -> np.ndarray:
-        """Whether list `name` of repetition `rep` is the first that pairs x, y of fp share."""
-        good = np.ones(len(x), bool)
-        for r in range(rep + 1):
-            strip = self.strips(fp, r)
-            met, own = np.ones(len(x), bool), np.ones(len(x), bool)
-            for t in range(self.levels):
-                common = self.near(strip[t], r, t)
-                pack = np.packbits(common, axis=1, bitorder="little")
-                c = name // self.centres ** (self.levels - 1 - t) % self.centres
-                below = np.zeros(self.centres, np.uint8)
-                below[:c] = 1
-                below = np.packbits(below, bitorder="little")
-                for i in range(0, len(x), 1 << 16):
-                    both = pack[x[i : i + (1 << 16)]] & pack[y[i : i + (1 << 16)]]
-                    met[i : i + (1 << 16)] &= both.any(axis=1)
-                    own[i : i + (1 << 16)] &= ~(both & below).any(axis=1)
-            good &= own if r == rep else ~met
-        return good
-
-
-def _close_pairs(fp: np.ndarray, block: np.ndarray, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs x < y within MAX_DISTANCE; across: only of different blocks."""
-    n = len(fp)
-    if across:
-        order = np.argsort(block, kind="stable")
-        cut = int(np.searchsorted(block[order], block.max()))
-    else:
-        order, cut = np.arange(n), n
-    cols = [np.ascontiguousarray(fp[order, w]) for w in range(4)]
-    step = max(1, (1 << 17) // max(n, 1))
-    for i in range(0, cut, step):
-        j = min(i + step, cut)
-        lo = cut if across else i + 1
-        if lo >= n:
-            break
-        d = np.bitwise_count(cols[0][i:j, None] ^ cols[0][None, lo:])
-        for w in (1, 2):
-            d += np.bitwise_count(cols[w][i:j, None] ^ cols[w][None, lo:])
-        a, b = np.nonzero(d <= MAX_DISTANCE)  # three words of four already tell nearly all pairs apart
-        near = d[a, b] + np.bitwise_count(cols[3][i + a] ^ cols[3][lo + b]) <= MAX_DISTANCE
-        a, b = a[near] + i, b[near] + lo
-        keep = a < b
-        if keep.any():
-            yield order[a[keep]], order[b[keep]]
-
-
-def _local_roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Least index of each component of n nodes."""
-    root = np.arange(n)
+
+#: Cells of a distance matrix held at once, and pairs kept before they are folded into roots.
+_CELLS, _PAIRS = 1 << 17, 1 << 20
+
+
+def _near(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of fingerprints (columns of words) within MAX_DISTANCE."""
+    d = np.bitwise_count(a[0][:, None] ^ b[0][None])
+    for w in (1, 2):
+        d += np.bitwise_count(a[w][:, None] ^ b[w][None])
+    x, y = np.nonzero(d <= MAX_DISTANCE)  # three words of four already tell nearly all pairs apart
+    good = d[x, y] + np.bitwise_count(a[3][x] ^ b[3][y]) <= MAX_DISTANCE
+    return x[good], y[good]
+
+
+def _fold(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Roots (least index of each component) after the links x, y are added."""
     while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
+        a, b = root[x], root[y]
+        low = np.minimum(a, b)
+        if (a == b).all():
             return root
-        root = new
+        root = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while not (root[root] == root).all():
+            root = root[root]
 
 
-def _search(filters):
-    """For one list or pair of blocks: node, links that count here, least linked node of the list."""
-    names = ["node", "links", "root"]
+def _roots(fp: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """Least index of each row's component; side: only links between rows of different sides are looked for.
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        f = filters.value
-        total = f.centres**f.levels
-        rep, name = divmod(key[0].as_py(), total)
-        fp = np.stack([table[c].to_numpy() for c in _FP], axis=1).view(np.uint64)
-        node, block = table["node"].to_numpy(), table["block"].to_numpy()
-        order = np.argsort(node, kind="stable")
-        fp, node, block = fp[order], node[order], block[order]
-        links, xs, ys = np.zeros(len(fp), np.int64), [], []
-        for x, y in _close_pairs(fp, block, key[1].as_py() != key[2].as_py()):
-            used, at = np.unique(np.concatenate((x, y)), return_inverse=True)
-            mine = f.first(fp[used], at[: len(x)], at[len(x) :], rep, name)
-            x, y = x[mine], y[mine]
-            links += np.bincount(np.concatenate((x, y)), minlength=len(fp))
-            xs.append(x)
-            ys.append(y)
-        at = np.flatnonzero(links)
-        root = _local_roots(len(fp), np.concatenate(xs), np.concatenate(ys))[at] if len(at) else at
-        return pa.table([pa.array(node[at]), pa.array(links[at]), pa.array(node[root])], names=names)
-
-    return run
+    Rows are compared in blocks with all later ones.  Where a row is near to many, its
+    component is taken in breadth first and leaves as a whole.
+    """
+    cols = [np.ascontiguousarray(fp[:, w]) for w in range(4)]
+    take = lambda at: [c[at] for c in cols]
+    root, xs, ys, held = np.arange(len(fp)), [], [], 0
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal root, held
+        xs.append(x)
+        ys.append(y)
+        held += len(x)
+        if held > _PAIRS:
+            root = _fold(root, np.concatenate(xs), np.concatenate(ys))
+            xs.clear()
+            ys.clear()
+            held = 0
+
+    def across(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, _CELLS // max(1, len(b)))
+        for i in range(0, len(a), step):
+            x, y = _near(take(a[i : i + step]), take(b))
+            yield a[i : i + step][x], b[y]
+
+    if side is not None:
+        one, two = np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min())
+        for x, y in across(one, two):
+            add(x, y)
+    else:
+        left = np.arange(len(fp))
+        while len(left) > 1:
+            step = max(1, _CELLS // len(left))
+            x, y = _near(take(left[:step]), take(left))
+            each = np.bincount(x, minlength=1)
+            if (most := int(each.max(initial=0))) > 256 and 8 * most > len(left):
+                near = np.zeros(len(left), bool)
+                near[y[x == each.argmax()]] = True
+                inside, rest = left[near], left[~near]
+                front = [inside]
+                while len(front[-1]) and len(rest):
+                    hit = np.zeros(len(fp), bool)
+                    for _, y in across(front[-1], rest):
+                        hit[y] = True
+                    front.append(rest[hit[rest]])
+                    rest = rest[~hit[rest]]
+                every = np.concatenate(front)
+                add(np.full(len(every), every[0]), every)
+                left = rest
+            else:
+                later = y > x
+                add(left[x[later]], left[y[later]])
+                left = left[step:]
+    return _fold(root, np.concatenate(xs), np.concatenate(ys)) if xs else root
+
+
+def _prints(table: pa.Table) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in _FP], axis=1).view(np.uint64)
+
+
+def _search(key: tuple, table: pa.Table) -> pa.Table:
+    """One list or pair of blocks: u, v (its component's least node there) of linked nodes."""
+    table = table.sort_by("node")
+    node = table["node"].to_numpy()
+    root = _roots(_prints(table), None if key[1].as_py() == key[2].as_py() else table["block"].to_numpy())
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
+
+
+def _count(key: tuple, table: pa.Table) -> pa.Table:
+    """One component or pair of blocks of one: node, links."""
+    fp, node, block = _prints(table), table["node"].to_numpy(), table["block"].to_numpy()
+    across = key[1].as_py() != key[2].as_py()
+    one = np.flatnonzero(block == block.min()) if across else np.arange(len(fp))
+    two = np.flatnonzero(block != block.min()) if across else one
+    links = np.zeros(len(fp), np.int64)
+    other = [np.ascontiguousarray(fp[two, w]) for w in range(4)]
+    step = max(1, _CELLS // max(1, len(two)))
+    for i in range(0, len(one), step):
+        x, y = _near([np.ascontiguousarray(fp[one[i : i + step], w]) for w in range(4)], other)
+        links += np.bincount(one[i : i + step][x], minlength=len(fp))
+        if across:
+            links += np.bincount(two[y], minlength=len(fp))
+    return pa.table([pa.array(node), pa.array(links if across else links - 1)], names=["node", "links"])
 
 
 def _members(filters, first: int, last: int):
@@ -272,62 +339,76 @@ def _members(filters, first: int, last: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = filters.value
-        total = f.centres**f.levels
+        total = f.plan.centres**f.plan.levels
         for b in batches:
             node = b.column(0).to_numpy()
             fp = np.stack([b.column(i).to_numpy() for i in range(1, 5)], axis=1)
-            for i in range(0, len(fp), 4096):
-                part = fp[i : i + 4096]
+            for i in range(0, len(fp), 1024):
+                part = fp[i : i + 1024]
                 for r, who, name in f.lists(part, first, last):
                     yield pa.RecordBatch.from_arrays([pa.array(r * total + name), pa.array(node[i + who]), *(pa.array(part[who, w]) for w in range(4))], names=names)
 
     return run
 
 
-def _repeat(nodes: DataFrame, filters, first: int, last: int, block: int) -> DataFrame:
-    """What repetitions first to last - 1 find: node, links, root of every list."""
-    members = nodes.select("node", *_FP).mapInArrow(_members(filters, first, last), "key long, node long, f0 long, f1 long, f2 long, f3 long")
-    long_lists = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block)
-    plain = members.select("*", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    if not long_lists.isEmpty():
-        long_lists = durable(long_lists)
-        cut = members.join(long_lists, "key").withColumn("m", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-        cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        cut = cut.select("key", "node", *_FP, "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-        plain = plain.join(long_lists, "key", "left_anti").unionByName(cut)
-    return plain.groupBy("key", "i", "j").applyInArrow(_search(filters), "node long, links long, root long")
+def _cut(members: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFrame:
+    """members with block, i, j: those of keys in sizes (key, size) in pairs of blocks of about `block` rows, others whole."""
+    plain = members.select("*", *(F.lit(0).alias(c) for c in ("block", "i", "j")))
+    if sizes.isEmpty():
+        return plain
+    cols = members.columns
+    cut = members.join(sizes, key).withColumn("m", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    cut = cut.select(*cols, "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    return plain.join(sizes, key, "left_anti").unionByName(cut)
+
 
+_MEMBERS = "key long, node long, f0 long, f1 long, f2 long, f3 long"
 
-def links(nodes: DataFrame, recall: float = RECALL, list_size: int = LIST_SIZE, block: int = BLOCK, sent: float = SENT) -> DataFrame:
-    """node, links, root of every list, from distinct fingerprints node, f0..f3; only nodes with links.
+
+def edges(nodes: DataFrame, recall: float = RECALL, block: int = BLOCK, sent: float = SENT, sample: int = SAMPLE, parameters: Plan | None = None) -> DataFrame:
+    """u, v: links that connect every component, from distinct fingerprints node, f0..f3.
 
     Repetitions go in rounds that send at most about `sent` rows a fingerprint, each
     round's result being kept, so that what is on disk at once doesn't grow with the
-    number of repetitions.
+    number of repetitions.  Which lists are cut is told by every `sample`-th node;
+    cutting one more or less changes no result.
     """
-    levels = depth(nodes.count(), list_size)
-    reps = repetitions(levels, recall, CENTRES)
-    filters = nodes.sparkSession.sparkContext.broadcast(Filters(levels, reps, CENTRES))
-    step = max(1, int(sent // (CENTRES * PASS) ** levels))
-    parts = [durable(_repeat(nodes, filters, r, min(r + step, reps), block)) for r in range(0, reps, step)]
+    p = parameters or plan(nodes.count(), recall)
+    filters = nodes.sparkSession.sparkContext.broadcast(Filters(p))
+    nodes = nodes.select("node", *_FP)
+    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0)
+    step = max(1, int(sent // p.sent))
+    parts = []
+    for r in range(0, p.reps, step):
+        one = _members(filters, r, min(r + step, p.reps))
+        sizes = durable(some.mapInArrow(one, _MEMBERS).groupBy("key").agg((F.count("*") * sample).alias("size")).where(F.col("size") > block))
+        found = _cut(nodes.mapInArrow(one, _MEMBERS), sizes, "key", block).groupBy("key", "i", "j").applyInArrow(_search, "u long, v long")
+        parts.append(durable(found.distinct()))
     return reduce(DataFrame.unionByName, parts)
 
 
-def near_duplicates(docs: DataFrame, recall: float = RECALL, list_size: int = LIST_SIZE, block: int = BLOCK, sent: float = SENT) -> DataFrame:
+def count_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node, n_links: other nodes of the component (root) within MAX_DISTANCE; nodes: node, root, f0..f3."""
+    sizes = durable(nodes.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > block))
+    found = _cut(nodes.select("root", "node", *_FP), sizes, "root", block).groupBy("root", "i", "j").applyInArrow(_count, "node long, links long")
+    return found.groupBy("node").agg(F.sum("links").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, recall: float = RECALL, block: int = BLOCK, sent: float = SENT, sample: int = SAMPLE, parameters: Plan | None = None) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (other fingerprints within MAX_DISTANCE), n_copies (rows with this fingerprint)."""
     lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    prints = docs.where(F.col("text").isNotNull()).mapInArrow(_fingerprint, "doc_id long, f0 long, f1 long, f2 long, f3 long")
-    prints = durable(prints.withColumn("node", F.xxhash64(*_FP)))
-    nodes = durable(prints.groupBy("node", *_FP).agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")))
-    found = links(nodes, recall, list_size, block, sent)
-    n_links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    classes = nodes.select("node", "least").join(roots, "node")
+    prints = durable(docs.where(F.col("text").isNotNull()).mapInArrow(_fingerprint, "doc_id long, f0 long, f1 long, f2 long, f3 long"))
+    nodes = prints.groupBy(*_FP).agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
+    roots = components(edges(nodes, recall, block, sent, sample, parameters))
+    classes = durable(nodes.join(roots, "node"))
+    n_links = count_links(classes, block)
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    node = nodes.select("node", "least", "n_copies").join(classes.join(least, "root").select("node", "class_id"), "node", "left").join(n_links, "node", "left")
-    node = node.select("node", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
-    rows = prints.select("doc_id", "node").join(node, "node").select("doc_id", "class_id", "n_links", "n_copies")
+    linked = classes.select("node", "root").join(least, "root").join(n_links, "node").select("node", "class_id", "n_links")
+    node = nodes.join(linked, "node", "left").select(*_FP, F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+    rows = prints.join(node, _FP).select("doc_id", "class_id", "n_links", "n_copies")
     null = docs.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return rows.unionByName(null)
 
