@@ -54,8 +54,8 @@ RECALL = 0.995
 BLOCK = 32_768
 #: One fingerprint in so many is looked at to see which lists are longer than BLOCK.
 SAMPLE = 16
-#: Seconds to send a row, compare a pair, test a centre, and take a strip: the cost model of plan.
-ROW_S, PAIR_S, CENTRE_S, STRIP_S = 4e-6, 4.5e-9, 0.7e-9, 0.6e-6
+#: Seconds to send a row (its bytes on disk and network weighed in), compare a pair, test a centre, and take a strip: the cost model of plan.
+ROW_S, PAIR_S, CENTRE_S, STRIP_S = 1.6e-5, 4.5e-9, 0.7e-9, 0.6e-6
 #: Rows a fingerprint that one round of repetitions sends at most.
 SENT = 64.0
 #: Column of row numbers in deduplicate.
@@ -378,7 +378,7 @@ def edges(nodes: DataFrame, recall: float = RECALL, block: int = BLOCK, sent: fl
     filters = nodes.sparkSession.sparkContext.broadcast(Filters(p))
     nodes = nodes.select("node", *_FP)
     some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0)
-    step = max(1, int(sent // p.sent))
+    step = -(-p.reps // math.ceil(p.reps * p.sent / sent))
     parts = []
     for r in range(0, p.reps, step):
         one = _members(filters, r, min(r + step, p.reps))
@@ -391,7 +391,10 @@ def edges(nodes: DataFrame, recall: float = RECALL, block: int = BLOCK, sent: fl
 def count_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """node, n_links: other nodes of the component (root) within MAX_DISTANCE; nodes: node, root, f0..f3."""
     sizes = durable(nodes.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > block))
-    found = _cut(nodes.select("root", "node", *_FP), sizes, "root", block).groupBy("root", "i", "j").applyInArrow(_count, "node long, links long")
+    by = ["root", "i", "j"]
+    # So many partitions in any case: the rows are few, the pairs among them many.
+    members = _cut(nodes.select("root", "node", *_FP), sizes, "root", block).repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    found = members.groupBy(*by).applyInArrow(_count, "node long, links long")
     return found.groupBy("node").agg(F.sum("links").alias("n_links"))
 
 
@@ -404,7 +407,7 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, block: int = BLOCK,
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     roots = components(edges(nodes, recall, block, sent, sample, parameters))
     classes = durable(nodes.join(roots, "node"))
-    n_links = count_links(classes, block)
+    n_links = count_links(classes, max(2, block // 4))
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
     linked = classes.select("node", "root").join(least, "root").join(n_links, "node").select("node", "class_id", "n_links")
     node = nodes.join(linked, "node", "left").select(*_FP, F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
