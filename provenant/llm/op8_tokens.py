@@ -2,24 +2,29 @@
 
 A document is kept as a segment tree.  Its leaves are runs of whole pre-tokens of
 about `LEAF_CHARS` characters, each with its characters and its BPE tokens; inner
-nodes hold sums.  Leaves are cut only between a letter and a blank before a letter:
-there a pre-token ends whatever the rest of the text is, so leaves can be encoded
-by themselves and their counts add up to the count of the whole.
-
-An edit (replace code points [start, stop) by a text) finds its leaves from the
-character sums, takes in the neighbour whose cut it touches (the boundary context),
-re-encodes those leaves only and updates the sums above them.
+nodes hold sums.  Leaves are cut only where a pre-token ends whatever the rest of
+the text is, which two characters tell: in front of a blank behind anything else,
+between letters, digits and other marks (but not from an apostrophe to a letter).  So leaves can be encoded
+by themselves and their counts add up to the count of the whole, for code and
+languages without blanks too.
+
+`trees` computes what is kept of each document: characters and tokens of its leaves
+and a hash of its text.  An edit (replace code points [start, stop) by a text) takes the kept
+tree, finds its leaves from the character sums, takes in the neighbour whose cut it
+touches (the boundary context), re-encodes those leaves only and updates the sums
+above them.  A tree whose hash isn't that of the text is built anew.
 
 Defined cases: a null text counts as empty, with 0 tokens; positions are clipped to
 the text, a stop before start deletes nothing; null edits are skipped, a null
 replacement is empty; edits apply in order, each to the result of those before;
 repeated rows are counted each; extra columns are ignored; an empty table gives an
-empty result.  Texts without such a cut are a single leaf.
+empty result; a very long text is a tree of many leaves, a run of letters without any cut one leaf.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -27,10 +32,11 @@ from itertools import accumulate
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import lean
+from .session import checkpoint_folder, lean
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-token pattern of these ranks.
@@ -38,7 +44,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEAF_CHARS = 512
 #: A leaf that edits have grown to this many times LEAF_CHARS makes the tree be built anew.
 GROWN = 8
-_CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")
+_CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])|(?<=')(?=\p{N})")
 
 
 @lru_cache(maxsize=2)
@@ -146,23 +152,50 @@ class TokenTree:
             self._build(cut(self.text()))
 
 
+def text_hash(text: str | None) -> int:
+    """Of what a kept tree was built from: 63 bits over all characters."""
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"), seed=LEAF_CHARS) >> 1
+
+
 def _trees(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
         for b in batches:
-            chars, tokens = [], []
-            for text in b.column(1).to_pylist():
+            at = b.schema.get_field_index("text")
+            chars, tokens, hashes = [], [], []
+            for text in b.column(at).to_pylist():
                 t = TokenTree(text, path)
                 used = [i for i in range(t.base) if t.leaves[i]]
                 chars.append([t.chars[t.base + i] for i in used])
                 tokens.append([t.tokens[t.base + i] for i in used])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "leaf_chars", "leaf_tokens"])
+                hashes.append(text_hash(text))
+            kept = (pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32())), pa.array(hashes, pa.int64()))
+            for name, column in zip(TREE, kept):
+                b = b.append_column(name, column)
+            yield b
 
     return run
 
 
+#: Columns of a kept tree.
+TREE = ("leaf_chars", "leaf_tokens", "tree_hash")
+
+
 def trees(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """doc_id, leaf_chars, leaf_tokens: what has to be kept of each tree (inner sums follow)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_trees(path), "doc_id long, leaf_chars array<int>, leaf_tokens array<int>")
+    """docs with what has to be kept of each row's tree (inner sums follow): leaf_chars, leaf_tokens, tree_hash."""
+    lean(docs.sparkSession)
+    docs = docs.drop(*TREE)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "leaf_chars array<int>, leaf_tokens array<int>, tree_hash long"])
+    return docs.mapInArrow(_trees(path), schema)
+
+
+def kept_tree(text: str, chars: list[int] | None, tokens: list[int] | None, known: int | None, path: str = RANKS) -> TokenTree:
+    """The tree of trees() without encoding anything; built anew if it isn't this text's."""
+    if chars is None or tokens is None or len(chars) != len(tokens) or sum(chars) != len(text) or known != text_hash(text):
+        return TokenTree(text, path)
+    t = TokenTree("", path)
+    t._build([text[j - n : j] for n, j in zip(chars, accumulate(chars))] or [""], tokens or [0])
+    return t
 
 
 def _recount(path: str, kept: bool):
@@ -171,22 +204,18 @@ def _recount(path: str, kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for r in range(b.num_rows):
-                text, edits = b.column(1)[r].as_py() or "", b.column(2)[r].as_py() or []
-                t = None
-                if kept and (counts := b.column(4)[r].as_py()) and (at := b.column(3)[r].as_py()) and sum(at) == len(text):
-                    t = TokenTree("", path)
-                    ends = [*accumulate(at)]
-                    t._build([text[j - n : j] for n, j in zip(at, ends)], counts)
-                t = t or TokenTree(text, path)
-                before, t.encoded_chars, n = t.n_tokens, 0, 0
-                for e in edits:
+            for ident, text, edits, *tree in zip(*(c.to_pylist() for c in b.columns)):
+                t = kept_tree(text or "", *tree, path) if kept else TokenTree(text, path)
+                before, n = t.n_tokens, 0
+                if not kept:
+                    t.encoded_chars = 0
+                for e in edits or ():
                     if e is not None and e["start"] is not None and e["stop"] is not None:
                         t.edit(e["start"], e["stop"], e["new"] or "")
                         n += 1
-                rows.append((before, n, t.n_tokens, t.n_chars, t.encoded_chars))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=names)
+                rows.append((ident, before, n, t.n_tokens, t.n_chars, t.encoded_chars))
+            cols = list(zip(*rows)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     return run
 
@@ -195,15 +224,15 @@ _OUT = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_chars_
 
 
 def count_edited(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """Counts before and after the edits of each row.
+    """Counts before and after the edits of each row, and the characters that had to be encoded for the edits.
 
     docs: doc_id, text, edits array<struct<start, stop, new>>, and, where kept from
-    before, leaf_chars and leaf_tokens of `trees`, so that only edits are encoded.
+    before, the columns of `trees`: then only what edits touch is encoded.
     """
     lean(docs.sparkSession)
-    kept = {"leaf_chars", "leaf_tokens"} <= {*docs.columns}
+    kept = {*TREE} <= {*docs.columns}
     cols = [F.col("doc_id").cast("long"), F.col("text"), F.col("edits").cast("array<struct<start:bigint,stop:bigint,new:string>>").alias("edits")]
-    return docs.select(*cols, *(["leaf_chars", "leaf_tokens"] if kept else [])).mapInArrow(_recount(path, kept), _OUT)
+    return docs.select(*cols, *(TREE if kept else [])).mapInArrow(_recount(path, kept), _OUT)
 
 
 #: Edits of each document in the registered query.
@@ -225,5 +254,8 @@ def standard_edits(docs: DataFrame, n: int = N_EDITS) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents, kept as Parquet in the shared folder, then edited from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return count_edited(standard_edits(docs.select("doc_id", "text")))
+    folder = f"{checkpoint_folder(spark)}/trees-{uuid.uuid4().hex}"
+    trees(docs.select("doc_id", "text")).write.parquet(folder)
+    return count_edited(standard_edits(spark.read.parquet(folder)))

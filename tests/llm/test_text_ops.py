@@ -210,8 +210,8 @@ def test_edited_counts_equal_full_counts(leaf, monkeypatch):
     monkeypatch.setattr(op8_tokens, "LEAF_CHARS", leaf)
     monkeypatch.setattr(op8_tokens.cut, "__defaults__", (leaf,))
     enc, rnd = op8_tokens.encoding(op8_tokens.RANKS), random.Random(leaf)
-    bits = ["a", " the", " word", "'s", "  ", "\n", "\n\n", " 12", "!?", " É", " x y z", "'ll ", "don't ", " \t", "7", ".", " don", "'", "t s", "日本", " 語"]
-    for _ in range(300):
+    bits = ["a", " the", " word", "'s", "  ", "\n", "\n\n", " 12", "!?", " É", " x y z", "'ll ", "don't ", " \t", "7", ".", " don", "'", "t s", "日本", " 語", "語。", "，本", "x=1", "'9", "'t9", "_", "e\u0301", "\u00a0"]
+    for _ in range(600):
         text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60)))
         tree = op8_tokens.TokenTree(text)
         for _ in range(6):
@@ -231,7 +231,29 @@ def test_edits_reencode_little_of_a_long_text():
     assert 0 < tree.encoded_chars < 4 * op8_tokens.LEAF_CHARS
 
 
-def test_token_query(spark, docs, rows, odd, none):
+@pytest.mark.parametrize("text", ["中文，没有空格。" * 2500, "x=f(a[1],b.c);" * 1500, "日本語" * 400 + "。" + "語。" * 4000])
+def test_edits_reencode_little_without_blanks(text):
+    tree = op8_tokens.TokenTree(text)
+    tree.encoded_chars = 0
+    tree.edit(9_000, 9_003, "新x")
+    assert 0 < tree.encoded_chars < 4 * op8_tokens.LEAF_CHARS
+    assert tree.n_tokens == len(tree.encoding.encode_ordinary(text[:9_000] + "新x" + text[9_003:]))
+
+
+def test_a_kept_tree_is_used_for_its_own_text_only():
+    text = "some words and more " * 200
+    full = op8_tokens.TokenTree(text)
+    used = [i for i in range(full.base) if full.leaves[i]]
+    chars, tokens = [full.chars[full.base + i] for i in used], [full.tokens[full.base + i] for i in used]
+    kept = op8_tokens.kept_tree(text, chars, tokens, op8_tokens.text_hash(text))
+    assert kept.encoded_chars == 0 and kept.n_tokens == full.n_tokens
+    other = text[::-1]
+    again = op8_tokens.kept_tree(other, chars, tokens, op8_tokens.text_hash(text))
+    assert again.encoded_chars == len(other) and again.n_tokens == len(again.encoding.encode_ordinary(other))
+    assert op8_tokens.kept_tree("", [], [], op8_tokens.text_hash("")).n_tokens == 0
+
+
+def test_token_query(spark, docs, rows, odd, none, sf_dir):
     enc = op8_tokens.encoding(op8_tokens.RANKS)
     edited = op8_tokens.standard_edits(docs)
     got = {r.doc_id: r for r in op8_tokens.count_edited(edited).collect()}
@@ -242,10 +264,16 @@ def test_token_query(spark, docs, rows, odd, none):
             s = min(max(e.start, 0), len(text))
             text = text[:s] + (e.new or "") + text[min(max(e.stop, s), len(text)) :]
         assert (got[r.doc_id].n_tokens_edited, got[r.doc_id].n_chars_edited) == (len(enc.encode_ordinary(text)), len(text))
-    again = op8_tokens.count_edited(edited.join(op8_tokens.trees(docs), "doc_id"))
-    assert {r.doc_id: r for r in again.collect()} == got
+    kept = op8_tokens.trees(docs.select("doc_id", "text"))
+    assert {r.doc_id: r for r in op8_tokens.count_edited(op8_tokens.standard_edits(kept)).collect()} == got
+    assert {*op8_tokens.trees(odd).columns} == {*odd.columns, *op8_tokens.TREE}
     assert op8_tokens.count_edited(op8_tokens.standard_edits(odd)).count() == odd.count()
     assert op8_tokens.count_edited(op8_tokens.standard_edits(none)).count() == 0
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = {r.doc_id: r for r in op8_tokens.query(spark, sf_dir).collect()}
+    assert {i: r.n_tokens for i, r in out.items()} == {i: len(enc.encode_ordinary(t or "")) for i, t in texts.items()}
+    long = [r for i, r in out.items() if len(texts[i] or "") > 16 * op8_tokens.LEAF_CHARS]
+    assert long and all(r.n_chars_encoded < 4 * op8_tokens.LEAF_CHARS * op8_tokens.N_EDITS for r in long)
 
 
 # -- op9
