@@ -356,9 +356,61 @@ def test_tree_matching():
     a = t("b", t("x", t("p"), t("q")), t("y"), t("z"))
     b = t("b", t("w"), t("x", t("q")), t("z"))
     assert op9_html.align(a, b)[0] == 4
-    assert op9_html.slots(a, b) == {(): "", (1,): "0", (1, 0): "0.1", (2,): "2"}
+    assert op9_html.slots(a, b) == ["", None, "0.", "0.1.", "2."]
     assert op9_html.align(a, a)[0] == 6 and op9_html.align(a, t("c"))[0] == 0
     assert op9_html.load(op9_html.dump(a)) == a
+    both = op9_html.merge(a, b)
+    assert both == t("b", t("w"), t("x", t("p"), t("q")), t("y"), t("z"))
+    assert None not in op9_html.slots(both, a) + op9_html.slots(both, b) and op9_html.merge(both, a) == both
+
+
+def brute_matching(a, b):
+    """Weight of the best order-preserving matching, by trying all."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(xs, ys):
+        return max((best(xs[1:], ys), best(xs, ys[1:]), brute_matching(xs[0], ys[0]) + best(xs[1:], ys[1:]))) if xs and ys else 0
+
+    return 1 + best(a[1], b[1])
+
+
+def random_tree(rnd, depth=3):
+    return rnd.choice("ab") if depth < 3 else "r", tuple(random_tree(rnd, depth - 1) for _ in range(rnd.randint(0, 4) if depth else 0))
+
+
+def test_tree_matching_is_the_best_one_and_wrappers_hold_their_trees():
+    rnd = random.Random(4)
+    for _ in range(150):
+        a, b = random_tree(rnd), random_tree(rnd)
+        assert op9_html.align(a, b)[0] == brute_matching(a, b)
+        both = op9_html.merge(a, b)
+        assert None not in op9_html.slots(both, a) and None not in op9_html.slots(both, b)
+
+
+def test_wide_pages_take_seconds():
+    import time
+
+    t0 = time.monotonic()
+    rows = "".join(f"<tr class=r{'abcdefghij'[i % 10] * (i % 7)}><td>a{i}<td><p>b</p></tr>" for i in range(16_000))
+    plain = f"<table>{rows}</table>" + "".join(f"<{x}>t</{x}>" for x in ("div", "p", "section") * 4000)
+    trees = [op9_html.shape(op9_html.parse(f"<div class=x>{k}</div>" * k + plain))[0] for k in (1, 2)]
+    wrapper = op9_html.merge(*trees)
+    assert op9_html.main_text(plain).startswith("a0 b") and op9_html.slots(wrapper, trees[0])
+    assert time.monotonic() - t0 < 20
+
+
+def test_the_region_decides_without_markup_and_over_misleading_markup(spark):
+    words = lambda i, n: " ".join(f"w{i * 37 + k}" for k in range(n))
+    bare = lambda i: f"<div><span>Shop</span></div><div><ul><li><a href=1>{words(i, 3)}</a></li></ul></div><section><h2>T{i}</h2><p>{words(i, 60)}</p></section><table><tr><td>{words(i + 9, 4)}</td></tr></table>"
+    lying = lambda i: f"<div class=content><p>{words(i, 3)}</p></div><div class=zone><h1>T{i}</h1><p>{words(i, 60)}</p></div>"
+    rows = [(i, "http://bare.org/", bare(i)) for i in range(8)] + [(20 + i, "http://lying.org/", lying(i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: (r.text, r.told_by) for r in op9_html.extract(df).collect()}
+    assert {i: got[i] for i in range(8)} == {i: (f"T{i} {words(i, 60)}", "region") for i in range(8)}
+    assert {i: got[20 + i] for i in range(8)} == {i: (f"T{i} {words(i, 60)}", "region") for i in range(8)}
+    again = {r.page_id: (r.text, r.told_by) for r in op9_html.extract(df.repartition(7), -1).collect()}
+    assert again == got
 
 
 def test_page_texts_of_the_sample(spark, sf_dir):
