@@ -34,8 +34,9 @@ from .session import durable
 K_BEST = 10
 SCALE = 1024.0
 #: Queries of a block at most, and bytes of their matrix, which is broadcast.
-BLOCK, BLOCK_BYTES = 2048, 32 << 20
-BINS = 2048
+BLOCK, BLOCK_BYTES = 16_384, 32 << 20
+#: Bins of a query's histogram at most, and cells of a block's histograms: many queries share a scan with fewer bins each.
+BINS, HISTOGRAM_CELLS = 2048, 1 << 22
 #: Scores held at once.
 CELLS = 1 << 22
 
@@ -65,6 +66,7 @@ class Block:
     low: np.ndarray  # the kth score is in [low, low + width)
     width: np.ndarray
     exact: bool = True
+    bins: int = BINS
 
 
 def _scores(block: Block, ids: np.ndarray, vecs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -80,22 +82,22 @@ def _scores(block: Block, ids: np.ndarray, vecs: np.ndarray) -> Iterator[tuple[n
 
 
 def _histogram(shared, dim: int, k: int):
-    """query (its number), bin, n: from the task's own kth bin up, bins of BINS in [low, low + width); bin BINS: above."""
+    """query (its number), bin, n: from the task's own kth bin up, bins of equal width in [low, low + width); the last: above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
-        q = len(block.ids)
-        total = np.zeros((q, BINS + 1), np.int64)
-        fine = -(-block.width // BINS)
+        q, bins = len(block.ids), block.bins
+        total = np.zeros((q, bins + 1), np.int64)
+        fine = -(-block.width // bins)
         for b in batches:
             for ids, vecs in vectors(b):
                 if vecs.shape[1] != dim:
                     continue
                 for _, s, counts in _scores(block, ids, vecs):
-                    at = np.minimum((s - block.low[:, None]) // fine[:, None], BINS)
-                    at[s >= (block.low + block.width)[:, None]] = BINS
+                    at = np.minimum((s - block.low[:, None]) // fine[:, None], bins)
+                    at[s >= (block.low + block.width)[:, None]] = bins
                     r, c = np.nonzero(counts & (s >= block.low[:, None]))
-                    total += np.bincount(r * (BINS + 1) + at[r, c], minlength=total.size).reshape(total.shape)
+                    total += np.bincount(r * (bins + 1) + at[r, c], minlength=total.size).reshape(total.shape)
         above = np.cumsum(total[:, ::-1], axis=1)[:, ::-1] - total  # in higher bins
         r, c = np.nonzero((total > 0) & (above < k))
         yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(c), pa.array(total[r, c])], names=["query", "bin", "n"])
@@ -142,7 +144,7 @@ def _search_block(rows: DataFrame, ids: np.ndarray, vecs: np.ndarray, most: floa
     if reach.max(initial=0) >= 2.0**62:
         raise OverflowError("a score may not fit 64 bits")
     reach = reach.astype(np.int64)
-    block = Block(ids, vecs, -reach, 2 * reach + 1, bool(reach.max(initial=0) < 2**52))
+    block = Block(ids, vecs, -reach, 2 * reach + 1, bool(reach.max(initial=0) < 2**52), max(2, min(BINS, HISTOGRAM_CELLS // len(ids))))
     need = np.full(len(ids), k, np.int64)
     few = np.zeros(len(ids), bool)
     while (block.width > 1).any():
@@ -152,13 +154,13 @@ def _search_block(rows: DataFrame, ids: np.ndarray, vecs: np.ndarray, most: floa
         # The bin of each query's kth score; without one it has fewer candidates.
         kth = down.where(F.col("upto") >= k).groupBy("query").agg(F.max("bin").alias("bin"))
         found = kth.toPandas()  # one row a query of the block
-        fine = -(-block.width // BINS)
+        fine = -(-block.width // block.bins)
         new = np.full(len(ids), -1, np.int64)
         new[found["query"].to_numpy(np.int64)] = found["bin"].to_numpy(np.int64)
         few |= new < 0
         low = np.where(few, block.low, block.low + new * fine)
         width = np.where(few, 1, np.minimum(fine, block.low + block.width - low))
-        block = Block(ids, vecs, low, width, block.exact)
+        block = Block(ids, vecs, low, width, block.exact, block.bins)
         shared.unpersist()
     block.low = np.where(few, -reach - 1, block.low)
     shared = sc.broadcast(block)

@@ -2,8 +2,10 @@
 
 Weights are source token shares to a power a in [0, 1], normalised: a = 1 keeps
 the shares, a = 0 is uniform.  The power is bisected to the least a at which no
-source repeats more than `max_repeat` times (default), or at which the entropy
-of the weights meets a target.  With no budget given, the smallest one that shows
+source is read more than `max_repeat` times (default), or at which the entropy
+of the weights meets a target; a target below the entropy of the plain shares or
+above that of equal weights can't be met and is an error, and so is a limit given
+beside a target, or a budget, that can't be kept.  With no budget given, the smallest one that shows
 every document at least once is taken: the source with the largest share per
 weight is read exactly once.
 
@@ -38,6 +40,8 @@ MAX_REPEAT = 4.0
 BLOCK_TOKENS = 1 << 16
 #: Blocks of a source at most; beyond, blocks grow (ranked in one task a source).
 MOST_BLOCKS = 1 << 16
+#: Sources that are planned on the driver at most; more are an error.
+MOST_SOURCES = 1_000_000
 SEED = 11
 STEPS = 60
 
@@ -60,17 +64,9 @@ def entropy(weights: list[float]) -> float:
     return -math.fsum(w * math.log(w) for w in weights if w > 0)
 
 
-def bisect(shares: list[float], max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None) -> float:
-    """The least power (flattest weights) that keeps to the repetition limit, or that which meets the entropy."""
-
-    def fits(power: float) -> bool:
-        w = shares_to(shares, power)
-        if target_entropy is not None:
-            return entropy(w) <= target_entropy
-        per = [a / s for a, s in zip(w, shares) if s > 0]
-        return max(per) <= max_repeat * min(per)
-
-    if not any(s > 0 for s in shares) or fits(0.0):
+def _search(fits) -> float:
+    """The least power in [0, 1] that fits, if 1 does; fits holds from some power on."""
+    if fits(0.0):
         return 0.0
     lo, hi = 0.0, 1.0
     for _ in range(STEPS):
@@ -79,15 +75,55 @@ def bisect(shares: list[float], max_repeat: float | None = MAX_REPEAT, target_en
     return hi
 
 
-def plan(tokens: dict[str | None, int], max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None, budget: int | None = None) -> Mix:
-    """Weights, and how often each source is read."""
+def bisect(shares: list[float], max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None, spread: float | None = None) -> float:
+    """The least power (flattest weights) that keeps to the repetition limit, or that which meets the entropy.
+
+    spread: budget over tokens; without one the source with the largest share per weight is read once.
+    """
+    some = [s for s in shares if s > 0]
+    if not some:
+        return 0.0
+
+    def most(power: float) -> tuple[float, float]:
+        """How often a source is read at most, as a fraction."""
+        per = [a / s for a, s in zip(shares_to(some, power), some)]
+        return (max(per) * spread, 1.0) if spread is not None else (max(per), min(per))
+
+    def repeats(power: float) -> float:
+        a, b = most(power)
+        return a / b
+
+    def keeps(power: float) -> bool:
+        a, b = most(power)
+        return a <= max_repeat * b
+
+    if target_entropy is None:
+        if max_repeat is None:
+            return 0.0
+        if repeats(1.0) > max_repeat * (1 + 1e-12):
+            raise ValueError(f"the budget reads every source {repeats(1.0):.4g} times at least, the limit is {max_repeat}")
+        return _search(keeps)
+    low, high = entropy(some), math.log(len(some))
+    if not low - 1e-9 <= target_entropy <= high + 1e-9:
+        raise ValueError(f"weights of these shares have an entropy from {low:.6g} to {high:.6g}, not {target_entropy}")
+    power = _search(lambda p: entropy(shares_to(some, p)) <= target_entropy)
+    if max_repeat is not None and repeats(power) > max_repeat * (1 + 1e-9):
+        raise ValueError(f"at that entropy a source is read {repeats(power):.4g} times, the limit is {max_repeat}")
+    return power
+
+
+def plan(tokens: dict[str | None, int], max_repeat: float | None = None, target_entropy: float | None = None, budget: int | None = None) -> Mix:
+    """Weights, and how often each source is read; MAX_REPEAT is the limit if neither one nor an entropy is given."""
+    if max_repeat is None and target_entropy is None:
+        max_repeat = MAX_REPEAT
     total = sum(tokens.values())
     names = list(tokens)
     shares = [tokens[n] / total if total else 0.0 for n in names]
-    power = bisect(shares, max_repeat, target_entropy)
+    spread = budget / total if budget is not None and total else None
+    power = bisect(shares, max_repeat, target_entropy, spread)
     weights = shares_to(shares, power)
     per = [w / s for w, s in zip(weights, shares) if s > 0]
-    scale = (budget / total if total else 0.0) if budget is not None else (1 / min(per) if per else 0.0)
+    scale = spread if spread is not None else (1 / min(per) if per else 0.0)
     repeats = {n: (w / s * scale if s > 0 else 1.0) for n, w, s in zip(names, weights, shares)}
     return Mix(power, dict(zip(names, weights)), repeats)
 
@@ -104,7 +140,7 @@ def _hash(*cols: F.Column) -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, max_repeat: float | None = None, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens, epoch, block, block_rank, place: one row for each time a document is read.
 
     Reading order of a source: epoch, block_rank, place (hashes; ties by block and doc_id).
@@ -112,7 +148,9 @@ def mix(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, target_entropy:
     count = F.col(tokens).cast("long") if tokens else n_tokens()
     rows = docs.select("doc_id", "source", count.alias("n_tokens"))
     rows = durable(rows)
-    sums = {r["source"]: (r["t"], r["n"]) for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}  # one row a source
+    sums = {r["source"]: (r["t"], r["n"]) for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}  # one row a source
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; mix groups of them")
     order = sorted(sums, key=lambda s: (s is not None, s or ""))
     mixed = plan({s: sums[s][0] for s in order}, max_repeat, target_entropy, budget)
     shape = []

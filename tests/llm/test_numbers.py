@@ -61,6 +61,21 @@ def test_power_meets_the_limit_and_the_entropy():
     assert op6_mixing.bisect(shares, 100.0) == 0.0 and op6_mixing.bisect([], 2.0) == 0.0
 
 
+def test_targets_that_cannot_be_met_are_errors():
+    shares = [0.7, 0.2, 0.1]
+    for target in (op6_mixing.entropy(shares) - 0.01, math.log(3) + 0.01):
+        with pytest.raises(ValueError, match="entropy"):
+            op6_mixing.bisect(shares, None, target)
+    assert op6_mixing.bisect(shares, None, math.log(3)) == 0.0
+    with pytest.raises(ValueError, match="limit"):
+        op6_mixing.bisect(shares, 1.5, math.log(3))
+    with pytest.raises(ValueError, match="budget"):
+        op6_mixing.plan({"a": 70, "b": 30}, 2.0, budget=300)
+    tokens = {"a": 700, "b": 200, "c": 100}
+    mixed = op6_mixing.plan(tokens, 3.0, budget=2000)
+    assert abs(max(mixed.repeats.values()) - 3.0) < 1e-6 and abs(sum(mixed.repeats[s] * n for s, n in tokens.items()) - 2000) < 1e-6
+
+
 def test_mix_reads_every_document_and_keeps_to_quotas(spark, docs, rows):
     import re
 
