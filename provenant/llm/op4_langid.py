@@ -2,14 +2,18 @@
 
 Training counts n-grams of 1 to 3 characters, hashed to `DIM` buckets, over the
 texts of labelled documents.  At most about `TRAIN_DOCS` of them are used, taken
-by a hash of their id (the bound of a fitted classifier); the statistics are
+by a hash of their id, and of their languages the `MAX_LANGS` with most documents
+(the bounds of a fitted classifier); the statistics are
 added up in Spark, one partial matrix a task.  The smoothed log-probability
-matrix (languages x DIM floats, at most a few MB) is broadcast, and prediction
+matrix (languages x DIM floats, at most 64 MB) is broadcast, and prediction
 sums its columns for the n-grams of each whole text in NumPy.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 no labelled row at all makes everything ``und``; ties go to the language that
-sorts first; rows with a null lang never train; repeated rows count each time.
+sorts first; rows with a null lang never train; repeated rows count each time;
+a null doc_id isn't held out; very long texts are taken whole, in pieces; an empty
+table gives an empty result; extra columns are ignored, or kept where rows are passed
+on (lang_pred and score are replaced).
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ DIM = 1 << 16
 ORDERS = (1, 2, 3)
 #: Documents a model is fitted on at most, in expectation.
 TRAIN_DOCS = 20_000
+#: Languages a model knows at most.
+MAX_LANGS = 256
 ALPHA = 0.1
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = np.uint32(32)
@@ -90,7 +96,12 @@ def _count(langs: list[str]) -> Callable:
             for i, j in _blocks(texts):
                 code, row = _codes(texts[i:j])
                 for bucket, r in _grams(code, row):
-                    total += np.bincount(labels[i:j][r] * DIM + bucket, minlength=total.size).reshape(total.shape)
+                    cells = labels[i:j][r] * DIM + bucket
+                    if total.size <= 1 << 20:
+                        total += np.bincount(cells, minlength=total.size).reshape(total.shape)
+                    else:  # many languages: only what occurs
+                        cell, n = np.unique(cells, return_counts=True)
+                        total.reshape(-1)[cell] += n
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
 
@@ -108,7 +119,9 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """From columns doc_id, text, lang; null texts and langs are left out."""
     lean(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
+    rows = rows.where(F.col("lang").isin(*sizes))
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0))
@@ -175,11 +188,11 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit_on(docs: DataFrame) -> Model:
-    return fit(docs.where(~F.coalesce(held_out(), F.lit(False))).select("doc_id", "text", "lang"))
+    return fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

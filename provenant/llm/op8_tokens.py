@@ -24,6 +24,7 @@ empty result; a very long text is a tree of many leaves, a run of letters withou
 from __future__ import annotations
 
 import base64
+import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,19 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends the ranks to all executors with the job; the name by which `located` finds them there."""
+    sc = spark.sparkContext
+    if not any(f.endswith("/" + os.path.basename(path)) for f in sc.listFiles):
+        sc.addFile(path)
+    return os.path.basename(path)
+
+
+def located(path: str) -> str:
+    """The shipped file of this name, on an executor."""
+    return SparkFiles.get(path) if os.sep not in path else path
+
+
 def cut(text: str, size: int = LEAF_CHARS) -> list[str]:
     """The text in runs of whole pre-tokens of at least `size` characters (the last may be shorter)."""
     out, at = [], 0
@@ -67,7 +82,7 @@ class TokenTree:
     """Segment tree over leaves; node i has children 2i and 2i + 1, leaves start at `base`."""
 
     def __init__(self, text: str | None, path: str = RANKS, counts: list[int] | None = None):
-        self.encoding = encoding(path)
+        self.encoding = encoding(located(path))
         self.encoded_chars = 0
         self._build(cut(text or ""), counts)
 
@@ -186,7 +201,7 @@ def trees(docs: DataFrame, path: str = RANKS) -> DataFrame:
     lean(docs.sparkSession)
     docs = docs.drop(*TREE)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "leaf_chars array<int>, leaf_tokens array<int>, tree_hash long"])
-    return docs.mapInArrow(_trees(path), schema)
+    return docs.mapInArrow(_trees(shipped(docs.sparkSession, path)), schema)
 
 
 def kept_tree(text: str, chars: list[int] | None, tokens: list[int] | None, known: int | None, path: str = RANKS) -> TokenTree:
@@ -232,7 +247,7 @@ def count_edited(docs: DataFrame, path: str = RANKS) -> DataFrame:
     lean(docs.sparkSession)
     kept = {*TREE} <= {*docs.columns}
     cols = [F.col("doc_id").cast("long"), F.col("text"), F.col("edits").cast("array<struct<start:bigint,stop:bigint,new:string>>").alias("edits")]
-    return docs.select(*cols, *(TREE if kept else [])).mapInArrow(_recount(path, kept), _OUT)
+    return docs.select(*cols, *(TREE if kept else [])).mapInArrow(_recount(shipped(docs.sparkSession, path), kept), _OUT)
 
 
 #: Edits of each document in the registered query.

@@ -47,13 +47,15 @@ def test_pii_added_spans_need_checksum_or_context():
     kinds = lambda t: [s[0] for s in op3_pii.find_spans(t)]
     assert kinds("IBAN DE89 3704 0044 0532 0130 00 please") == ["iban"]
     assert kinds("IBAN DE89 3704 0044 0532 0130 01 please") == []
+    assert [op3_pii.find_spans(t)[0][:3] for t in ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", "GB82WEST12345698765432 NOW")] == [("iban", 0, 27), ("iban", 0, 22)]
+    assert kinds("XDE89 3704 0044 0532 0130 00") == kinds("ZZ89 3704 0044 0532 0130 00") == []
     assert kinds("phone: 030 1234 5678.") == ["tel"] and kinds("order 030 1234 5678.") == []
     assert kinds("card 4222222222222") == ["card13"] and kinds("part 4222222222222") == []
     assert op3_pii.redact("a@b.cd, é", op3_pii.find_spans("a@b.cd, é")) == "[EMAIL], é"
 
 
 def test_pii_runs_in_linear_time():
-    for text in ("9" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + "(" * 200_000, "@a" * 100_000, "A" * 200_000, "1 " * 100_000, "tel " + "1-" * 100_000, "AB12" + "C" * 200_000):
+    for text in ("9" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + "(" * 200_000, "@a" * 100_000, "A" * 200_000, "1 " * 100_000, "tel " + "1-" * 100_000, "AB12" + "C" * 200_000, "DE89" * 50_000, "a@b.cd tel 030 1234 567 " * 20_000):
         assert isinstance(op3_pii.find_spans(text), list)
 
 
@@ -97,6 +99,14 @@ def test_language_ignores_the_label_of_what_it_predicts(spark, docs, odd, none):
     assert op4_langid.keep_identified(odd, model).columns == odd.columns
 
 
+def test_language_labels_are_bounded_and_null_ids_are_not_held_out(spark, docs, monkeypatch):
+    monkeypatch.setattr(op4_langid, "MAX_LANGS", 1)
+    many = docs.selectExpr("doc_id", "text", "CASE WHEN doc_id < 20 THEN 'aa' ELSE concat('x', doc_id) END AS lang")
+    assert op4_langid.fit(many).langs == ["aa"]
+    rows = spark.createDataFrame([(None, "some text")], "doc_id long, text string").select(op4_langid.held_out().alias("h")).collect()
+    assert rows[0].h is False
+
+
 def test_language_prediction_is_the_sum_over_its_ngrams():
     import numpy as np
 
