@@ -78,3 +78,18 @@ def digest(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, p, md5(b[p:p + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS p FROM t WHERE octet_length(b) >= 200)),
+again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM win WHERE h IN (SELECT h FROM again)),
+run AS (SELECT doc_id, p, sum(CASE WHEN p <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 199 AS z FROM run GROUP BY doc_id, k),
+gone AS (SELECT doc_id, sum(z - a + 1) AS n, count(*) AS s, max(z) AS z FROM span GROUP BY doc_id),
+part AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS x, a - 1 AS y FROM span UNION ALL SELECT doc_id, z + 1, NULL FROM gone),
+kept AS (SELECT doc_id, string_agg(hex(b[x:coalesce(y, octet_length(b))]), '' ORDER BY x) AS left_ FROM part JOIN t USING (doc_id) WHERE x <= coalesce(y, octet_length(b)) GROUP BY doc_id)
+SELECT t.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN n IS NULL THEN b ELSE unhex(coalesce(left_, '')) END) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": op2_topk.SQL, "op5_decontam": op5_decontam.SQL, "op6_mixing": op6_mixing.SQL, "op10_substring": op10_substring.SQL}
+    return {"op2_topk": op2_topk.SQL, "op5_decontam": op5_decontam.SQL, "op6_mixing": op6_mixing.SQL, "op7_suffix": op7_suffix.SQL, "op10_substring": op10_substring.SQL}
