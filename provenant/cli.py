@@ -1,15 +1,24 @@
-"""Commands: tables, export, samples, judge (replay), select.
+"""Commands: search, judge, export, master, tables, run (all of these in order), samples, select.
 
+    python -m provenant.cli search --input queries.jsonl --models sonar gpt-5 --output run/search --responder pkg:make --fetcher pkg:make [--cit-id-start 1] [--save-content]
+    python -m provenant.cli judge --queries queries.jsonl --sources run/search/sources.jsonl --citations run/search/citations.jsonl --content-jsonl run/search/contents.jsonl --output-dir run/judge --judge pkg:make
+    python -m provenant.cli run run --input queries.jsonl --models sonar --responder pkg:make --fetcher pkg:make --judge pkg:make
     python -m provenant.cli tables --input master.parquet --output-dir out [--with-validation]
     python -m provenant.cli export --jsonl-dir run --out-dir parquet
     python -m provenant.cli master --parquet-dir parquet --output master.parquet
     python -m provenant.cli samples --master-parquet master.parquet --output-dir out [--seed 42]
     python -m provenant.cli select queries.parquet --output sample.jsonl
+
+pkg:make names a function without arguments that returns a responder, fetcher or judge
+(sources/effects.py); instead of them recorded answers can be replayed:
+--responses-jsonl (question, model, text, meta), --pages-jsonl (url, text), --labels-jsonl (axis, key, label).
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 import logging
 from pathlib import Path
 
@@ -18,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .operators import dims, sampling, tables, validation
 from .operators import master as M
-from .sources import io
+from .sources import effects, io, stages
 
 LOG = logging.getLogger("provenant")
 
@@ -103,6 +112,69 @@ def run_validation(spark: SparkSession, folder: str, out: str) -> None:
         io.write_tsv(rows, f"{out}/tab_c_validation.tsv", [*rows[0]], None)
 
 
+def made(name: str):
+    """What the function pkg.module:function returns."""
+    module, _, attr = name.partition(":")
+    return getattr(importlib.import_module(module), attr)()
+
+
+def _records(path: str) -> list[dict]:
+    """Recorded answers for a replay, which are small."""
+    return [json.loads(x) for x in Path(path).read_text(encoding="utf-8").splitlines() if x.strip()]
+
+
+def responder_of(name: str | None, path: str | None) -> effects.Responder:
+    if name:
+        return made(name)
+    return effects.ReplayResponder({(r["question"], r["model"]): (r["text"], json.dumps(r.get("meta") or {})) for r in _records(path)})
+
+
+def fetcher_of(name: str | None, path: str | None) -> effects.Fetcher:
+    return made(name) if name else effects.ReplayFetcher({r["url"]: r["text"] for r in _records(path)})
+
+
+def judge_of(name: str | None, path: str | None) -> effects.Judge:
+    return made(name) if name else effects.ReplayJudge({(r["axis"], r["key"]): r["label"] for r in _records(path)})
+
+
+def run_search(spark: SparkSession, path: str, models: list[str], out: str, responder: effects.Responder, fetcher: effects.Fetcher, start: int = 1, save_content: bool = False, robots: effects.Robots | None = None, retry: float = 2.0) -> dict[str, int]:
+    """Questions to citations, sources, model_responses and, if wanted, contents as JSON lines; rows of each."""
+    found = stages.search(io.read_table(spark, path, "queries"), models, responder, fetcher, retry, start, robots)
+    counts = {}
+    for name, df in found.items():
+        if name != "contents" or save_content:
+            io.write_jsonl(df, f"{out}/{name}.jsonl", None if name == "contents" else name)
+            counts[name] = df.count()
+            LOG.info("wrote %s, %d rows", name, counts[name])
+    return counts
+
+
+def run_judge(spark: SparkSession, queries: str | None, sources: str | None, citations: str | None, contents: str | None, out: str, judge: effects.Judge, concurrency: int = effects.JUDGE_CONCURRENCY, retry: float = 2.0) -> dict[str, int]:
+    """The tables given, with labels, as JSON lines; rows of each."""
+    if not (queries or sources or citations):
+        raise ValueError("one of queries, sources and citations is needed")
+    if citations and not sources:
+        raise ValueError("citations need sources, by which their contents are found")
+    tables = {n: io.read_table(spark, p, n) for n, p in (("queries", queries), ("sources", sources), ("citations", citations)) if p}
+    stored = io.read_jsonl(spark, contents, "contents") if contents else spark.createDataFrame([], "url_id string, source_url string, source_content string")
+    counts = {}
+    for name, df in stages.judge(tables, stored, judge, retry, concurrency).items():
+        io.write_jsonl(df, f"{out}/{name}.judged.jsonl", name)
+        counts[name] = df.count()
+        LOG.info("wrote %s.judged, %d rows", name, counts[name])
+    return counts
+
+
+def run_all(spark: SparkSession, folder: str, path: str, models: list[str], responder: effects.Responder, fetcher: effects.Fetcher, judge: effects.Judge, start: int = 1, robots: effects.Robots | None = None, retry: float = 2.0) -> tuple[int, int]:
+    """search, judge, export, master and tables in one folder; tables written and skipped."""
+    run_search(spark, path, models, f"{folder}/search", responder, fetcher, start, True, robots, retry)
+    at = f"{folder}/search"
+    run_judge(spark, path, f"{at}/sources.jsonl", f"{at}/citations.jsonl", f"{at}/contents.jsonl", f"{folder}/judge", judge, retry=retry)
+    run_export(spark, folder, f"{folder}/parquet")
+    run_master(spark, f"{folder}/parquet", f"{folder}/analysis_master.parquet")
+    return run_tables(spark, f"{folder}/analysis_master.parquet", f"{folder}/d_tables")
+
+
 def run_export(spark: SparkSession, folder: str, out: str) -> dict[str, str]:
     """Judged JSON lines, checked, to the four release tables."""
     judged = {name: io.read_jsonl(spark, io.find(folder, file), name, strict=True) for name, file in io.JUDGED.items()}
@@ -113,9 +185,11 @@ def run_export(spark: SparkSession, folder: str, out: str) -> dict[str, str]:
     return paths
 
 
-def run_master(spark: SparkSession, folder: str, out: str) -> None:
+def run_master(spark: SparkSession, folder: str, out: str, ipa: str | None = None, ss: str | None = None) -> None:
+    """The fact table of release tables; ipa, ss: TSV files of scoring matrices instead of the built-in ones."""
+    matrices = {n: io.read_matrix(spark, p) for n, p in (("ipa", ipa), ("ss", ss)) if p}
     t = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("queries", "sources", "citations")}
-    M.build_master(t["queries"], t["sources"], t["citations"]).write.mode("overwrite").parquet(out)
+    M.build_master(t["queries"], M.unique_ids(t["sources"]), t["citations"], matrices).write.mode("overwrite").parquet(out)
 
 
 def run_samples(spark: SparkSession, path: str, out: str, seed: int = sampling.SEED) -> None:
@@ -144,8 +218,6 @@ def run_samples(spark: SparkSession, path: str, out: str, seed: int = sampling.S
 
 
 def _lines(items: list[dict], path: str) -> None:
-    import json
-
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in items), encoding="utf-8")
 
@@ -168,6 +240,8 @@ def main(argv: list[str] | None = None) -> None:
     p = sub.add_parser("master")
     p.add_argument("--parquet-dir", required=True)
     p.add_argument("--output", required=True)
+    p.add_argument("--ipa-matrix")
+    p.add_argument("--ss-matrix")
     p = sub.add_parser("samples")
     p.add_argument("--master-parquet", required=True)
     p.add_argument("--output-dir", required=True)
@@ -175,7 +249,38 @@ def main(argv: list[str] | None = None) -> None:
     p = sub.add_parser("select")
     p.add_argument("queries_parquet")
     p.add_argument("--output", required=True)
+    for name in ("search", "run"):
+        p = sub.add_parser(name)
+        if name == "run":
+            p.add_argument("folder")
+        p.add_argument("--input", required=True)
+        p.add_argument("--models", nargs="+", required=True)
+        p.add_argument("--cit-id-start", type=int, default=1)
+        p.add_argument("--responder")
+        p.add_argument("--responses-jsonl")
+        p.add_argument("--fetcher")
+        p.add_argument("--pages-jsonl")
+        p.add_argument("--robots", help="a function that makes the reader of robots.txt")
+        if name == "search":
+            p.add_argument("--output", required=True)
+            p.add_argument("--save-content", action="store_true")
+    sub.choices["run"].add_argument("--judge")
+    sub.choices["run"].add_argument("--labels-jsonl")
+    p = sub.add_parser("judge")
+    for name in ("queries", "sources", "citations", "content-jsonl", "judge", "labels-jsonl"):
+        p.add_argument(f"--{name}")
+    p.add_argument("--output-dir", required=True)
+    p.add_argument("--concurrency", type=int, default=effects.JUDGE_CONCURRENCY)
     a = ap.parse_args(argv)
+    for one, other in (("responder", "responses_jsonl"), ("fetcher", "pages_jsonl"), ("judge", "labels_jsonl")):
+        if hasattr(a, one) and not (getattr(a, one) or getattr(a, other)):
+            ap.error(f"--{one} or --{other.replace('_', '-')} is needed")
+    if a.command == "judge" and not (a.queries or a.sources or a.citations):
+        ap.error("one of --queries, --sources and --citations is needed")
+    if hasattr(a, "models"):
+        unknown = [m for m in a.models if not any(m in x[:2] for x in dims.MODELS)]
+        if unknown:
+            ap.error(f"no such models: {', '.join(unknown)}")
     logger()
     spark = SparkSession.builder.appName("provenant").getOrCreate()
     if a.command == "tables":
@@ -183,7 +288,16 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "export":
         run_export(spark, a.jsonl_dir, a.out_dir)
     elif a.command == "master":
-        run_master(spark, a.parquet_dir, a.output)
+        run_master(spark, a.parquet_dir, a.output, a.ipa_matrix, a.ss_matrix)
+    elif a.command in ("search", "run"):
+        given = responder_of(a.responder, a.responses_jsonl), fetcher_of(a.fetcher, a.pages_jsonl)
+        robots = effects.Robots(made(a.robots)) if a.robots else None
+        if a.command == "search":
+            run_search(spark, a.input, a.models, a.output, *given, a.cit_id_start, a.save_content, robots)
+        else:
+            run_all(spark, a.folder, a.input, a.models, *given, judge_of(a.judge, a.labels_jsonl), a.cit_id_start, robots)
+    elif a.command == "judge":
+        run_judge(spark, a.queries, a.sources, a.citations, a.content_jsonl, a.output_dir, judge_of(a.judge, a.labels_jsonl), a.concurrency)
     elif a.command == "samples":
         run_samples(spark, a.master_parquet, a.output_dir, a.seed)
     else:

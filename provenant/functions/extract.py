@@ -1,26 +1,25 @@
 """Citations of a model response: one row for each, by provider.
 
-Inline markers are resolved in one Arrow UDF that returns an array to explode;
-providers with native citations or grounding supports need no marker scan and are
-plain explodes around the sentence function.
+Responses of all providers are read once: what is native to a provider is shaped by
+columns, and one pass over Arrow batches resolves inline markers and scans sentences.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import cited_sentence, joined_sentences, strip_url_list
+from .text import joined_sentences, strip_url_list
 
 _TARGET = r"[(](http(?:s|)://[^)]+)[)]"
 _LINK = re.compile(r"\[([^]]+)]" + _TARGET)
 _NUMBERED_LINK = re.compile(r"\[{2}(\d+)]{2}" + _TARGET)
 _MARK = re.compile(r"\[(\d+)]")
-CITATIONS = T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("cited_sentence", T.StringType()), T.StructField("ord", T.IntegerType())]))
 META = (
     "struct<annotations:array<struct<url:string,title:string,start_index:int,end_index:int>>,citations:map<int,string>,search_results:array<struct<url:string>>,"
     "native_citations:array<struct<cited_text:string,url:string>>,grounding_chunks:array<struct<title:string,uri:string>>,grounding_supports:array<struct<chunk_indices:array<int>,text:string>>>"
@@ -57,13 +56,15 @@ def unwrap_numbered(text: str) -> tuple[str, dict[int, str]]:
 
 def marked_rows(text: str, urls: dict[int, str | None]) -> list[dict]:
     """A row for each marker with a URL; adjacent markers share the sentences before the first of them."""
-    rows, end, sentence = [], -1, ""
+    rows, end, begin, sentence = [], -1, 0, None
     for m in _MARK.finditer(text):
         if m.start() != end:
-            sentence = joined_sentences(text[: m.start()])
+            begin, sentence = m.start(), None
         end = m.end()
         n = int(m[1])
         if url := (urls.get(n) or "").strip():
+            if sentence is None:
+                sentence = joined_sentences(text, stop=begin)
             rows.append({"url": url, "cited_sentence": sentence, "ord": n})
     return rows
 
@@ -78,13 +79,32 @@ def _inline(provider: str, text: str, annotated: list, numbered: dict[int, str])
     return marked_rows(*number_links(text, annotated))
 
 
-@F.pandas_udf(CITATIONS)
-def _inline_citations(provider: pd.Series, text: pd.Series, annotated: pd.Series, numbers: pd.Series, urls: pd.Series) -> pd.Series:
-    out = []
-    for p, t, a, n, u in zip(provider, text, annotated, numbers, urls):
-        named = {int(k): v for k, v in zip(n, u)} if n is not None else {}
-        out.append(_inline(p, t or "", list(a) if a is not None else [], named))
-    return pd.Series(out)
+def _cite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of keys and _text, _annotated, _numbers, _urls, _cited, _spoken, _order to one row a citation."""
+    for b in batches:
+        at = {n: b.schema.get_field_index(n) for n in ("provider_key", *_SHAPED)}
+        owner, url, sentence, order = [], [], [], []
+        for i, (provider, text, annotated, numbers, urls, cited, spoken, places) in enumerate(zip(*(b.column(at[n]).to_pylist() for n in ("provider_key", *_SHAPED)))):
+            if provider in ("anthropic", "google"):
+                known: dict[str, str] = {}
+                found = []
+                for u, t, o in zip(cited or (), spoken or (), places or ()):
+                    if t not in known:
+                        known[t] = joined_sentences(t)
+                    found.append({"url": u, "cited_sentence": known[t], "ord": o})
+            else:
+                found = _inline(provider, text or "", annotated or [], dict(zip(numbers or (), urls or ())))
+            for row in found:
+                owner.append(i)
+                url.append(row["url"])
+                sentence.append(row["cited_sentence"])
+                order.append(row["ord"])
+        keys = [n for n in b.schema.names if n not in _SHAPED]
+        part = b.select(keys).take(pa.array(owner, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(url, pa.string()), pa.array(sentence, pa.string()), pa.array(order, pa.int32())], names=[*keys, "url", "cited_sentence", "ord"])
+
+
+_SHAPED = ("_text", "_annotated", "_numbers", "_urls", "_cited", "_spoken", "_order")
 
 
 def _numbered(meta: Column) -> Column:
@@ -105,19 +125,20 @@ def extract(responses: DataFrame) -> DataFrame:
     keys = [c for c in responses.columns if c not in ("raw_response", "meta")]
     meta = F.col("meta")
 
-    inline = rows.where(F.col("provider_key").isin("openai", "xai", "perplexity"))
+    # One pass over the responses: each becomes an array of what it cites, whatever its provider.
+    is_ = lambda *names: F.col("provider_key").isin(*names)
     number = _numbered(meta)
-    text = F.when(F.col("provider_key") == "perplexity", strip_url_list("raw_response")).otherwise(F.col("raw_response"))
+    text = F.when(is_("perplexity"), strip_url_list("raw_response")).otherwise(F.col("raw_response"))
+    inline = F.when(is_("openai", "xai", "perplexity"), text)
     annotated = F.transform(meta["annotations"], lambda a: a["url"])
-    inline = inline.select(*keys, F.explode(_inline_citations("provider_key", text, annotated, F.map_keys(number), F.map_values(number))).alias("c")).select(*keys, "c.url", "c.cited_sentence", "c.ord")
-
-    native = rows.where("provider_key = 'anthropic'").select(*keys, F.posexplode(meta["native_citations"]).alias("i", "c"))
-    native = native.select(*keys, F.trim(F.coalesce("c.url", F.lit(""))).alias("url"), F.col("c.cited_text").alias("t"), (F.col("i") + 1).alias("ord")).where("url <> ''")
-
-    chunks = F.transform(meta["grounding_chunks"], lambda c: F.trim(F.coalesce(c["uri"], F.lit(""))))
-    support = rows.where("provider_key = 'google'").select(*keys, chunks.alias("u"), F.flatten(F.transform(meta["grounding_supports"], lambda s: F.transform(F.coalesce(s["chunk_indices"], F.array().cast("array<int>")), lambda i: F.struct(s["text"].alias("t"), i.alias("k"))))).alias("p"))
-    support = support.select(*keys, "u", F.posexplode("p").alias("i", "c")).where("c.k >= 0 AND c.k < size(u)")
-    support = support.select(*keys, F.expr("u[c.k]").alias("url"), F.col("c.t").alias("t"), (F.col("i") + 1).alias("ord")).where("url <> ''")
-
-    spoken = native.unionByName(support).select(*keys, "url", cited_sentence(F.coalesce("t", F.lit(""))).alias("cited_sentence"), "ord")
-    return inline.unionByName(spoken)
+    trimmed = lambda x: F.trim(F.coalesce(x, F.lit("")))
+    spoken = lambda url, t, i: F.struct(url.alias("url"), F.coalesce(t, F.lit("")).alias("t"), (i + 1).cast("int").alias("ord"))
+    native = F.transform(meta["native_citations"], lambda c, i: spoken(trimmed(c["url"]), c["cited_text"], i))
+    chunks = F.transform(meta["grounding_chunks"], lambda c: trimmed(c["uri"]))
+    each = F.flatten(F.transform(meta["grounding_supports"], lambda s: F.transform(F.coalesce(s["chunk_indices"], F.array().cast("array<int>")), lambda i: F.struct(s["text"].alias("t"), i.alias("k")))))
+    support = F.transform(each, lambda p, i: spoken(F.when((p["k"] >= 0) & (p["k"] < F.size(chunks)), F.get(chunks, p["k"])).otherwise(F.lit("")), p["t"], i))
+    native_or_support = F.filter(F.when(is_("anthropic"), native).when(is_("google"), support), lambda c: c["url"] != "")
+    shaped = zip(_SHAPED, (inline, annotated, F.map_keys(number), F.map_values(number), native_or_support["url"], native_or_support["t"], native_or_support["ord"]))
+    rows = rows.select(*keys, *(c.alias(n) for n, c in shaped))
+    schema = T.StructType([*(f for f in rows.schema if f.name not in _SHAPED), T.StructField("url", T.StringType()), T.StructField("cited_sentence", T.StringType()), T.StructField("ord", T.IntegerType())])
+    return rows.mapInArrow(_cite, schema)

@@ -103,25 +103,26 @@ def clean_sentence(piece: str) -> str:
     return piece.strip(CHROME)
 
 
-def last_sentences(text: str | None, n: int = SENTENCES) -> list[str]:
-    """The last n sentences, found from the right; the final terminator is no boundary.
+def last_sentences(text: str | None, n: int = SENTENCES, stop: int | None = None) -> list[str]:
+    """The last n sentences (before stop), found from the right; the final terminator is no boundary.
 
     Only the end of a long text is looked at, from a blank on (no URL or short form
-    goes across one), and more of it if there are too few boundaries.
+    goes across one), and more of it if there are too few boundaries; no more is copied.
     """
-    text = (text or "").rstrip()
-    while text and text[-1] in CHROME:
-        text = text[:-1].rstrip()
+    text = text or ""
+    end = len(text) if stop is None else stop
+    while end and (text[end - 1].isspace() or text[end - 1] in CHROME):
+        end -= 1
     size = _WINDOW
-    while size < len(text):
-        blank = max(text.rfind(c, 0, len(text) - size) for c in " \n")
+    while size < end:
+        blank = max(text.rfind(c, 0, end - size) for c in " \n")
         if blank <= 0:
             break
-        found = _sentences(text[blank:], n)
+        found = _sentences(text[blank:end], n)
         if found is not None:
             return found
         size *= 4
-    return _sentences(text, n, True) or []
+    return _sentences(text[:end], n, True) or []
 
 
 def _sentences(text: str, n: int, whole: bool = False) -> list[str] | None:
@@ -151,8 +152,8 @@ def _sentences(text: str, n: int, whole: bool = False) -> list[str] | None:
     return [p for p in reversed(pieces) if p]
 
 
-def joined_sentences(text: str | None, n: int = SENTENCES) -> str:
-    return " ".join(last_sentences(text, n)).strip()
+def joined_sentences(text: str | None, n: int = SENTENCES, stop: int | None = None) -> str:
+    return " ".join(last_sentences(text, n, stop)).strip()
 
 
 @F.pandas_udf(T.StringType())

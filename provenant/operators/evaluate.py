@@ -45,6 +45,14 @@ def first_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
 
 
+def one_each(df: DataFrame, key: str) -> DataFrame:
+    """One row a key, null keys left out: that with the greatest _o if df has it, else the greatest.  What a join on the key shuffles anyway."""
+    if "_o" in df.columns:
+        return last_wins(df, key, "_o").drop("_o")
+    rest = [c for c in df.columns if c != key]
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*")
+
+
 def with_content(df: DataFrame, contents: DataFrame, order: str) -> DataFrame:
     """df (url_id, source_url) with content, found by url_id, else by source_url; of rows with one key the last wins.
 
@@ -64,14 +72,14 @@ def keep_label(new: Column | str, old: Column | str) -> Column:
 
 
 def merge_queries(queries: DataFrame, judged: DataFrame) -> DataFrame:
-    """queries with QI_label of judged (query_id, label) where there is one."""
-    new = judged.select("query_id", F.col("label").alias("_l"))
+    """queries with QI_label of judged (query_id, label; repeated ones as in one_each) where there is one."""
+    new = one_each(judged, "query_id").select("query_id", F.col("label").alias("_l"))
     return queries.join(new, "query_id", "left").withColumn("QI_label", keep_label("_l", "QI_label")).drop("_l").select(queries.columns)
 
 
 def merge_sources(sources: DataFrame, judged: DataFrame) -> DataFrame:
-    """sources with three labels of judged (url_id, SP, SD, ST), for crawled ones with content."""
-    new = judged.select("url_id", *(F.col(a).alias(f"_{a}") for a in ("SP", "SD", "ST")))
+    """sources with three labels of judged (url_id, SP, SD, ST; repeated ones as in one_each), for crawled ones with content."""
+    new = one_each(judged, "url_id").select("url_id", *(F.col(a).alias(f"_{a}") for a in ("SP", "SD", "ST")))
     out = sources.join(new, "url_id", "left")
     able = (F.col("crawl_yn") == "Y") & (F.coalesce(F.col("content"), F.lit("")) != "") if "content" in sources.columns else F.col("crawl_yn") == "Y"
     return out.withColumns({f"{a}_label": keep_label(F.when(able, F.col(f"_{a}")), f"{a}_label") for a in ("SP", "SD", "ST")}).select(sources.columns)
@@ -80,10 +88,11 @@ def merge_sources(sources: DataFrame, judged: DataFrame) -> DataFrame:
 def merge_citations(citations: DataFrame, sources: DataFrame, judged: DataFrame) -> DataFrame:
     """The state of each citation after judging.
 
-    sources: url_id, content (unique url_ids); judged: cit_id, label (null: the judge
-    couldn't tell).  Not evaluable before: stays so.  No source or no content:
+    sources: url_id, content; judged: cit_id, label (null: the judge couldn't tell); of
+    repeated keys one row counts, as in one_each.  Not evaluable before: stays so.  No source or no content:
     crawl_fail.  Judged with a label: evaluable.  Else: judge_unevaluable.
     """
+    sources, judged = one_each(sources, "url_id"), one_each(judged, "cit_id")
     src = sources.select("url_id", F.lit(True).alias("_s"), (F.coalesce(F.col("content"), F.lit("")) != "").alias("_c"))
     out = citations.join(src, "url_id", "left").join(judged.select("cit_id", F.col("label").alias("_l")), "cit_id", "left")
     before = F.coalesce(F.col("evaluation_yn") == "Y", F.lit(False))
@@ -96,7 +105,7 @@ def merge_citations(citations: DataFrame, sources: DataFrame, judged: DataFrame)
 
 def canonical_urls(citations: DataFrame, redirects: DataFrame) -> DataFrame:
     """citations (url) with the canonical form of each raw URL, itself where none is known."""
-    known = redirects.select(F.col("raw").alias("_raw"), F.col("canonical").alias("_canonical"))
+    known = one_each(redirects, "raw").select(F.col("raw").alias("_raw"), F.col("canonical").alias("_canonical"))
     return citations.join(known, F.col("url") == F.col("_raw"), "left").withColumn("canonical", F.coalesce("_canonical", "url")).drop("_raw", "_canonical")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import asf_score
@@ -30,12 +30,24 @@ def where_yes(df: DataFrame, column: str) -> DataFrame:
 _MATRICES = {"ipa": dims.IPA, "ss": dims.SS}
 
 
-def score(which: str, row: str, col: str) -> Column:
+def cells_of(matrix: DataFrame) -> list[tuple[str, str, int]]:
+    """The cells of a scoring matrix read from a file (a few dozen rows; the last of a repeated pair counts, as in a file)."""
+    rows = matrix.select("row_key", "col_key", "score").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("a scoring matrix has at most 10,000 cells")
+    return [(*k, v) for k, v in {(r["row_key"], r["col_key"]): r["score"] for r in rows}.items()]
+
+
+def score(which: str, row: str, col: str, cells: list[tuple[str, str, int]] | None = None) -> Column:
     """A matrix lookup as an expression: the labels' places in their lists index a string of digits.
 
     No join, so nothing is read or computed where the score isn't used, and little code
-    is generated.  A pair that isn't in the matrix fails.
+    is generated.  A pair that isn't in the matrix fails.  cells: of another matrix, as a literal map.
     """
+    if cells is not None:
+        pair = F.concat_ws("|", F.coalesce(row, F.lit("null")), F.coalesce(col, F.lit("null")))
+        found = F.create_map(*(x for r, c, n in cells for x in (F.lit(f"{r}|{c}"), F.lit(n))))
+        return F.coalesce(F.try_element_at(found, pair), F.raise_error(F.concat(F.lit(f"no {which} score: "), pair)).cast("int")).cast("int")
     cells = _MATRICES[which]
     rows, cols = [*dict.fromkeys(c[0] for c in cells)], [*dict.fromkeys(c[1] for c in cells)]
     # Labels are three characters long (but for the last), so places are four apart.
@@ -52,17 +64,19 @@ def provider_column(model: str = "model_short") -> Column:
     return F.expr(f"CASE {model} {cases} ELSE 'unknown' END")
 
 
-def build_master(queries: DataFrame, sources: DataFrame, citations: DataFrame) -> DataFrame:
+def build_master(queries: DataFrame, sources: DataFrame, citations: DataFrame, matrices: dict[str, DataFrame] | None = None) -> DataFrame:
     """citations joined with their queries and crawled sources, with provider and three scores.
 
-    Only what is needed of each side is joined; columns that the inputs lack are left out.
+    Only what is needed of each side is joined; columns that the inputs lack are left
+    out.  matrices: 'ipa' and 'ss' as sources.io.read_matrix returns them, instead of the built-in ones.
     """
+    cells = {n: cells_of(m) for n, m in (matrices or {}).items()}
     cit = where_yes(citations, "evaluation_yn").drop("provider", "crawl_yn")
     src = where_yes(sources, "crawl_yn").select("url_id", *[c for c in ("source_url", "clen") if c in sources.columns], "SP_label", "SD_label", "ST_label")
     qry = queries.select("query_id", *[c for c in ("site", "category") if c in queries.columns], "QI_label")
     df = cit.drop(*[c for c in {*src.columns, *qry.columns} - {"url_id", "query_id"} if c in cit.columns]).join(qry, "query_id").join(src, "url_id")
     df = df.withColumns({"provider": provider_column(), "asf_score": asf_score("ASF_label"), "crawl_yn": F.lit("Y")})
-    df = df.withColumns({"ipam_score": score("ipa", "QI_label", "SP_label"), "ssm_score": score("ss", "SD_label", "ST_label")})
+    df = df.withColumns({"ipam_score": score("ipa", "QI_label", "SP_label", cells.get("ipa")), "ssm_score": score("ss", "SD_label", "ST_label", cells.get("ss"))})
     return df.select(*[c for c in MASTER_COLUMNS if c in df.columns])
 
 
@@ -80,6 +94,16 @@ def release(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: project(where_yes(df, "evaluation_yn") if name == "citations" else df, RELEASE[name]) for name, df in tables.items()}
 
 
+def unique_ids(sources: DataFrame) -> DataFrame:
+    """sources, or an error where one url_id stands for several URLs (7 digits: likely from some thousand URLs on).
+
+    The check is a window over url_id, by which the join is partitioned as well.
+    """
+    w = Window.partitionBy("url_id")
+    two = sources.withColumn("_two", F.min("source_url").over(w) != F.max("source_url").over(w))
+    return two.where(F.when(F.col("_two"), F.raise_error(F.concat(F.lit("one url_id for several URLs: "), "url_id")).cast("boolean")).otherwise(F.lit(True))).drop("_two")
+
+
 def colliding_ids(sources: DataFrame) -> DataFrame:
     """url_ids of several URLs, which would multiply citations in the join."""
     return sources.groupBy("url_id").agg(F.count_distinct("source_url").alias("n_urls")).where("n_urls > 1")

@@ -6,39 +6,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..sources.durable import durable
 from . import dims
 from .literal import literal
 
 AXES = "QI SP SD ST ASF".split()
 
 
+def votes(evaluated: DataFrame) -> DataFrame:
+    """task, human_labels, judge_label, c: each different set of labels once."""
+    return evaluated.groupBy("task", "human_labels", "judge_label").agg(F.count("*").alias("c"))
+
+
+def _majority_cells(voted: DataFrame) -> DataFrame:
+    return voted.where(F.size("human_labels") > 0).groupBy("task", S.majority(F.col("human_labels")).alias("a"), F.col("judge_label").alias("b")).agg(F.sum("c").alias("c"))
+
+
+def _rater_cells(voted: DataFrame) -> DataFrame:
+    each = voted.select("task", "judge_label", "c", F.posexplode("human_labels").alias("rater", "a"))
+    return each.groupBy("task", "rater", "a", F.col("judge_label").alias("b")).agg(F.sum("c").alias("c"))
+
+
 def confusion(evaluated: DataFrame) -> DataFrame:
     """task, a (majority of the raters), b (judge), c of rows task, human_labels, judge_label."""
-    # Votes are counted once for each different set of labels.
-    rows = evaluated.where(F.size("human_labels") > 0).groupBy("task", "human_labels", "judge_label").agg(F.count("*").alias("c"))
-    return rows.groupBy("task", S.majority(F.col("human_labels")).alias("a"), F.col("judge_label").alias("b")).agg(F.sum("c").alias("c"))
+    return _majority_cells(votes(evaluated))
 
 
 def rater_confusion(evaluated: DataFrame) -> DataFrame:
     """The same for each rater's place; raters may be missing in some rows."""
-    rows = evaluated.groupBy("task", "human_labels", "judge_label").agg(F.count("*").alias("c"))
-    each = rows.select("task", "judge_label", "c", F.posexplode("human_labels").alias("rater", "a"))
-    return each.groupBy("task", "rater", "a", F.col("judge_label").alias("b")).agg(F.sum("c").alias("c"))
+    return _rater_cells(votes(evaluated))
+
+
+def _mean_kappa(cells: DataFrame) -> DataFrame:
+    per = S.kappa(cells, ["task", "rater"]).where("classes > 1")
+    return per.groupBy("task").agg(F.avg("kappa").alias("kappa_pair"))
 
 
 def kappa_pair(evaluated: DataFrame) -> DataFrame:
     """task, kappa_pair: mean of the judge's kappas with each rater who used more than one class."""
-    per = S.kappa(rater_confusion(evaluated), ["task", "rater"]).where("classes > 1")
-    return per.groupBy("task").agg(F.avg("kappa").alias("kappa_pair"))
+    return _mean_kappa(durable(rater_confusion(evaluated)))
 
 
 def judge_kappa(evaluated: DataFrame, replicates: int = 1000) -> DataFrame:
-    """A row a task: n, raw agreement, kappa with its bootstrap interval, mean pairwise kappa, balanced accuracy."""
-    cells = confusion(evaluated)
+    """A row a task: n, raw agreement, kappa with its bootstrap interval, mean pairwise kappa, balanced accuracy.
+
+    The facts are read once, for the votes; all statistics read cells that are kept.
+    """
+    voted = durable(votes(evaluated))
+    cells = durable(_majority_cells(voted))
     cons = S.kappa(cells, ["task"]).select("task", "n", F.col("agreement").alias("raw_agr"), F.col("kappa").alias("kappa_cons"))
     order = literal(evaluated.sparkSession, [*enumerate(AXES)], "ord int, task string")
     out = order.join(cons, "task").join(S.bootstrap_kappa(cells, "task", replicates), "task", "left")
-    return out.join(kappa_pair(evaluated), "task", "left").join(S.balanced_accuracy(cells, ["task"]), "task", "left")
+    return out.join(_mean_kappa(durable(_rater_cells(voted))), "task", "left").join(S.balanced_accuracy(cells, ["task"]), "task", "left")
 
 
 def ratings(cells: DataFrame) -> DataFrame:

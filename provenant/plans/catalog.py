@@ -15,6 +15,7 @@ from ..functions import urls as U
 from ..operators import dims, evaluate, sampling, tables, validation
 from ..operators import master as M
 from ..sources import schemas
+from ..sources.durable import durable
 from . import adapter as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,7 +257,7 @@ _EACH = "each AS (SELECT task, rater, human_labels[rater + 1] AS a, judge_label
 
 @register(_with(_kappa_sql("task", "conf"), A.EVALUATED_SQL, _CONF))
 def judge_kappa(spark, d):
-    out = S.kappa(validation.confusion(A.evaluated(spark, d)), ["task"])
+    out = S.kappa(durable(validation.confusion(A.evaluated(spark, d))), ["task"])
     return _r(out, "kappa", digits=9).select("task", "n", "agreement", "kappa")
 
 
@@ -356,7 +357,14 @@ def word_counts(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.word_count("text").cast("long").alias("n_words"))
 
 
-@register()
+#: The same for pages whose tags are well formed.
+_HIDDEN_SQL = "|".join(f"<{h}(?:\\s[^>]*)?>.*?</{h}>" for h in sorted(H._HIDDEN))
+_VISIBLE = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(html, ''), chr(10), ' '), '{_HIDDEN_SQL}', '', 'g'), '<!.*?>', '', 'g'), '</?(?:{'|'.join(sorted(H._BREAKS))})(?:\\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _name, _char in {"lt": "'<'", "gt": "'>'", "copy": "'©'", "middot": "'·'", "quot": "'\"'", "nbsp": "chr(160)", "amp": "'&'"}.items():
+    _VISIBLE = f"replace({_VISIBLE}, '&{_name};', {_char})"
+
+
+@register(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '[\\s\\x{{00A0}}]+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM (SELECT page_id, {_VISIBLE} AS t FROM pages)")
 def visible_text(spark, d):
     return A.table(spark, d, "pages").select("page_id", H.visible_text("html").alias("text"))
 
@@ -454,12 +462,12 @@ def judge_merge_queries(spark, d):
 
 
 @register(
-    """SELECT p_partkey AS url_id, CASE WHEN p_partkey % 10 = 0 THEN 'N' ELSE 'Y' END AS crawl_yn, CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 2 = 0 THEN 'SP1' ELSE 'SP' || (p_partkey % 6 + 1) END AS SP_label, 'SD' || (p_size % 10 + 1) AS SD_label FROM part"""
+    """SELECT p_partkey AS url_id, CASE WHEN p_partkey % 10 = 0 THEN 'N' ELSE 'Y' END AS crawl_yn, CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 2 = 0 THEN 'SP1' ELSE 'SP' || (p_partkey % 6 + 1) END AS SP_label, 'SD' || (p_size % 10 + 1) AS SD_label, s.ST_label FROM part JOIN (""" + A.SOURCES_SQL + """) s ON s.url_id = p_partkey"""
 )
 def judge_merge_sources(spark, d):
     src = A.sources(spark, d)
     new = src.select("url_id", F.when(F.col("url_id") % 2 == 0, "SP1").alias("SP"), F.lit(None).cast("string").alias("SD"), F.lit("").alias("ST"))
-    return evaluate.merge_sources(src, new).select("url_id", "crawl_yn", "SP_label", "SD_label")
+    return evaluate.merge_sources(src, new).select("url_id", "crawl_yn", "SP_label", "SD_label", "ST_label")
 
 
 @register(
@@ -551,3 +559,6 @@ round(greatest(abs(CAST(max(c) AS DOUBLE) / sum(c) - CAST(1 AS DOUBLE) / count(*
 )
 def sample_report(spark, d):
     return _r(sampling.report(A.master(spark, d), "SD"), "std", "max_dev")
+
+
+from . import stage_queries  # noqa: E402, F401  registers the queries of stages, files and texts

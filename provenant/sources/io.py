@@ -51,19 +51,29 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return read_jsonl(spark, path, schema, strict=schema is not None)
 
 
+def exists(path: str) -> bool:
+    """Whether there is such a file or folder, on whatever file system the session reaches it; without a session, on this machine."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return Path(path).exists()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def find(folder: str, name: str) -> str:
     """The first of folder, folder/judge, folder/search that holds the file."""
-    for place in (Path(folder), Path(folder, "judge"), Path(folder, "search")):
-        if (place / name).exists():
-            return str(place / name)
+    for place in (folder, f"{folder}/judge", f"{folder}/search"):
+        if exists(f"{place}/{name}"):
+            return f"{place}/{name}"
     raise FileNotFoundError(f"{name} is not in {folder}, nor in its judge and search folders")
 
 
 def sibling(path: str, name: str = "sources.parquet") -> str | None:
     """The file beside a table, or in `parquet` beside it."""
-    for place in (Path(path).parent, Path(path).parent / "parquet"):
-        if (place / name).exists():
-            return str(place / name)
+    folder = path.rstrip("/").rpartition("/")[0] or "."
+    for place in (folder, f"{folder}/parquet"):
+        if exists(f"{place}/{name}"):
+            return f"{place}/{name}"
     return None
 
 
@@ -88,8 +98,11 @@ def cell(value: object, digits: int | None) -> str:
 def write_tsv(rows: Sequence[Row | dict], path: str, columns: Sequence[str], digits: int | None = 4) -> None:
     """Result rows (a few dozen at most) as one file; floats with `digits` decimals, or as Python prints them."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    lines = ["\t".join(columns), *("\t".join(cell(r[c], digits) for c in columns) for r in rows)]
-    Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    Path(path).write_text("\n".join(tsv_lines(rows, columns, digits)) + "\n", encoding="utf-8")
+
+
+def tsv_lines(rows: Sequence[Row | dict], columns: Sequence[str], digits: int | None = 4) -> list[str]:
+    return ["\t".join(columns), *("\t".join(cell(r[c], digits) for c in columns) for r in rows)]
 
 
 def write_json(value: object, path: str) -> None:
@@ -162,15 +175,21 @@ FORMATS: dict[str, tuple[list, list[str] | None, Callable]] = {
 }
 
 
-def save_table(df: DataFrame, name: str, folder: str) -> int:
-    """A result table as tab_d_<name>.tsv in its display order; rows written."""
+def formatted(df: DataFrame, name: str) -> tuple[list[dict], list[str]]:
+    """Rows of a result table (at most 22) in display order and format, and its columns."""
     order, columns, fmt = FORMATS[name]
-    rows = df.collect()  # at most 22
+    rows = df.collect()
     if order[0].startswith("-"):
         key = order[0][1:]
         rows.sort(key=lambda r: (-np_round(r[key], 1), r[order[1]]))
     else:
         rows.sort(key=lambda r: tuple((r[c] is None, r[c] if r[c] is not None else 0) for c in order))
     out = fmt(rows)
-    write_tsv(out, f"{folder}/tab_d_{name}.tsv", columns or [*(out[0] if out else {})])
+    return out, columns or [*(out[0] if out else {})]
+
+
+def save_table(df: DataFrame, name: str, folder: str) -> int:
+    """A result table as tab_d_<name>.tsv in its display order; rows written."""
+    out, columns = formatted(df, name)
+    write_tsv(out, f"{folder}/tab_d_{name}.tsv", columns)
     return len(out)

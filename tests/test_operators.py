@@ -1,12 +1,15 @@
 import json
 import math
+import time
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from random import Random
 
 import pytest
 from pyspark.sql import functions as F
 
 from provenant import cli
+from provenant.functions import extract
 from provenant.operators import dims, evaluate, sampling, tables
 from provenant.operators import master as M
 from provenant.plans import adapter as A
@@ -238,6 +241,11 @@ def test_effects(spark):
     read = []
     robots = effects.Robots(lambda u: read.append(u) or ("User-agent: *\nDisallow: /no" if "a.b" in u else None))
     assert [robots.allowed(u) for u in ("http://a.b/yes", "http://a.b/no/x", "http://c.d/no")] == [True, False, True] and len(read) == 2
+    slow = []
+    shared = effects.Robots(lambda u: slow.append(u) or time.sleep(0.05) or "User-agent: *\nDisallow: /no")
+    with ThreadPoolExecutor(8) as pool:
+        assert [*pool.map(shared.allowed, ["http://e.f/no", "http://E.f/yes"] * 8)] == [False, True] * 8
+    assert len(slow) == 1
     found = spark.createDataFrame([("http://a/1",), ("http://a/1",), ("http://b/2",), (None,)], "url string")
 
     def fetcher(url):
@@ -247,6 +255,17 @@ def test_effects(spark):
 
     got = {r.url: (r.status, r.content, r.final_url) for r in effects.fetch_pages(found, fetcher, cap=4).collect()}
     assert got == {"http://a/1": ("ok", "xxxx", "http://a/final?utm_x=1"), "http://b/2": ("failed", None, "http://b/2")}
+    gated = effects.fetch_pages(found.where("url IS NOT NULL"), fetcher, robots=effects.Robots(lambda u: "User-agent: *\nDisallow: /" if "//a" in u else None))
+    assert {r.url: r.status for r in gated.collect()} == {"http://a/1": "blocked_by_robots", "http://b/2": "failed"}
+
+    def late(url):
+        time.sleep(1.0 if "slow" in url else 0.0)
+        return effects.Fetched("ok", "x")
+
+    many = spark.createDataFrame([(f"http://a/{i}", 9 - i) for i in range(9)] + [("http://a/slow", 0), ("http://a/0", 20)], "url string, ord int").repartition(1)
+    rows = effects.fetch_pages(many, late, concurrency=2, timeout_ms=200, host_tasks=1).collect()
+    assert [r.url for r in rows] == ["http://a/slow", *(f"http://a/{i}" for i in range(8, -1, -1))] and [r.ord for r in rows] == [0, *range(1, 10)]
+    assert [r.status for r in rows] == ["failed"] + ["ok"] * 9 and all(r.crawled_at[:2] == "20" for r in rows)
     asked = effects.ask_models(spark.createDataFrame([("Q00001", "Why?")], "query_id string, question_title string"), dims.models(spark).limit(3), lambda q, m: (f"{q} {m}", "{}"))
     assert asked.count() == 3
 
@@ -263,6 +282,67 @@ def test_search_stage(spark):
     assert got == [(1, "Q00001", "Y", None), (2, "Q00001", "N", "cited_too_short"), (3, "Q00002", "N", "crawl_fail")]
     assert out["sources"].count() == 2 and [r.source_content for r in out["contents"].collect()] == ["body"]
     assert out["citations"].select("url_id").distinct().count() == 2
+    ranked = cited.withColumn("query_ord", F.when(F.col("query_id") == "Q00002", 1).otherwise(2)).withColumn("model_ord", F.lit(0))
+    timed = fetched.withColumn("ord", F.when(F.col("url") == "http://a/2", 1).otherwise(2)).withColumn("crawled_at", F.concat(F.lit("2026-04-01T00:00:0"), "ord"))
+    out = effects.search_stage(ranked, timed, 100)
+    assert [tuple(r) for r in out["citations"].orderBy("cit_id").select("cit_id", "query_id").collect()] == [(100, "Q00002"), (101, "Q00001"), (102, "Q00001")]
+    assert {r.crawled_at_first for r in out["sources"].collect()} == {"2026-04-01T00:00:01", "2026-04-01T00:00:02"}
+    assert [r.source_content for r in out["contents"].collect()] == ["other"]
+
+
+def test_commands_from_questions_to_tables(spark, tmp_path):
+    lines = lambda name, rows: (tmp_path / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+    words = "It is said here that one two three four."
+    models = ["sonar", "gpt-5"]
+    questions = [{"query_id": f"Q0000{i}", "site": "law", "category": "Science", "question_title": f"Why {i}?", "question_url": None, "QI_label": None} for i in (3, 1, 2)]
+    lines("q.jsonl", questions)
+    meta = {"citations": ["http://a.org/1?utm_source=x", "http://b.com/2"]}
+    full = {"sonar": "sonar", "gpt-5": "gpt-5-2025-08-07"}
+    text = {"sonar": f"{words} [1][2]", "gpt-5": f"{words} [x](http://a.org/1)"}
+    lines("r.jsonl", [{"question": q["question_title"], "model": full[m], "text": text[m], "meta": meta if m == "sonar" else {}} for q in questions for m in models])
+    lines("p.jsonl", [{"url": "http://a.org/1", "text": "page text"}])
+    lines("l.jsonl", [{"axis": "QI", "key": q["question_title"], "label": "QI2"} for q in questions] + [{"axis": a, "key": "http://a.org/1", "label": f"{a}1"} for a in ("SP", "SD", "ST")] + [{"axis": "ASF", "key": words, "label": "ASF5"}])
+    folder = tmp_path / "run"
+    given = cli.responder_of(None, str(tmp_path / "r.jsonl")), cli.fetcher_of(None, str(tmp_path / "p.jsonl")), cli.judge_of(None, str(tmp_path / "l.jsonl"))
+    done, skipped = cli.run_all(spark, str(folder), str(tmp_path / "q.jsonl"), models, *given, start=50, retry=0.0)
+    assert done and done + skipped == 14
+    cit = spark.read.json(str(folder / "search" / "citations.jsonl")).orderBy("cit_id").collect()
+    assert [(r.cit_id, r.query_id, r.model_short) for r in cit] == [(50 + 3 * k + j, q["query_id"], m) for k, q in enumerate(questions) for j, m in enumerate(("sonar", "sonar", "gpt-5"))]
+    src = spark.read.json(str(folder / "search" / "sources.jsonl")).collect()
+    assert {(r.source_url, r.crawl_yn) for r in src} == {("http://a.org/1", "Y"), ("http://b.com/2", "N")} and all(r.crawled_at_first for r in src)
+    am = spark.read.parquet(str(folder / "analysis_master.parquet")).collect()
+    assert len(am) == 6 and {(r.QI_label, r.SP_label, r.asf_score) for r in am} == {("QI2", "SP1", 5)}
+    with pytest.raises(SystemExit):
+        cli.main(["search", "--input", "x", "--models", "none", "--output", "y", "--responder", "a:b", "--fetcher", "a:b"])
+    with pytest.raises(SystemExit):
+        cli.main(["judge", "--output-dir", "y", "--judge", "a:b"])
+    with pytest.raises(ValueError, match="sources"):
+        cli.run_judge(spark, None, None, "c", None, "o", given[2])
+
+
+def test_scores_of_matrix_files(spark, tmp_path):
+    (tmp_path / "ipa.tsv").write_text("QI\tSP\tscore\n" + "".join(f"QI{i}\tSP{j}\t{6 - (i + j) % 5 - 1}\n" for i in range(1, 6) for j in range(1, 7)))
+    rows = spark.createDataFrame([("QI1", "SP6"), ("QI2", "SP2"), ("QI9", "SP1")], "r string, c string")
+    cells = M.cells_of(io.read_matrix(spark, str(tmp_path / "ipa.tsv")))
+    assert [x.s for x in rows.where("r <> 'QI9'").select(M.score("ipa", "r", "c", cells).alias("s")).collect()] == [3, 1]
+    with pytest.raises(Exception, match="no ipa score: QI9"):
+        rows.select(M.score("ipa", "r", "c", cells).alias("s")).collect()
+    two = spark.createDataFrame([("S1", "http://a"), ("S1", "http://b")], "url_id string, source_url string")
+    with pytest.raises(Exception, match="one url_id for several URLs: S1"):
+        M.unique_ids(two).collect()
+    assert M.unique_ids(two.limit(1).union(two.limit(1))).count() == 2
+
+
+def test_merges_of_repeated_keys(spark):
+    q = spark.createDataFrame([("Q1", "QI1"), ("Q2", None)], "query_id string, QI_label string")
+    new = spark.createDataFrame([("Q1", "QI2", 1), ("Q1", "QI3", 2), ("Q2", "QI4", 1), (None, "QI5", 1)], "query_id string, label string, _o int")
+    assert sorted(map(tuple, evaluate.merge_queries(q, new).collect())) == [("Q1", "QI3"), ("Q2", "QI4")]
+    cit = spark.createDataFrame([(1, "S1", None, "Y", None)], "cit_id int, url_id string, ASF_label string, evaluation_yn string, evaluation_fail_reason string")
+    src = spark.createDataFrame([("S1", "text", 1), ("S1", "more", 2)], "url_id string, content string, _o int")
+    lab = spark.createDataFrame([(1, "ASF1", 1), (1, "ASF2", 2)], "cit_id int, label string, _o int")
+    assert [tuple(r) for r in evaluate.merge_citations(cit, src, lab).collect()] == [(1, "S1", "ASF2", "Y", None)]
+    raw = spark.createDataFrame([("u", "a"), ("u", "b")], "raw string, canonical string")
+    assert evaluate.canonical_urls(spark.createDataFrame([("u",)], "url string"), raw).count() == 1
 
 
 def test_streamed_counters_equal_the_batch(spark, am, tmp_path):
@@ -327,6 +407,11 @@ def test_metadata_from_json(spark):
     rows = ['{"citations": ["http://a", "http://b"]}', '{"citations": {"2": "http://c"}}', '{"annotations": [{"url": "u"}]}', None, "{}"]
     got = [r.m for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(effects.parse_meta("x").alias("m")).collect()]
     assert [m.citations for m in got] == [{1: "http://a", 2: "http://b"}, {2: "http://c"}, None, None, None] and got[2].annotations[0].url == "u"
+    other = ['{"text_citations": [{"text": "It is so. And so.", "url": " http://a "}, {"cited_text": "x", "url": ""}]}', '{"native_citations": [], "text_citations": [{"cited_text": "", "text": "t", "url": "u"}]}', '{"native_citations": [{"cited_text": "a", "url": "n"}], "text_citations": [{"text": "t", "url": "u"}]}']
+    other += ['{"grounding_chunks": [{"uri": "http://b"}], "grounding_supports": [{"grounding_chunk_indices": [0, 3], "text": "Said."}, {"chunk_indices": [0], "grounding_chunk_indices": [5], "text": "More."}]}']
+    rows = spark.createDataFrame([(i, "google" if "ground" in x else "anthropic", x) for i, x in enumerate(other)], "i int, provider_key string, m string")
+    cited = extract.extract(rows.select("i", "provider_key", F.lit("").alias("raw_response"), effects.parse_meta("m").alias("meta"))).orderBy("i", "ord").collect()
+    assert [(r.i, r.url, r.cited_sentence, r.ord) for r in cited] == [(0, "http://a", "It is so. And so.", 1), (1, "u", "t", 1), (2, "n", "a", 1), (3, "http://b", "Said.", 1), (3, "http://b", "More.", 3)]
 
 
 def test_visible_text(spark):
