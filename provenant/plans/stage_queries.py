@@ -188,8 +188,8 @@ def temporal_of_strings(spark, d):
 
 
 _HOSTS = {
-    "cs.stanford.edu": "Academic", "www.ox.ac.uk": "Academic", "www.nature.com": "Academic", "arxiv.org": "Academic", "www.nih.gov": "Academic", "cdc.gov": "Gov/Org", "www.gov.uk": "Commercial/Other", "data.gov.au": "Gov/Org", "who.int": "Gov/Org",
-    "example.org": "Gov/Org", "en.wikipedia.org": "Gov/Org", "de.wikipedia.com": "Forum/Q&A", "www.reddit.com": "Forum/Q&A", "medium.com": "Social/Blog", "me.github.io": "Commercial/Other", "x.com": "Social/Blog", "www.bbc.co.uk": "News", "www.cnn.com": "News",
+    "cs.stanford.edu": "Academic", "www.ox.ac.uk": "Academic", "www.nature.com": "Academic", "arxiv.org": "Academic", "www.nih.gov": "Academic", "cdc.gov": "Gov/Org", "www.gov.uk": "Gov/Org", "data.gov.au": "Gov/Org", "who.int": "Gov/Org",
+    "example.org": "Gov/Org", "en.wikipedia.org": "Gov/Org", "de.wikipedia.com": "Forum/Q&A", "www.reddit.com": "Forum/Q&A", "medium.com": "Social/Blog", "me.github.io": "Commercial/Other", "x.com": "Commercial/Other", "m.x.com.example": "Social/Blog", "www.bbc.co.uk": "News", "www.cnn.com": "News",
     "nature.example.com": "Academic", "mynature.com": "Commercial/Other", "shop.example.com": "Commercial/Other", "educational.net": "Commercial/Other",
 }
 
