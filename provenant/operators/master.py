@@ -64,6 +64,13 @@ def provider_column(model: str = "model_short") -> Column:
     return F.expr(f"CASE {model} {cases} ELSE 'unknown' END")
 
 
+def strict_provider(model: str = "model") -> Column:
+    """Provider of a short name or full id; an unknown one fails."""
+    known = {name: m[2] for m in dims.MODELS for name in m[:2]}
+    cases = " ".join(f"WHEN '{name}' THEN '{p}'" for name, p in known.items())
+    return F.expr(f"CASE {model} {cases} ELSE CAST(raise_error(concat('no such model: ', coalesce({model}, 'null'))) AS STRING) END")
+
+
 def build_master(queries: DataFrame, sources: DataFrame, citations: DataFrame, matrices: dict[str, DataFrame] | None = None) -> DataFrame:
     """citations joined with their queries and crawled sources, with provider and three scores.
 

@@ -59,14 +59,20 @@ def fidelity_sample(am: DataFrame, key: Sequence[str], seed: int = SEED) -> Data
     return one.select(F.lit(1).alias("layer"), *cols).unionByName(two.select(F.lit(2).alias("layer"), *cols))
 
 
+def numbered(sample: DataFrame, axis: str, order: Sequence[Column | str]) -> DataFrame:
+    """A sample (a few hundred rows) with item_id: the axis and the place in the given order."""
+    return sample.withColumn("item_id", F.concat(F.lit(axis), F.row_number().over(Window.partitionBy().orderBy(*order))))
+
+
 def one_query_each(queries: DataFrame, intents: Sequence[str] = ("QI1", "QI2", "QI4"), seed: int = SEED) -> DataFrame:
     return stratified(queries, ("QI_label",), {(q,): 1 for q in intents}, ("query_id",), seed)
 
 
 def pool(am: DataFrame, axis: str) -> DataFrame:
-    """One row a subject with its label and diversity columns; of different rows of one subject the least."""
+    """One row a subject with its label and diversity columns: its first by cit_id, or the least if there are no cit_ids."""
     key, cols = SUBJECT[axis], [f"{axis}_label", *DIVERSITY[axis]]
-    rows = am.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*cols)).alias("r")).select(key, "r.*")
+    order = [*(["cit_id"] if "cit_id" in am.columns else []), *cols]
+    rows = am.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("r")).select(key, "r.*")
     return rows.where(F.col(f"{axis}_label").isin(*QUOTAS[axis]))
 
 

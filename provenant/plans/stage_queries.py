@@ -477,6 +477,24 @@ def commands_end_to_end(spark, d):
 # -- samples
 
 
+@register(
+    f"""WITH s AS ({SQL['asf_stratified_sample']}) SELECT layer, model_short, ASF_label, query_id, url_id, cited_len,
+'ASF' || row_number() OVER (ORDER BY layer, CASE WHEN layer = 1 THEN model_short ELSE '' END, ASF_label, query_id, url_id, cited_len, model_short) AS item_id FROM s"""
+)
+def asf_items(spark, d):
+    """The sample of verdicts with its item numbers."""
+    sample = sampling.fidelity_sample(A.master(spark, d), ("query_id", "url_id", "cited_len", "model_short"))
+    order = ["layer", F.when(F.col("layer") == 1, F.col("model_short")).otherwise(""), "ASF_label", "query_id", "url_id", "cited_len", "model_short"]
+    return sampling.numbered(sample, "ASF", order).select("layer", "model_short", "ASF_label", "query_id", "url_id", "cited_len", "item_id")
+
+
+@register(f"SELECT l_orderkey, l_linenumber, model, provider FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN {A._list([m[1] for m in dims.MODELS])}[l_suppkey % 10 + 1] ELSE {A._list(dims.SHORT)}[l_suppkey % 10 + 1] END AS model, {A._list([m[2] for m in dims.MODELS])}[l_suppkey % 10 + 1] AS provider FROM lineitem)")
+def model_providers(spark, d):
+    """Providers of short names and full ids."""
+    model = F.when(F.col("l_linenumber") % 2 == 0, A._pick([m[1] for m in dims.MODELS], "l_suppkey % 10")).otherwise(A._pick(dims.SHORT, "l_suppkey % 10"))
+    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", model.alias("model")).withColumn("provider", M.strict_provider())
+
+
 def _pool_sql(axis: str) -> str:
     key, cols = sampling.SUBJECT[axis], [f"{axis}_label", *sampling.DIVERSITY[axis]]
     cases = " ".join(f"WHEN '{k}' THEN {n}" for k, n in sampling.QUOTAS[axis].items())

@@ -26,6 +26,8 @@ from ..operators import evaluate
 from ..operators.master import where_yes
 
 CRAWL_CONCURRENCY, CRAWL_TIMEOUT_MS, JUDGE_CONCURRENCY = 5, 15_000, 20
+#: Of fetches and of the rules of robots.txt asked for.
+USER_AGENT = "Mozilla/5.0 (compatible; provenant)"
 SYSTEM_PROMPT = "Answer the question accurately and completely, with help of the search tool where outside knowledge is needed."
 AXES = {"QI": 5, "SP": 6, "SD": 10, "ST": 6, "ASF": 5}
 #: Parts of a judge's user message, by axis.
@@ -99,7 +101,7 @@ class Robots:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state, lock=threading.Lock())
 
-    def allowed(self, url: str, agent: str = "*") -> bool:
+    def allowed(self, url: str, agent: str = USER_AGENT) -> bool:
         scheme, _, rest = url.partition("://")
         site = f"{scheme}://{rest.split('/')[0].lower()}"
         with self.lock:
@@ -141,7 +143,8 @@ def fetch_pages(
     found: url, and ord if there is an order (the least of a URL counts and is kept;
     else 0).  Grounding redirects are followed first, then robots.txt is asked
     (status blocked_by_robots); an exception or a fetch beyond the timeout is a failed
-    one.  crawled_at: when the fetch began, ISO.  A host's URLs go to at most
+    one.  A fetcher that is a context manager is entered once a task, for what its
+    fetches share (a browser, say).  crawled_at: when the fetch began, ISO.  A host's URLs go to at most
     `host_tasks` tasks, each with `concurrency` threads; within a task results keep the order of the URLs.
     """
 
@@ -153,9 +156,11 @@ def fetch_pages(
             target = resolve_redirect(url, follow) if follow else url
             if robots is not None and not robots.allowed(target):
                 return "blocked_by_robots", None, target
-            got = fetcher(target)
+            got = fetch(target)
             return got.status, None if got.content is None else got.content[:cap], got.final_url or target
 
+        shared = hasattr(fetcher, "__enter__")
+        fetch = fetcher.__enter__() if shared else fetcher
         pool = ThreadPoolExecutor(concurrency)
         try:
             for pdf in batches:
@@ -171,6 +176,8 @@ def fetch_pages(
                 yield pd.DataFrame(rows, columns=["url", "status", "content", "final_url", "crawled_at", "ord"])
         finally:
             pool.shutdown(wait=False, cancel_futures=True)
+            if shared:
+                fetcher.__exit__(None, None, None)
 
     place = F.col("ord") if "ord" in found.columns else F.lit(0)
     distinct = found.where("url IS NOT NULL").groupBy("url").agg(F.min(place.cast("long")).alias("ord"))

@@ -262,6 +262,18 @@ def test_effects(spark):
         time.sleep(1.0 if "slow" in url else 0.0)
         return effects.Fetched("ok", "x")
 
+    class Browser:
+        opened = 0
+
+        def __enter__(self):
+            Browser.opened += 1
+            return lambda url: effects.Fetched("ok", str(Browser.opened))
+
+        def __exit__(self, *_):
+            Browser.opened = -1
+
+    one = effects.fetch_pages(found.where("url IS NOT NULL").coalesce(1), Browser(), host_tasks=1).collect()
+    assert {r.content for r in one} <= {"1", "0"} and {r.status for r in one} == {"ok"}
     many = spark.createDataFrame([(f"http://a/{i}", 9 - i) for i in range(9)] + [("http://a/slow", 0), ("http://a/0", 20)], "url string, ord int").repartition(1)
     rows = effects.fetch_pages(many, late, concurrency=2, timeout_ms=200, host_tasks=1).collect()
     assert [r.url for r in rows] == ["http://a/slow", *(f"http://a/{i}" for i in range(8, -1, -1))] and [r.ord for r in rows] == [0, *range(1, 10)]
@@ -333,6 +345,17 @@ def test_scores_of_matrix_files(spark, tmp_path):
     assert M.unique_ids(two.limit(1).union(two.limit(1))).count() == 2
 
 
+def test_first_rows_item_numbers_and_strict_providers(spark):
+    am = spark.createDataFrame([(2, "S1", "SD1", "ST1", "SP1"), (1, "S1", "SD2", "ST2", "SP2"), (3, "S2", "SD3", "ST1", "SP1")], "cit_id int, url_id string, SD_label string, ST_label string, SP_label string")
+    assert sorted((r.url_id, r.SD_label) for r in sampling.pool(am, "SD").collect()) == [("S1", "SD2"), ("S2", "SD3")]
+    assert sorted((r.url_id, r.SD_label) for r in sampling.pool(am.drop("cit_id"), "SD").collect()) == [("S1", "SD1"), ("S2", "SD3")]
+    assert [(r.cit_id, r.item_id) for r in sampling.numbered(am, "SD", ["cit_id"]).orderBy("cit_id").collect()] == [(1, "SD1"), (2, "SD2"), (3, "SD3")]
+    models = spark.createDataFrame([("sonar",), ("gpt-5-2025-08-07",)], "model string")
+    assert [r.p for r in models.select(M.strict_provider().alias("p")).collect()] == ["Perplexity", "OpenAI"]
+    with pytest.raises(Exception, match="no such model: gpt-9"):
+        models.limit(1).withColumn("model", F.lit("gpt-9")).select(M.strict_provider().alias("p")).collect()
+
+
 def test_merges_of_repeated_keys(spark):
     q = spark.createDataFrame([("Q1", "QI1"), ("Q2", None)], "query_id string, QI_label string")
     new = spark.createDataFrame([("Q1", "QI2", 1), ("Q1", "QI3", 2), ("Q2", "QI4", 1), (None, "QI5", 1)], "query_id string, label string, _o int")
