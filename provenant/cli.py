@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .operators import dims, sampling, tables, validation
 from .operators import master as M
-from .sources import effects, io, stages
+from .sources import effects, io, schemas, stages
 
 LOG = logging.getLogger("provenant")
 
@@ -138,12 +138,12 @@ def judge_of(name: str | None, path: str | None) -> effects.Judge:
 
 
 def run_search(spark: SparkSession, path: str, models: list[str], out: str, responder: effects.Responder, fetcher: effects.Fetcher, start: int = 1, save_content: bool = False, robots: effects.Robots | None = None, retry: float = 2.0) -> dict[str, int]:
-    """Questions to citations, sources, model_responses and, if wanted, contents as JSON lines; rows of each."""
+    """Questions to citations, shared_ids, sources, model_responses and, if wanted, contents as JSON lines; rows of each."""
     found = stages.search(io.read_table(spark, path, "queries"), models, responder, fetcher, retry, start, robots)
     counts = {}
     for name, df in found.items():
         if name != "contents" or save_content:
-            io.write_jsonl(df, f"{out}/{name}.jsonl", None if name == "contents" else name)
+            io.write_jsonl(df, f"{out}/{name}.jsonl", None if name in ("contents", "shared_ids") else name)
             counts[name] = df.count()
             LOG.info("wrote %s, %d rows", name, counts[name])
     return counts
@@ -157,8 +157,10 @@ def run_judge(spark: SparkSession, queries: str | None, sources: str | None, cit
         raise ValueError("citations need sources, by which their contents are found")
     tables = {n: io.read_table(spark, p, n) for n, p in (("queries", queries), ("sources", sources), ("citations", citations)) if p}
     stored = io.read_jsonl(spark, contents, "contents") if contents else spark.createDataFrame([], "url_id string, source_url string, source_content string")
+    beside = io.sibling(citations, "shared_ids.jsonl") if citations else None
+    shared = io.read_jsonl(spark, beside, "shared_ids") if beside else None
     counts = {}
-    for name, df in stages.judge(tables, stored, judge, retry, concurrency).items():
+    for name, df in stages.judge(tables, stored, judge, retry, concurrency, shared).items():
         io.write_jsonl(df, f"{out}/{name}.judged.jsonl", name)
         counts[name] = df.count()
         LOG.info("wrote %s.judged, %d rows", name, counts[name])
@@ -176,12 +178,19 @@ def run_all(spark: SparkSession, folder: str, path: str, models: list[str], resp
 
 
 def run_export(spark: SparkSession, folder: str, out: str) -> dict[str, str]:
-    """Judged JSON lines, checked, to the four release tables."""
+    """Judged JSON lines, checked, to the four release tables; beside them shared_ids, if the search wrote it."""
     judged = {name: io.read_jsonl(spark, io.find(folder, file), name, strict=True) for name, file in io.JUDGED.items()}
     paths = {}
     for name, df in M.release(judged).items():
         paths[name] = f"{out}/{name}.parquet"
         df.write.mode("overwrite").parquet(paths[name])
+    try:
+        shared = io.read_jsonl(spark, io.find(folder, "shared_ids.jsonl"), "shared_ids")
+    except FileNotFoundError:
+        if not io.exists(f"{out}/shared_ids.parquet"):
+            return paths
+        shared = spark.createDataFrame([], schemas.struct("shared_ids"))  # that of an earlier export goes
+    shared.write.mode("overwrite").parquet(f"{out}/shared_ids.parquet")
     return paths
 
 
@@ -189,7 +198,9 @@ def run_master(spark: SparkSession, folder: str, out: str, ipa: str | None = Non
     """The fact table of release tables; ipa, ss: TSV files of scoring matrices instead of the built-in ones."""
     matrices = {n: io.read_matrix(spark, p) for n, p in (("ipa", ipa), ("ss", ss)) if p}
     t = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("queries", "sources", "citations")}
-    M.build_master(t["queries"], M.unique_ids(t["sources"]), t["citations"], matrices).write.mode("overwrite").parquet(out)
+    shared = spark.read.parquet(f"{folder}/shared_ids.parquet") if io.exists(f"{folder}/shared_ids.parquet") else None
+    src = M.unique_ids(t["sources"]) if shared is None else t["sources"]
+    M.build_master(t["queries"], src, t["citations"], matrices, shared).write.mode("overwrite").parquet(out)
 
 
 def run_samples(spark: SparkSession, path: str, out: str, seed: int = sampling.SEED) -> None:

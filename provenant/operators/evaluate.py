@@ -57,13 +57,18 @@ def with_content(df: DataFrame, contents: DataFrame, order: str) -> DataFrame:
     """df (url_id, source_url) with content, found by url_id, else by source_url; of rows with one key the last wins.
 
     contents: url_id, source_url, source_content and an order column.  A row is
-    filed under its url_id, or under its URL if it has none.
+    filed under its url_id, or under its URL if it has none.  Where a url_id stands for
+    several URLs, the rows of the one asked for come first.
     """
     key = F.coalesce(F.when(F.col("url_id") != "", F.col("url_id")), F.when(F.col("source_url") != "", F.col("source_url")))
-    filed = last_wins(contents.select(key.alias("k"), F.coalesce("source_content", F.lit("")).alias("content"), F.col(order).alias("_o")), "k", "_o").select("k", "content")
-    by_id, by_url = filed.toDF("_ki", "_ci"), filed.toDF("_ku", "_cu")
+    rows = contents.select(key.alias("k"), F.coalesce("source_url", F.lit("")).alias("u"), F.coalesce("source_content", F.lit("")).alias("content"), F.col(order).alias("_o")).where("k IS NOT NULL")
+    # One shuffle, by k; a url_id stands for a few URLs at most.
+    each = rows.repartition("k").groupBy("k", "u").agg(F.max_by("content", "_o").alias("content"), F.max("_o").alias("_o"))
+    filed = each.groupBy("k").agg(F.max_by("content", "_o").alias("content"), F.when(F.count("*") > 1, F.collect_list(F.struct("u", "content"))).alias("each"))
+    by_id, by_url = filed.toDF("_ki", "_ci", "_each"), filed.select("k", "content").toDF("_ku", "_cu")
     out = df.join(by_id, F.col("url_id") == F.col("_ki"), "left").join(by_url, F.col("source_url") == F.col("_ku"), "left")
-    return out.withColumn("content", F.coalesce("_ci", "_cu")).drop("_ki", "_ci", "_ku", "_cu")
+    own = F.get(F.filter("_each", lambda e: e["u"] == F.col("source_url")), F.lit(0))["content"]
+    return out.withColumn("content", F.coalesce(own, "_ci", "_cu")).drop("_ki", "_ci", "_each", "_ku", "_cu")
 
 
 def keep_label(new: Column | str, old: Column | str) -> Column:

@@ -71,17 +71,23 @@ def strict_provider(model: str = "model") -> Column:
     return F.expr(f"CASE {model} {cases} ELSE CAST(raise_error(concat('no such model: ', coalesce({model}, 'null'))) AS STRING) END")
 
 
-def build_master(queries: DataFrame, sources: DataFrame, citations: DataFrame, matrices: dict[str, DataFrame] | None = None) -> DataFrame:
+def build_master(queries: DataFrame, sources: DataFrame, citations: DataFrame, matrices: dict[str, DataFrame] | None = None, shared: DataFrame | None = None) -> DataFrame:
     """citations joined with their queries and crawled sources, with provider and three scores.
 
     Only what is needed of each side is joined; columns that the inputs lack are left
     out.  matrices: 'ipa' and 'ss' as sources.io.read_matrix returns them, instead of the built-in ones.
+    shared: cit_id and source_url of citations whose url_id stands for several URLs; one of them that isn't there fails.
     """
     cells = {n: cells_of(m) for n, m in (matrices or {}).items()}
     cit = where_yes(citations, "evaluation_yn").drop("provider", "crawl_yn")
-    src = where_yes(sources, "crawl_yn").select("url_id", *[c for c in ("source_url", "clen") if c in sources.columns], "SP_label", "SD_label", "ST_label")
+    if shared is not None:
+        cit = cit.join(shared.groupBy("cit_id").agg(F.max("source_url").alias("_url")), "cit_id", "left")
+        sources = _with_two(sources)
+    src = where_yes(sources, "crawl_yn").select("url_id", *[c for c in ("source_url", "clen", "_two") if c in sources.columns], "SP_label", "SD_label", "ST_label")
     qry = queries.select("query_id", *[c for c in ("site", "category") if c in queries.columns], "QI_label")
     df = cit.drop(*[c for c in {*src.columns, *qry.columns} - {"url_id", "query_id"} if c in cit.columns]).join(qry, "query_id").join(src, "url_id")
+    if shared is not None:
+        df = df.where(F.when(F.col("_two") & F.col("_url").isNull(), _ambiguous()).otherwise(F.col("_url").isNull() | (F.col("_url") == F.col("source_url"))))
     df = df.withColumns({"provider": provider_column(), "asf_score": asf_score("ASF_label"), "crawl_yn": F.lit("Y")})
     df = df.withColumns({"ipam_score": score("ipa", "QI_label", "SP_label", cells.get("ipa")), "ssm_score": score("ss", "SD_label", "ST_label", cells.get("ss"))})
     return df.select(*[c for c in MASTER_COLUMNS if c in df.columns])
@@ -106,9 +112,17 @@ def unique_ids(sources: DataFrame) -> DataFrame:
 
     The check is a window over url_id, by which the join is partitioned as well.
     """
+    return _with_two(sources).where(F.when(F.col("_two"), _ambiguous()).otherwise(F.lit(True))).drop("_two")
+
+
+def _with_two(sources: DataFrame) -> DataFrame:
+    """sources with _two: whether their url_id stands for several URLs."""
     w = Window.partitionBy("url_id")
-    two = sources.withColumn("_two", F.min("source_url").over(w) != F.max("source_url").over(w))
-    return two.where(F.when(F.col("_two"), F.raise_error(F.concat(F.lit("one url_id for several URLs: "), "url_id")).cast("boolean")).otherwise(F.lit(True))).drop("_two")
+    return sources.withColumn("_two", F.min("source_url").over(w) != F.max("source_url").over(w))
+
+
+def _ambiguous() -> Column:
+    return F.raise_error(F.concat(F.lit("one url_id for several URLs: "), "url_id")).cast("boolean")
 
 
 def colliding_ids(sources: DataFrame) -> DataFrame:

@@ -202,7 +202,11 @@ def threshold(am: DataFrame) -> DataFrame:
 
 def with_crawl_times(am: DataFrame, sources: DataFrame) -> DataFrame:
     """The facts with crawled_at_first of their source, if it isn't there."""
-    return am if "crawled_at_first" in am.columns else am.join(sources.select("url_id", "crawled_at_first"), "url_id", "left")
+    if "crawled_at_first" in am.columns:
+        return am
+    keys = [c for c in ("url_id", "source_url") if c in am.columns and c in sources.columns]  # a url_id may stand for several URLs
+    times = sources.select(*(F.col(c).alias(f"_{c}") for c in keys), "crawled_at_first")
+    return am.join(times, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left").drop(*(f"_{c}" for c in keys))
 
 
 CUTOFF = "2026-04-03"

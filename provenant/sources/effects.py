@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, text, urls
 from ..operators import evaluate
-from ..operators.master import where_yes
+from ..operators.master import colliding_ids, where_yes
 
 CRAWL_CONCURRENCY, CRAWL_TIMEOUT_MS, JUDGE_CONCURRENCY = 5, 15_000, 20
 #: Of fetches and of the rules of robots.txt asked for.
@@ -280,13 +280,14 @@ class ReplayJudge:
 
 
 def search_stage(cited: DataFrame, fetched: DataFrame, start: int = 1) -> dict[str, DataFrame]:
-    """citations, sources and contents from cited rows and fetched pages.
+    """citations, sources, contents and shared_ids from cited rows and fetched pages.
 
     cited: query_id, model, model_short, provider, url, cited_sentence, ord (as extract
     returns, with the keys of the response); fetched: url (normalised), status,
     content, final_url, and, if there, crawled_at and ord.  cit_ids begin with start and
     follow query_ord and model_ord, where cited has them, else query_id and model, then ord.
     Of URLs with one canonical form the first in order of ord is the source, with its crawl time.
+    shared_ids: cit_id, url_id and source_url of citations whose url_id stands for several URLs.
     """
     raw = cited.withColumn("raw", urls.normalise_url("url"))
     canonical = F.when(F.col("status") == "ok", urls.normalise_url("final_url")).otherwise(F.col("url"))
@@ -301,11 +302,12 @@ def search_stage(cited: DataFrame, fetched: DataFrame, start: int = 1) -> dict[s
     order = [c if c in cited.columns else other for c, other in (("query_ord", "query_id"), ("model_ord", "model"))]
     rows = rows.select(
         *dict.fromkeys(order), *[c for c in ("query_id", "model") if c not in order], urls.url_id("canonical").alias("url_id"), "model_short", "provider", "cited_sentence",
-        F.length("cited_sentence").cast("long").alias("cited_len"), F.lit(None).cast("string").alias("ASF_label"), gate.alias("g"), "ord",
+        F.length("cited_sentence").cast("long").alias("cited_len"), F.lit(None).cast("string").alias("ASF_label"), gate.alias("g"), "ord", F.col("canonical").alias("source_url"),
     ).select("*", "g.*").drop("g")
     numbered = evaluate.sequence(rows, [*order, "ord", "url_id", "cited_sentence"], start=start - 1)
     citations = numbered.select("cit_id", "query_id", "url_id", "model", "model_short", "provider", "cited_sentence", "cited_len", "ASF_label", "evaluation_yn", "evaluation_fail_reason")
-    return {"citations": citations, "sources": sources.drop("content"), "contents": where_yes(sources, "crawl_yn").select("url_id", "source_url", F.col("content").alias("source_content"))}
+    shared = numbered.join(colliding_ids(sources).select("url_id"), "url_id", "left_semi").select("cit_id", "url_id", "source_url")
+    return {"citations": citations, "shared_ids": shared, "sources": sources.drop("content"), "contents": where_yes(sources, "crawl_yn").select("url_id", "source_url", F.col("content").alias("source_content"))}
 
 
 # -- parts of live implementations

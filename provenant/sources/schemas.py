@@ -17,6 +17,7 @@ DDL = {
     "citations": "cit_id bigint, query_id string, url_id string, model string, model_short string, provider string, cited_sentence string, cited_len bigint, ASF_label string, evaluation_yn string, evaluation_fail_reason string",
     "model_responses": "query_id string, model_short string, raw_response string",
     "contents": "url_id string, source_url string, source_content string",
+    "shared_ids": "cit_id bigint, url_id string, source_url string",
 }
 TIERS = "Academic|News|Gov/Org|Forum/Q&A|Social/Blog|Commercial/Other".split("|")
 FAILURES = "crawl_fail judge_unevaluable cited_too_short cited_too_few_words code_fragment table_fragment".split()

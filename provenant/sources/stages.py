@@ -23,7 +23,7 @@ def search(
     robots: effects.Robots | None = None,
     follow: Callable[[str], str | None] | None = None,
 ) -> dict[str, DataFrame]:
-    """citations, sources, contents and model_responses of questions (query_id, question_title).
+    """citations, sources, contents, shared_ids and model_responses of questions (query_id, question_title).
 
     cit_ids start with `start` and follow the order of questions and of the models asked
     for.  Responses and pages are kept before they are used, so that a lost task doesn't
@@ -45,8 +45,11 @@ def search(
     return out | {"model_responses": named.select("query_id", "model_short", "raw_response")}
 
 
-def judge(tables: dict[str, DataFrame], contents: DataFrame, judge: effects.Judge, retry: float = 2.0, concurrency: int = effects.JUDGE_CONCURRENCY) -> dict[str, DataFrame]:
-    """queries, sources and citations with labels; contents: url_id, source_url, source_content."""
+def judge(tables: dict[str, DataFrame], contents: DataFrame, judge: effects.Judge, retry: float = 2.0, concurrency: int = effects.JUDGE_CONCURRENCY, shared: DataFrame | None = None) -> dict[str, DataFrame]:
+    """queries, sources and citations with labels; contents: url_id, source_url, source_content.
+
+    Sources are told apart by url_id and URL, and so are citations in shared (cit_id, url_id, source_url).
+    """
     out = {}
     if "queries" in tables:
         q = tables["queries"]
@@ -54,18 +57,24 @@ def judge(tables: dict[str, DataFrame], contents: DataFrame, judge: effects.Judg
         out["queries"] = evaluate.merge_queries(q, durable(effects.judge_rows(asked, "QI", judge, "query_id", {"question": "question"}, concurrency=concurrency, base=retry)).select("query_id", "label"))
     src = tables["sources"]
     stored = contents.withColumn("_o", F.monotonically_increasing_id())
-    known = evaluate.with_content(src, stored, "_o")
+    # From here to the end url_id stands for both; _id is what it was.
+    full = F.concat("url_id", F.lit("\n"), F.coalesce("source_url", F.lit("")))
+    known = evaluate.with_content(src, stored, "_o").withColumns({"_id": F.col("url_id"), "url_id": full})
     able = known.where((F.col("crawl_yn") == "Y") & (F.coalesce(F.col("content"), F.lit("")) != "")).select("url_id", "source_url", F.substring("content", 1, 30_000).alias("content"))
     judged = able.select("url_id").distinct()
     for axis in ("SP", "SD", "ST"):
         got = durable(effects.judge_rows(able, axis, judge, "url_id", {"url": "source_url", "content": "content"}, concurrency=concurrency, base=retry))
         judged = judged.join(evaluate.last_wins(got.select("url_id", F.col("label").alias(axis), F.lit(0).alias("_o")), "url_id", "_o").drop("_o"), "url_id", "left")
     merged = evaluate.merge_sources(known, judged)
-    out["sources"] = merged.select(src.columns)
+    out["sources"] = merged.withColumn("url_id", F.col("_id")).select(src.columns)
     if "citations" in tables:
-        cit = tables["citations"]
-        one = evaluate.last_wins(known.select("url_id", "content", F.col("source_url").alias("_o")), "url_id", "_o").drop("_o")
+        cit = tables["citations"].withColumn("_id", F.col("url_id"))
+        each = known.select(F.col("_id").alias("url_id"), "content", F.col("source_url").alias("_o"))
+        if shared is not None:
+            each = each.unionByName(known.join(shared.select(F.col("url_id").alias("_id")), "_id", "left_semi").select("url_id", "content", F.col("source_url").alias("_o")))
+            cit = cit.join(evaluate.one_each(shared.select("cit_id", full.alias("_full")), "cit_id"), "cit_id", "left").withColumn("url_id", F.coalesce("_full", "url_id")).drop("_full")
+        one = evaluate.last_wins(each, "url_id", "_o").drop("_o")
         ready = cit.where("evaluation_yn = 'Y'").join(one.where("content <> ''"), "url_id").select("cit_id", "cited_sentence", F.substring("content", 1, 30_000).alias("source_content"))
         got = durable(effects.judge_rows(ready, "ASF", judge, "cit_id", {"cited_sentence": "cited_sentence", "source_content": "source_content"}, concurrency=concurrency, base=retry))
-        out["citations"] = evaluate.merge_citations(cit, one, got.select("cit_id", "label"))
+        out["citations"] = evaluate.merge_citations(cit, one, got.select("cit_id", "label")).withColumn("url_id", F.col("_id")).select(tables["citations"].columns)
     return out
