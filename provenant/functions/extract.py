@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.durable import lean
 from .text import joined_sentences, strip_url_list
 
 _TARGET = r"[(](http(?:s|)://[^)]+)[)]"
@@ -24,6 +25,8 @@ META = (
     "struct<annotations:array<struct<url:string,title:string,start_index:int,end_index:int>>,citations:map<int,string>,search_results:array<struct<url:string>>,"
     "native_citations:array<struct<cited_text:string,url:string>>,grounding_chunks:array<struct<title:string,uri:string>>,grounding_supports:array<struct<chunk_indices:array<int>,text:string>>>"
 )
+#: Responses that are Python objects at a time, and characters of citations that are sent on together.
+_ROWS, _CHARS = 64, 1 << 21
 PROVIDER_KEYS = "anthropic google openai perplexity xai".split()
 
 
@@ -80,10 +83,24 @@ def _inline(provider: str, text: str, annotated: list, numbered: dict[int, str])
 
 
 def _cite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of keys and _text, _annotated, _numbers, _urls, _cited, _spoken, _order to one row a citation."""
-    for b in batches:
+    """Batches of keys and _text, _annotated, _numbers, _urls, _cited, _spoken, _order to one row a citation.
+
+    Memory follows neither the batch nor the citations of a response: a few responses are read, and their rows sent on, at a time.
+    """
+    for b in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
         at = {n: b.schema.get_field_index(n) for n in ("provider_key", *_SHAPED)}
+        keys = [n for n in b.schema.names if n not in _SHAPED]
         owner, url, sentence, order = [], [], [], []
+
+        def part() -> pa.RecordBatch:
+            own = b.select(keys).take(pa.array(owner, pa.int64()))  # noqa: B023
+            out = pa.RecordBatch.from_arrays([*own.columns, pa.array(url, pa.string()), pa.array(sentence, pa.string()), pa.array(order, pa.int32())], names=[*keys, "url", "cited_sentence", "ord"])  # noqa: B023
+            for x in (owner, url, sentence, order):  # noqa: B023
+                x.clear()
+            return out
+
+        row_bytes = b.select(keys).nbytes // b.num_rows
+        size = 0
         for i, (provider, text, annotated, numbers, urls, cited, spoken, places) in enumerate(zip(*(b.column(at[n]).to_pylist() for n in ("provider_key", *_SHAPED)))):
             if provider in ("anthropic", "google"):
                 known: dict[str, str] = {}
@@ -99,9 +116,11 @@ def _cite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 url.append(row["url"])
                 sentence.append(row["cited_sentence"])
                 order.append(row["ord"])
-        keys = [n for n in b.schema.names if n not in _SHAPED]
-        part = b.select(keys).take(pa.array(owner, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(url, pa.string()), pa.array(sentence, pa.string()), pa.array(order, pa.int32())], names=[*keys, "url", "cited_sentence", "ord"])
+                size += len(row["cited_sentence"]) + len(row["url"]) + row_bytes
+                if size > _CHARS:
+                    yield part()
+                    size = 0
+        yield part()
 
 
 _SHAPED = ("_text", "_annotated", "_numbers", "_urls", "_cited", "_spoken", "_order")
@@ -121,6 +140,7 @@ def extract(responses: DataFrame) -> DataFrame:
     """
     known = F.col("provider_key").isin(*PROVIDER_KEYS)
     checked = F.when(known, F.col("provider_key")).otherwise(F.raise_error(F.concat(F.lit("unknown provider: "), F.coalesce("provider_key", F.lit("null")))).cast("string"))
+    lean(responses.sparkSession)
     rows = responses.withColumn("provider_key", checked)
     keys = [c for c in responses.columns if c not in ("raw_response", "meta")]
     meta = F.col("meta")

@@ -6,19 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Bytes of a batch that goes to a Python worker; texts of a few KB gain nothing from larger ones.
-BATCH_BYTES = 8 << 20
-
-
-def lean(spark: SparkSession) -> SparkSession:
-    """Lowers the session's Arrow batches to BATCH_BYTES, so that workers hold little text at a time; smaller ones stay."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "64m").lower().rstrip("b")
-    size = int(now.rstrip("kmg") or 0) << {"k": 10, "m": 20, "g": 30}.get(now[-1], 0)
-    if size <= 0 or size > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-    return spark
+from ..sources.durable import lean  # noqa: F401
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

@@ -232,3 +232,19 @@ def test_dimensions(spark):
         with pytest.raises(KeyError):
             f("none")
     assert dims.models(spark).count() == 10 and dims.labels(spark).count() == 22
+
+
+def test_citations_are_sent_on_in_parts():
+    import pyarrow as pa
+
+    from provenant.functions import extract as X
+
+    text = "It is so. " * 40 + "".join(f"Said {i}. [x](http://e.example/{i}) " for i in range(100))
+    n = 150
+    shaped = {"_text": [text] * n, "_annotated": [[]] * n, "_numbers": [None] * n, "_urls": [None] * n, "_cited": [None] * n, "_spoken": [None] * n, "_order": [None] * n}
+    batch = pa.RecordBatch.from_pydict({"id": [*range(n)], "key": ["k" * 10_000] * n, "provider_key": ["openai"] * n, **shaped})
+    parts = [*X._cite(iter([batch]))]
+    assert sum(p.num_rows for p in parts) == n * 100
+    assert max(p.nbytes for p in parts) < 8e6 < batch.nbytes * 10
+    rows = [r for p in parts for r in p.select(["id", "url", "ord"]).to_pylist()]
+    assert rows == [{"id": i, "url": f"http://e.example/{k}", "ord": k + 1} for i in range(n) for k in range(100)]
