@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import asf_score
+from ..sources.durable import estimated, tasks_for
 from . import dims
 
 #: name type of the fact table, in order
@@ -85,7 +86,15 @@ def build_master(queries: DataFrame, sources: DataFrame, citations: DataFrame, m
         sources = _with_two(sources)
     src = where_yes(sources, "crawl_yn").select("url_id", *[c for c in ("source_url", "clen", "_two") if c in sources.columns], "SP_label", "SD_label", "ST_label")
     qry = queries.select("query_id", *[c for c in ("site", "category") if c in queries.columns], "QI_label")
-    df = cit.drop(*[c for c in {*src.columns, *qry.columns} - {"url_id", "query_id"} if c in cit.columns]).join(qry, "query_id").join(src, "url_id")
+    cit = cit.drop(*[c for c in {*src.columns, *qry.columns} - {"url_id", "query_id"} if c in cit.columns])
+    # Adaptive execution packs partitions by their compressed bytes, of which such rows have few: large tables get tasks by their size.
+    # By query last, as the tables of responses group by it.
+    if n := tasks_for(cit):
+        if estimated(src) > cit.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+            cit, src = cit.repartition(n, "url_id"), src.repartition(n, "url_id")
+        df = cit.join(src, "url_id").repartition(n, "query_id").join(qry.repartition(n, "query_id"), "query_id")
+    else:
+        df = cit.join(qry, "query_id").join(src, "url_id")
     if shared is not None:
         df = df.where(F.when(F.col("_two") & F.col("_url").isNull(), _ambiguous()).otherwise(F.col("_url").isNull() | (F.col("_url") == F.col("source_url"))))
     df = df.withColumns({"provider": provider_column(), "asf_score": asf_score("ASF_label"), "crawl_yn": F.lit("Y")})

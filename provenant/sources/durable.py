@@ -21,6 +21,27 @@ def lean(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes, as the optimizer estimates them from the files, of the rows that one task joins or groups.
+TASK_BYTES = 2 << 20
+#: Tasks: below the first the session's own partitions do; beyond the second tasks grow, and spill.
+LEAST_TASKS, MOST_TASKS = 16, 20_000
+
+
+def estimated(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes, at most those of all it reads; 0 if unknown, as of checkpoints.  No job."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = lambda p: int(str(p.stats().sizeInBytes()))
+    leaves = plan.collectLeaves()
+    n = min(size(plan), sum(size(leaves.apply(i)) for i in range(leaves.size())))
+    return n if n < 1 << 50 else 0
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks over which a large table is to be spread, in proportion to it; 0 for a small one."""
+    n = -(-estimated(df) // TASK_BYTES)
+    return 0 if n < LEAST_TASKS else min(n, MOST_TASKS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which executors share; a temporary one only in a local session without it."""
     sc = spark.sparkContext

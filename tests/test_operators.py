@@ -442,3 +442,23 @@ def test_visible_text(spark):
 
     assert visible("<head><title>t</title></head><body><p>a &amp; <b>b</b>\n c<br>d</p><script>x()</script><div>e</div></body>") == "a & b c\nd\ne"
     assert visible(None) == "" and visible("<p>") == "" and visible("plain < text") == "plain < text"
+
+
+def test_large_tables_are_joined_in_tasks_by_their_size(spark, sf_dir, tmp_path, monkeypatch):
+    from provenant.plans import adapter
+    from provenant.sources import durable
+
+    kept = [durable.tasks_for(adapter.citations(spark, sf_dir)), durable.estimated(spark.createDataFrame([(1,)], "x int").checkpoint())]
+    assert kept == [0, 0]
+    rows = lambda: sorted(map(str, tables.response_exposure(adapter.master(spark, sf_dir)).collect()))
+    want = rows()
+    monkeypatch.setattr(durable, "TASK_BYTES", durable.estimated(adapter.citations(spark, sf_dir)) // 20)
+    n = durable.tasks_for(adapter.citations(spark, sf_dir))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            assert n > 16 and adapter.master(spark, sf_dir).rdd.getNumPartitions() >= n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+            assert rows() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
